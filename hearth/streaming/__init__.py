@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference reads whole tables and whole files only: it has no watermark,
+window, state or late-data logic, so there is nothing to express with
+Structured Streaming. The package is kept so the layout stays uniform.
+"""
