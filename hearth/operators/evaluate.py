@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from hearth import config as C
 from hearth.operators import neighbors as NB
@@ -81,10 +82,11 @@ def random_forest(features: Sequence[str], *, label: str = "y", seed: int = 1,
     p.update(params)
 
     def fit(train, test, fold):
+        tr = _assemble(train, features).persist()
         m = RandomForestClassifier(featuresCol="__x", labelCol=label, seed=seed,
                                    featureSubsetStrategy="sqrt", impurity="gini",
-                                   numTrees=p["numTrees"], maxDepth=p["maxDepth"]).fit(
-            _assemble(train, features))
+                                   numTrees=p["numTrees"], maxDepth=p["maxDepth"]).fit(tr)
+        tr.unpersist()
         if importances is not None:
             importances.extend((fold, f, float(v) * 100.0)
                                for f, v in zip(features, m.featureImportances.toArray()))
@@ -103,11 +105,13 @@ def boosted_trees(features: Sequence[str], *, label: str = "y", seed: int = 1,
     p.update(params)
 
     def fit(train, test, fold):
+        tr = _assemble(train, features).persist()
         m = GBTClassifier(featuresCol="__x", labelCol=label, seed=seed, lossType="logistic",
                           maxIter=p["maxIter"], stepSize=p["stepSize"], maxDepth=p["maxDepth"],
                           minInstancesPerNode=p["minInstancesPerNode"],
                           subsamplingRate=p["subsamplingRate"],
-                          minInfoGain=p["minInfoGain"]).fit(_assemble(train, features))
+                          minInfoGain=p["minInfoGain"]).fit(tr)
+        tr.unpersist()
         s = m.transform(_assemble(test, features))
         return s.withColumn("score", vector_to_array("probability")[1])
     return fit
@@ -137,13 +141,15 @@ def rbf_svm(features: Sequence[str], *, label: str = "y", C_: float = 1.0, gamma
                 out = pdf[keep].copy()
                 out["__z"] = list(z)
                 yield out
-        schema = df.select(*keep).schema.add("__z", "array<double>")
+        schema = df.select(*keep).schema.add("__z", ArrayType(DoubleType()))
         return df.mapInPandas(batches, schema).withColumn("__x", array_to_vector("__z"))
 
     def fit(train, test, fold):
-        n = train.count()
+        tr = lift(train).persist()  # the optimiser passes over it many times
+        n = tr.count()
         m = LinearSVC(featuresCol="__x", labelCol=label, regParam=1.0 / (C_ * max(n, 1)),
-                      maxIter=max_iter).fit(lift(train))
+                      maxIter=max_iter).fit(tr)
+        tr.unpersist()
         s = m.transform(lift(test))
         return s.withColumn("score", vector_to_array("rawPrediction")[1])
     return fit

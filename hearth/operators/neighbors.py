@@ -115,7 +115,8 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, *, k: int, q_id: s
                        metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False,
                        q_weight: str | None = None, d_weight: str | None = None,
                        rank_digits: int | None = None,
-                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       block_rows: int = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
+                       n_donors: int | None = None) -> DataFrame:
     """Exact k nearest donors of every query.
 
     Output ``(q_id, d_id, dist, rank, *carry)`` with rank 1..k ordered by
@@ -123,7 +124,9 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, *, k: int, q_id: s
     ``p``) or ward (euclidean scaled by sqrt(2 w_q w_d / (w_q + w_d)) from
     the weight columns). ``exclude_self`` skips pairs with equal ids (self
     join). ``rank_digits`` ranks on rounded distances (stable ties across
-    engines). Ids must be unique longs on each side.
+    engines). Ids must be unique longs on each side. ``n_queries`` and
+    ``n_donors`` (row counts, when the caller knows them) size the blocks
+    without a counting pass.
     """
     if q_id == d_id:
         raise ValueError("query and donor id columns need different names")
@@ -133,8 +136,8 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, *, k: int, q_id: s
         metric = "euclidean"
     weighted = metric == "ward"
     carry = list(carry)
-    nq = queries.count()
-    nd = donors.count()
+    nq = queries.count() if n_queries is None else n_queries
+    nd = donors.count() if n_donors is None else n_donors
     qb = max(1, math.ceil(nq / block_rows))
     db = max(1, math.ceil(nd / block_rows))
 

@@ -1 +1,179 @@
-"""Queries registered on the driver tables."""
+"""Clustering, PCA and cluster-description queries on the embeddings
+(standardised coordinates), plus the v-test description of given groups
+(lineitem by return flag) checked against SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearth import config as C
+from hearth.operators import clusters as CL
+from hearth.operators import scaling as SC
+from hearth.plans.registry import query
+from hearth.plans.tables import dbl, lng, table
+
+DIM = 64
+MICRO_K = 50          # micro-clusters on the driver tables (1000 in the source's setting)
+WARD_HEIGHT = 9.0     # cut height for standardised 64-d embeddings
+SMALL_FLOOR = 2       # clusters with fewer micro-centres merge into 0
+
+
+def scaled_embeddings(spark: SparkSession, d: str):
+    e = table(spark, d, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    means, sds = SC.fit_array_scaler(e, "v", DIM)
+    return e.select("vec_id", "label", SC.standardize_array("v", means, sds).alias("z")), means, sds
+
+
+def two_stage(spark: SparkSession, d: str):
+    z, means, sds = scaled_embeddings(spark, d)
+    assign, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K,
+                                       seed=C.MICRO_SEED)
+    member, linkage = CL.ward_cut(centres, id_col="micro_id", vec="centre", height=WARD_HEIGHT)
+    labelled = CL.label_clusters(member, floor=SMALL_FLOOR, small_id=C.SMALL_CLUSTER_ID)
+    return z, means, sds, assign, centres, labelled, linkage
+
+
+@query("micro_cluster")
+def micro_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """k-means micro-clusters of the standardised embeddings: (micro_id, size)."""
+    z, _, _ = scaled_embeddings(spark, d)
+    _, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
+    return centres.select("micro_id", "size")
+
+
+@query("ward_cut")
+def ward_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Ward merges of the micro-centres below the cut: linkage rows."""
+    *_, linkage = two_stage(spark, d)
+    return linkage
+
+
+@query("cluster_labels")
+def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Flat cluster (1..K, small ones 0) of every micro-centre."""
+    *_, labelled, _ = two_stage(spark, d)
+    return labelled.select("micro_id", "cluster")
+
+
+@query("refine_kmeans")
+def refine_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """Lloyd iterations on the micro-centres from the merged clusters' centroids;
+    centres back in original units (inverse scaling) with their cluster."""
+    z, means, sds, _, centres, labelled, _ = two_stage(spark, d)
+    pts = centres.join(labelled, "micro_id")
+    init = CL.cluster_centroids(pts, cluster="cluster", vec="centre", dim=DIM)
+    assign, final = CL.refine_kmeans(pts, init, id_col="micro_id", vec="centre",
+                                     centre_id="cluster", centre_vec="centre")
+    return final.select("cluster", SC.inverse_array("centre", means, sds).alias("centre"))
+
+
+@query("cluster_export")
+def cluster_export(spark: SparkSession, d: str) -> DataFrame:
+    """Micro-centres in original units with their refined cluster."""
+    z, means, sds, _, centres, labelled, _ = two_stage(spark, d)
+    pts = centres.join(labelled, "micro_id")
+    init = CL.cluster_centroids(pts, cluster="cluster", vec="centre", dim=DIM)
+    assign, _ = CL.refine_kmeans(pts, init, id_col="micro_id", vec="centre",
+                                 centre_id="cluster", centre_vec="centre")
+    out = centres.join(assign, "micro_id")
+    return out.select("micro_id", SC.inverse_array("centre", means, sds).alias("centre"),
+                      "cluster")
+
+
+@query("cluster_sizes")
+def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings per final cluster (micro assignment joined to its cluster)."""
+    _, _, _, assign, _, labelled, _ = two_stage(spark, d)
+    return CL.cluster_sizes(assign.join(labelled, "micro_id"), "cluster")
+
+
+SQL_CENTROIDS = """
+WITH u AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim,
+                  unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+SELECT CAST(label AS BIGINT) AS label, CAST(dim AS BIGINT) AS dim, ROUND(AVG(x), 6) AS mean,
+       CAST(COUNT(*) AS BIGINT) AS n
+FROM u GROUP BY label, dim
+"""
+
+
+@query("cluster_centroids", sql=SQL_CENTROIDS)
+def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Mean embedding per given label, long form (label, dim, mean, n)."""
+    e = table(spark, d, "embeddings").select(
+        "label", F.col("embedding").cast("array<double>").alias("v"))
+    c = CL.cluster_centroids(e, cluster="label", vec="v", dim=DIM)
+    x = c.select("label", "n", F.posexplode("centre").alias("dim", "mean"))
+    return x.select(lng("label").alias("label"), lng("dim").alias("dim"),
+                    dbl("mean", 6).alias("mean"), lng("n").alias("n"))
+
+
+VARS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _sql_describe() -> str:
+    per = ", ".join(f"AVG({v}) m{i}, STDDEV_POP({v}) s{i}" for i, v in enumerate(VARS))
+    tot = ", ".join(f"AVG({v}) ta{i}, STDDEV_POP({v}) tb{i}" for i, v in enumerate(VARS))
+    longs = " UNION ALL ".join(
+        f"SELECT cluster, '{v}' AS variable, n_in, m{i} AS mean_in, s{i} AS sd_in, "
+        f"ta{i} AS mean_all, tb{i} AS sd_all, n_all FROM per, tot" for i, v in enumerate(VARS))
+    x = "(abs(v_test) / sqrt(2.0::DOUBLE))"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * {x}))"
+    poly = (f"({t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * "
+            f"(1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE)))))")
+    pval = f"(2.0::DOUBLE * (0.5::DOUBLE * {poly} * exp(-{x} * {x})))"
+    return f"""
+WITH per AS (SELECT l_returnflag AS cluster, COUNT(*) AS n_in, {per} FROM lineitem GROUP BY 1),
+ tot AS (SELECT COUNT(*) AS n_all, {tot} FROM lineitem),
+ lg AS ({longs}),
+ v AS (SELECT *, (mean_in - mean_all) / sqrt(sd_all * sd_all / n_in * ((n_all - n_in) / (n_all - 1.0::DOUBLE))) AS v_test FROM lg),
+ eta AS (SELECT variable, SUM(n_in * (mean_in - mean_all) * (mean_in - mean_all)) / FIRST(sd_all * sd_all * n_all) AS eta2
+         FROM lg GROUP BY variable)
+SELECT cluster, v.variable, CAST(n_in AS BIGINT) AS n_in, ROUND(mean_in, 6) AS mean_in,
+       ROUND(mean_all, 6) AS mean_all, ROUND(sd_in, 6) AS sd_in, ROUND(sd_all, 6) AS sd_all,
+       ROUND(v_test, 6) AS v_test, ROUND({pval}, 6) AS p_value, ROUND(eta2, 6) AS eta2
+FROM v JOIN eta ON v.variable = eta.variable
+"""
+
+
+@query("describe_clusters", sql=_sql_describe())
+def describe_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """v-tests of lineitem measures per return flag (the given groups)."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("cluster"), *VARS)
+    x = CL.describe_clusters(li, cluster="cluster", cols=VARS)
+    return x.select("cluster", "variable", "n_in",
+                    *[dbl(c, 6).alias(c) for c in ("mean_in", "mean_all", "sd_in", "sd_all",
+                                                   "v_test", "p_value", "eta2")])
+
+
+@query("describe_micro_clusters")
+def describe_micro_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """v-tests of the first coordinates per final cluster of the embeddings."""
+    z, _, _, assign, _, labelled, _ = two_stage(spark, d)
+    x = z.join(assign, "vec_id").join(labelled, "micro_id")
+    x = x.select("cluster", *[F.col("z")[i].alias(f"z{i}") for i in range(8)])
+    return CL.describe_clusters(x, cluster="cluster", cols=[f"z{i}" for i in range(8)],
+                                limit=C.VTEST_LIMIT)
+
+
+@query("pca_variance")
+def pca_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Explained-variance ratios of the standardised embeddings."""
+    z, _, _ = scaled_embeddings(spark, d)
+    return SC.pca_variance(z, vec="z", dim=DIM)
+
+
+@query("pca_project")
+def pca_project(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on components 1 and 2 (0-based, as the source plots) with the label."""
+    z, _, _ = scaled_embeddings(spark, d)
+    p = SC.pca_project(z, k=3, vec="z", keep=["vec_id", "label"], out="pcs")
+    return p.select("vec_id", "label", F.col("pcs")[1].alias("x"), F.col("pcs")[2].alias("y"))
+
+
+@query("pca_reduce")
+def pca_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Components kept while the cumulative explained variance is below 2/3."""
+    z, _, _ = scaled_embeddings(spark, d)
+    return SC.pca_reduce(z, threshold=C.PCA_VARIANCE_KEPT, vec="z", keep=["vec_id"], out="pcs")

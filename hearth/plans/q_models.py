@@ -1 +1,149 @@
-"""Queries registered on the driver tables."""
+"""Supervised-evaluation queries on document features (documents joined to
+labels; label = quality). Model scores depend on Spark ML's randomised
+fitting, so these are checked on rows and invariants; the splits are
+checked against SQL."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearth import config as C
+from hearth.operators import evaluate as EV
+from hearth.operators import features as FE
+from hearth.operators import threshold as T
+from hearth.plans.registry import query
+from hearth.plans.tables import lng, table
+
+FEATURES = ["s", "ratio", "n_words", "n_distinct", "n_chars", "lang"]
+
+
+def doc_features(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    words = F.split(F.col("text"), " ")
+    x = docs.join(labels, "doc_id", "inner").select(
+        "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"),
+        (F.size(F.array_distinct(words)) * F.lit(1.0) / F.size(words)).alias("s"),
+        (F.lit(1.0) / F.size(F.array_distinct(words))).alias("ratio"),
+        F.size(words).cast("double").alias("n_words"),
+        F.size(F.array_distinct(words)).cast("double").alias("n_distinct"),
+        F.col("quality").cast("int").alias("y"))
+    enc, _ = FE.encode_categories(x, ["lang"])
+    enc = enc.withColumn("lang", F.col("lang").cast("double"))
+    return EV.stratified_folds(enc, id_col="doc_id", label="y", n_folds=C.N_FOLDS,
+                               seed=C.FOLD_SEED)
+
+
+def _oof(spark: SparkSession, d: str, which: str, importances: list | None = None) -> DataFrame:
+    x = doc_features(spark, d)
+    if which == "rf":
+        fit = EV.random_forest(FEATURES, importances=importances)
+    elif which == "gbt":
+        fit = EV.boosted_trees(FEATURES)
+    elif which == "svm":
+        fit = EV.rbf_svm(FEATURES, C_=1.0, gamma=0.01)
+    else:
+        fit = EV.neighbour_vote(FEATURES, id_col="doc_id", k=C.KNN_PARAMS["k"],
+                                weights=C.KNN_PARAMS["weights"], p=C.KNN_PARAMS["p"])
+    return EV.oof_predict(x, fit, id_col="doc_id", label="y", candidate=which)
+
+
+@query("holdout_split", sql=f"""
+WITH d AS (SELECT doc_id FROM documents JOIN labels USING (doc_id)),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{C.HOLDOUT_SEED}'), doc_id) - 1 AS rk,
+              COUNT(*) OVER () AS n FROM d)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, rk < ceil({C.HOLDOUT_TEST_FRACTION} * n) AS is_test FROM r
+""")
+def holdout_split(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select("doc_id").join(
+        table(spark, d, "labels").select("doc_id"), "doc_id")
+    h = EV.holdout_split(x, id_col="doc_id")
+    return h.select(lng("doc_id").alias("doc_id"), "is_test")
+
+
+@query("stratified_folds", sql=f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus,
+       CAST((row_number() OVER (PARTITION BY o_orderstatus
+             ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':{C.FOLD_SEED}'), o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM orders
+""")
+def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    f = EV.stratified_folds(o, id_col="o_orderkey", label="o_orderstatus")
+    return f.select(lng("o_orderkey").alias("o_orderkey"), "o_orderstatus", "fold")
+
+
+@query("rf_oof")
+def rf_oof(spark: SparkSession, d: str) -> DataFrame:
+    """Random forest (120 trees, depth 10), out-of-fold probabilities."""
+    return _oof(spark, d, "rf")
+
+
+@query("gbt_oof")
+def gbt_oof(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees (58 rounds, step 0.2, depth 4), out-of-fold probabilities."""
+    return _oof(spark, d, "gbt")
+
+
+@query("svm_oof")
+def svm_oof(spark: SparkSession, d: str) -> DataFrame:
+    """RBF SVM via random Fourier features, out-of-fold margins."""
+    return _oof(spark, d, "svm")
+
+
+@query("knn_oof")
+def knn_oof(spark: SparkSession, d: str) -> DataFrame:
+    """125-neighbour distance-weighted Manhattan vote on train-fold-scaled
+    features, out-of-fold probabilities."""
+    return _oof(spark, d, "knn")
+
+
+@query("cv_metrics")
+def cv_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled out-of-fold accuracy and exact AUC per candidate."""
+    parts = []
+    for which in ("rf", "knn"):
+        s = _oof(spark, d, which)
+        acc = EV.fold_accuracy(s).where(F.col("fold").isNull()).select("candidate", "accuracy")
+        auc = T.roc_auc(s, score="score", label="label", positive=1).select(
+            F.lit(which).alias("candidate"), "auc")
+        parts.append(acc.join(auc, "candidate"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("best_params")
+def best_params(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate with the best out-of-fold AUC."""
+    return EV.best_candidate(cv_metrics(spark, d), "auc")
+
+
+@query("confusion")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Real x predicted (names) of the random forest's out-of-fold classes."""
+    return EV.confusion(_oof(spark, d, "rf"))
+
+
+@query("fold_accuracy")
+def fold_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return EV.fold_accuracy(_oof(spark, d, "rf"))
+
+
+@query("importances")
+def importances(spark: SparkSession, d: str) -> DataFrame:
+    """Random-forest importances (x100) averaged over folds, top 10."""
+    rows: list = []
+    _oof(spark, d, "rf", importances=rows).count()  # fits run at plan time
+    return EV.mean_importances(rows, spark, n_folds=C.N_FOLDS, top=10)
+
+
+@query("oof_roc_curve")
+def oof_roc_curve(spark: SparkSession, d: str) -> DataFrame:
+    """ROC points of the random forest's out-of-fold scores."""
+    return T.roc_curve(_oof(spark, d, "rf"), score="score", label="label", positive=1)
+
+
