@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearth.session import cut_lineage
+
 DEFAULT_BLOCK_ROWS = 4096
 _CHUNK_CELLS = 4_000_000  # distance-matrix cells per numpy chunk (32 MB)
 
@@ -213,18 +215,23 @@ def knn_impute(df: DataFrame, *, id_col: str, fill_cols: Sequence[str],
     fill_cols = list(fill_cols)
     if feature_cols is None:
         feature_cols = [c for c in df.columns if c not in fill_cols and c != id_col]
-    base = df.withColumn("__vec", as_vector(feature_cols))
-    out = df
-    for c in fill_cols:
+    # one materialised base serves every column; each column's predictions
+    # (rows with a NULL only) are materialised before the joins back, which
+    # keeps the plan flat however many columns are filled
+    base = cut_lineage(df.withColumn("__vec", as_vector(feature_cols)), "impute-base")
+    preds = []
+    for i, c in enumerate(fill_cols):
         need = base.where(F.col(c).isNull()).select(id_col, "__vec")
         have = base.where(F.col(c).isNotNull()).select(id_col, "__vec", c)
         pred = knn_regress(need, have, k=k, id_col=id_col, vec="__vec", target=c,
-                           weights=weights, rank_digits=rank_digits, out="__fill",
+                           weights=weights, rank_digits=rank_digits, out=f"__f{i}",
                            block_rows=block_rows)
-        pred = pred.withColumnRenamed(id_col, "__pid")
-        out = (out.join(pred, out[id_col] == pred["__pid"], "left")
-               .withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("__fill")))
-               .drop("__pid", "__fill"))
+        preds.append(cut_lineage(pred.withColumnRenamed(id_col, f"__p{i}"), "impute-pred"))
+    out = base
+    for i, (c, pred) in enumerate(zip(fill_cols, preds)):
+        out = (out.join(pred, out[id_col] == pred[f"__p{i}"], "left")
+               .withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__f{i}")))
+               .drop(f"__p{i}", f"__f{i}"))
     return out.select(*df.columns)
 
 

@@ -1,0 +1,179 @@
+"""End-to-end flows on the case-file schema, wired from the operators.
+
+A. ``build_extract`` + ``clean_dataset``: case tables -> one wide row per
+   case -> clean, encoded, imputed dataset with indicators (+ mapping).
+B. ``threshold_report``: global and per-adviser threshold rule.
+C. ``evaluate_classifier``: out-of-fold scores, metrics, confusion, ROC.
+D. ``segment_cases``: micro-clusters, Ward cut, refinement, description.
+
+All steps are lazy DataFrame plans except where a value must be known to
+continue (the stats of a scaler, a fitted model, an iterative round).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hearth import config as C
+from hearth.operators import clusters as CL
+from hearth.operators import evaluate as EV
+from hearth.operators import features as FE
+from hearth.operators import neighbors as NB
+from hearth.operators import relational as R
+from hearth.operators import scaling as SC
+from hearth.operators import threshold as T
+from hearth.session import cut_lineage
+
+
+@dataclass
+class CaseTables:
+    dossier: DataFrame
+    naissance: DataFrame
+    credits: DataFrame
+    action: DataFrame
+    budget: DataFrame
+    partenaire: DataFrame
+
+
+@dataclass
+class CleanConfig:
+    platforms: Sequence[str] = tuple(C.PLATFORMS)
+    charge_cols: Sequence[str] = tuple(C.CHARGE_COLUMNS)
+    couples: Sequence[str] = tuple(C.COUPLE_SITUATIONS)
+    impute_features: Sequence[str] | None = None  # default: all kept columns but sparse + id
+    k: int = C.IMPUTE_NEIGHBOURS
+    extra_keep: Sequence[str] = field(default_factory=tuple)
+
+
+# --- A ----------------------------------------------------------------------------------------
+
+def build_extract(t: CaseTables, platforms: Sequence[str] = C.PLATFORMS) -> DataFrame:
+    """The wide case record: cases with age, kept platforms only, credit
+    pivot, latest budget (excluding the unpaid type) and first action."""
+    cases = R.attach_age(t.dossier, t.naissance)
+    partners = R.keep_values(t.partenaire.select("id_partenaire", "plateforme"),
+                             "plateforme", platforms)
+    cases = R.inner_dimension(cases, partners, left_key="id_group", right_key="id_partenaire",
+                              dim_cols=["plateforme"])
+    pivot = R.pivot_measures(R.credits_by_type(t.credits.where(F.col("id_dossier").isNotNull())))
+    budget = R.exclude_like(t.budget, "typ", C.EXCLUDED_BUDGET_TYPE)
+    budget = R.latest_per_key(budget, key="id_dossier", date_col="dat_budget",
+                              id_col="id_budget")
+    budget = budget.drop("id_budget", *[c for c in budget.columns
+                                        if c in cases.columns and c != "id_dossier"])
+    action = R.first_per_key(t.action.where(F.col("id_dossier").isNotNull()),
+                             key="id_dossier", order_col="id_action",
+                             keep=["id_dossier", "objectfull"])
+    x = R.left_attach(cases, "id", pivot, "id_dossier")
+    x = R.left_attach(x, "id", budget, "id_dossier")
+    return R.left_attach(x, "id", action.drop("id_action"), "id_dossier")
+
+
+def clean_dataset(extract: DataFrame, cfg: CleanConfig | None = None
+                  ) -> tuple[DataFrame, DataFrame]:
+    """Features, filters, encoding, plausibility nulling, neighbour
+    imputation, indicators and the floor filter. Returns (clean, mapping)."""
+    cfg = cfg or CleanConfig()
+    x = FE.create_features(extract, charge_cols=cfg.charge_cols)
+    x = FE.filter_cases(x)
+    keep = (C.OTHER_COLUMNS + C.CREDIT_DETAIL + C.CREDIT_TOTALS + C.BUDGET_COLUMNS
+            + ["charges", "revenus_tot"] + list(cfg.extra_keep))
+    x = FE.project(x, [c for c in dict.fromkeys(keep)])
+    x = cut_lineage(x, "clean-filtered")
+    # rules on labels come before encoding (housing, situation)
+    x = FE.null_implausible(x)
+    couple = F.col("situation").isin(list(cfg.couples))
+    x = x.withColumn("__couple", couple)
+    cats = [f.name for f in x.schema.fields if f.dataType.simpleString() == "string"]
+    x, mapping = FE.encode_categories(x, cats)
+    mapping = cut_lineage(mapping, "clean-mapping")
+    x = FE.null_outliers(cut_lineage(x, "clean-encoded"))
+    feats = cfg.impute_features or [c for c in x.columns
+                                    if c not in C.SPARSE_COLUMNS + ["id", "__couple"]]
+    x = x.na.fill(0, subset=[c for c in feats])  # features must be known for distances
+    x = NB.knn_impute(x, id_col="id", fill_cols=C.SPARSE_COLUMNS, feature_cols=feats, k=cfg.k)
+    base = F.when(F.col("__couple"), F.lit(C.UNITS_COUPLE)).otherwise(F.lit(C.UNITS_SINGLE))
+    x = x.withColumn("u_c", base + F.lit(C.UNITS_PER_DEPENDANT) * F.col("personne_charges"))
+    x = x.withColumns({
+        "rav": (F.col("revenus_tot") - F.col("charges") - F.col("sum_mensualite")) / F.col("u_c"),
+        "imc": F.when((F.col("sum_solde") == 0) & (F.col("revenus_tot") > 0), F.lit(0.0))
+        .when(F.col("sum_solde") == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("revenus_tot") / F.col("sum_solde")),
+    }).drop("__couple")
+    return FE.floor_filter(x), mapping
+
+
+# --- B -----------------------------------------------------------------------------------------
+
+def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR
+                     ) -> dict[str, DataFrame]:
+    """Two-class rule on ``rav``: global fit, its accuracy and cross table;
+    per-adviser fits after merging small advisers, and their accuracy."""
+    x = clean.withColumn("orientation", F.when(F.col("orientation") == C.CLASS_MIDDLE,
+                                               F.lit(C.CLASS_ABOVE))
+                         .otherwise(F.col("orientation")))
+    fit = T.fit_threshold(x, score="rav", label="orientation")
+    k = F.lit(0)
+    pred = T.apply_thresholds(x.withColumn("__k", k), fit.withColumn("__k", k), score="rav",
+                              group_by=["__k"])
+    merged = R.merge_rare(x, "id_user", floor=adviser_floor, merged_value=C.MERGED_ADVISER)
+    fits = T.fit_threshold(merged, score="rav", label="orientation", group_by=["id_user"])
+    per = T.apply_thresholds(merged, fits, score="rav", group_by=["id_user"])
+    return {"fit": fit, "accuracy": T.accuracy(pred, "pred", "orientation"),
+            "crosstab": T.crosstab_long(pred, "pred", "orientation"),
+            "fits_by_adviser": fits, "accuracy_by_adviser": T.accuracy(per, "pred", "orientation")}
+
+
+# --- C -----------------------------------------------------------------------------------------
+
+def evaluate_classifier(clean: DataFrame, model: str = "rf") -> dict[str, DataFrame]:
+    """Out-of-fold evaluation of one candidate on the clean dataset."""
+    x = clean.withColumn("y", F.when(F.col("orientation") == C.CLASS_BELOW, 1).otherwise(0))
+    feats = [c for c in x.columns if c not in ("orientation", "id", "id_user", "y")]
+    x = EV.stratified_folds(x, id_col="id", label="y")
+    imp: list = []
+    fitter = {"rf": lambda: EV.random_forest(feats, importances=imp),
+              "gbt": lambda: EV.boosted_trees(feats),
+              "svm": lambda: EV.rbf_svm(feats),
+              "knn": lambda: EV.neighbour_vote(feats, id_col="id", **C.KNN_PARAMS)}[model]()
+    scores = EV.oof_predict(x, fitter, id_col="id", label="y", candidate=model)
+    cut = 0.0 if model == "svm" else 0.5
+    out = {"scores": scores, "accuracy": EV.fold_accuracy(scores, threshold=cut),
+           "auc": T.roc_auc(scores, score="score", label="label"),
+           "roc": T.roc_curve(scores, score="score", label="label"),
+           "confusion": EV.confusion(scores, threshold=cut)}
+    if model == "rf":
+        scores.count()
+        out["importances"] = EV.mean_importances(imp, clean.sparkSession)
+    return out
+
+
+# --- D -----------------------------------------------------------------------------------------
+
+def segment_cases(clean: DataFrame, *, k: int = C.MICRO_CLUSTERS, height: float = C.WARD_CUT,
+                  small_floor: int = C.SMALL_CLUSTER_FLOOR) -> dict[str, DataFrame]:
+    """Scale all columns but the id, micro-clusters, Ward cut, small clusters
+    merged, refined k-means, centres back in units, description."""
+    cols = [c for c in clean.columns if c != "id"]
+    stats = SC.fit_scaler(clean, cols)
+    z = SC.standardize(clean, stats).select("id", NB.as_vector(cols).alias("z"))
+    _, centres = CL.micro_cluster(z, id_col="id", vec="z", k=k, seed=C.MICRO_SEED)
+    member, linkage = CL.ward_cut(centres, height=height)
+    labelled = CL.label_clusters(member, floor=small_floor, small_id=C.SMALL_CLUSTER_ID)
+    pts = centres.join(labelled, "micro_id")
+    init = CL.cluster_centroids(pts, cluster="cluster", vec="centre", dim=len(cols))
+    assign, final = CL.refine_kmeans(pts, init, id_col="micro_id", vec="centre")
+    means = [stats[c][0] for c in cols]
+    sds = [stats[c][1] for c in cols]
+    export = centres.join(assign, "micro_id").select(
+        "micro_id", SC.inverse_array("centre", means, sds).alias("centre"), "cluster")
+    wide = export.select(*[F.col("centre")[i].alias(c) for i, c in enumerate(cols)], "cluster")
+    return {"linkage": linkage, "centres": final.select(
+        "cluster", SC.inverse_array("centre", means, sds).alias("centre")),
+        "export": export, "description": CL.describe_clusters(wide, cluster="cluster", cols=cols,
+                                                              limit=C.VTEST_LIMIT),
+        "sizes": CL.cluster_sizes(export, "cluster")}
