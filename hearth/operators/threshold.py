@@ -89,7 +89,8 @@ def fit_threshold(df: DataFrame, *, score: str, label: str, above=C.CLASS_ABOVE,
     tot_j = tot.select(*[F.col(c).alias(f"__g_{c}") for c in groups], "__N", "__tot_not_a",
                        "__tot_not_b", "__null_err")
     cond = [scored[c].eqNullSafe(tot_j[f"__g_{c}"]) for c in groups]
-    j = scored.join(tot_j, cond, "inner")
+    # one row per group; a single row when ungrouped (broadcast: bounded)
+    j = scored.join(F.broadcast(tot_j) if not user_groups else tot_j, cond, "inner")
     null_err = F.coalesce(F.col("__null_err"), F.lit(0))
     cand = j.select(
         *groups,
@@ -162,7 +163,7 @@ def roc_curve(df: DataFrame, *, score: str, label: str, positive=1) -> DataFrame
                         F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     # attach the one-row totals (P, N) to every point
     pts = pts.withColumn("__k", F.lit(0)).unionByName(origin.withColumn("__k", F.lit(0)))
-    pts = pts.join(tot, "__k", "inner")
+    pts = pts.join(F.broadcast(tot), "__k", "inner")  # one row: bounded
     return pts.select("threshold", F.col("tp").cast("long").alias("tp"),
                       F.col("fp").cast("long").alias("fp"),
                       (F.col("tp") / F.col("__P")).alias("tpr"),

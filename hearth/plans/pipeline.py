@@ -78,6 +78,9 @@ def clean_dataset(extract: DataFrame, cfg: CleanConfig | None = None
     """Features, filters, encoding, plausibility nulling, neighbour
     imputation, indicators and the floor filter. Returns (clean, mapping)."""
     cfg = cfg or CleanConfig()
+    # ~100 columns with many derived aliases: constraint inference is
+    # exponential on such plans and buys nothing here
+    extract.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     x = FE.create_features(extract, charge_cols=cfg.charge_cols)
     x = FE.filter_cases(x)
     keep = (C.OTHER_COLUMNS + C.CREDIT_DETAIL + C.CREDIT_TOTALS + C.BUDGET_COLUMNS
