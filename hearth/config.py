@@ -1,14 +1,14 @@
-"""Default parameters for the case-file pipeline.
+"""Default parameters for the case-file flows.
 
 Everything here is a plain value that an operator takes as a parameter; the
-pipeline in :mod:`hearth.plans.pipeline` passes these defaults, a caller can
+flows in :mod:`hearth.plans.flows` pass these defaults, a caller can
 pass others.
 """
 
 from __future__ import annotations
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES that must equal the source pipeline's for identical results
+# FIXED VALUES that must equal the source's for identical results
 # (column names of the case file, code maps, limits). Kept in natural order.
 # ---------------------------------------------------------------------------
 

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 
 from hearth import config as C
-from hearth.plans import pipeline as P
+from hearth.plans import flows as P
 
 
 def _tables(spark, n=80, seed=0):
@@ -45,7 +45,7 @@ def _tables(spark, n=80, seed=0):
                                          "id_partenaire long, plateforme string"))
 
 
-def test_pipeline_end_to_end(spark):
+def test_flows_end_to_end(spark):
     t = _tables(spark)
     extract = P.build_extract(t)
     ids = [r.id for r in extract.select("id").collect()]

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from hearth import config as C
 from hearth.operators import relational as R
 
 
@@ -49,7 +50,7 @@ def test_star_join_drops_other_platform_keeps_missing_sides(spark):
     cases = spark.createDataFrame([(1, 100), (2, 200)], "id long, id_group long")
     partners = spark.createDataFrame([(100, "autre"), (200, "social")],
                                      "id_partenaire long, plateforme string")
-    kept = R.keep_values(partners, "plateforme", ["bancaire", "social", "CRESUS"])
+    kept = R.keep_values(partners, "plateforme", C.PLATFORMS)
     credits = spark.createDataFrame([], "id_dossier long, nombre_credits long")
     x = R.inner_dimension(cases, kept, left_key="id_group", right_key="id_partenaire",
                           dim_cols=["plateforme"])
