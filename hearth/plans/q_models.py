@@ -15,6 +15,7 @@ from hearth.operators import features as FE
 from hearth.operators import threshold as T
 from hearth.plans.registry import query
 from hearth.plans.tables import lng, table
+from hearth.session import cut_lineage
 
 FEATURES = ["s", "ratio", "n_words", "n_distinct", "n_chars", "lang"]
 
@@ -36,18 +37,36 @@ def doc_features(spark: SparkSession, d: str) -> DataFrame:
                                seed=C.FOLD_SEED)
 
 
+_OOF: dict = {}
+
+
 def _oof(spark: SparkSession, d: str, which: str, importances: list | None = None) -> DataFrame:
-    x = doc_features(spark, d)
-    if which == "rf":
-        fit = EV.random_forest(FEATURES, importances=importances)
-    elif which == "gbt":
-        fit = EV.boosted_trees(FEATURES)
-    elif which == "svm":
-        fit = EV.rbf_svm(FEATURES, C_=1.0, gamma=0.01)
-    else:
-        fit = EV.neighbour_vote(FEATURES, id_col="doc_id", k=C.KNN_PARAMS["k"],
-                                weights=C.KNN_PARAMS["weights"], p=C.KNN_PARAMS["p"])
-    return EV.oof_predict(x, fit, id_col="doc_id", label="y", candidate=which)
+    """Out-of-fold scores of one candidate, materialised in the shared folder
+    and reused by the queries of the same application (with the random
+    forest's importances)."""
+    key = (spark.sparkContext.applicationId, d, which)
+    if key not in _OOF:
+        fkey = (spark.sparkContext.applicationId, d, "features")
+        if fkey not in _OOF:
+            _OOF[fkey] = cut_lineage(doc_features(spark, d), "doc-features")
+        x = _OOF[fkey]
+        imp: list = []
+        if which == "rf":
+            fit = EV.random_forest(FEATURES, importances=imp)
+        elif which == "gbt":
+            fit = EV.boosted_trees(FEATURES)
+        elif which == "svm":
+            fit = EV.rbf_svm(FEATURES, C_=1.0, gamma=0.01)
+        else:
+            fit = EV.neighbour_vote(FEATURES, id_col="doc_id", k=C.KNN_PARAMS["k"],
+                                    weights=C.KNN_PARAMS["weights"], p=C.KNN_PARAMS["p"])
+        scores = cut_lineage(EV.oof_predict(x, fit, id_col="doc_id", label="y",
+                                            candidate=which), f"oof-{which}")
+        _OOF[key] = (scores, imp)
+    scores, imp = _OOF[key]
+    if importances is not None:
+        importances.extend(imp)
+    return scores
 
 
 @query("holdout_split", sql=f"""
@@ -137,7 +156,7 @@ def fold_accuracy(spark: SparkSession, d: str) -> DataFrame:
 def importances(spark: SparkSession, d: str) -> DataFrame:
     """Random-forest importances (x100) averaged over folds, top 10."""
     rows: list = []
-    _oof(spark, d, "rf", importances=rows).count()  # fits run at plan time
+    _oof(spark, d, "rf", importances=rows)
     return EV.mean_importances(rows, spark, n_folds=C.N_FOLDS, top=10)
 
 
