@@ -166,8 +166,8 @@ def roc_curve(df: DataFrame, *, score: str, label: str, positive=1) -> DataFrame
     pts = pts.join(F.broadcast(tot), "__k", "inner")  # one row: bounded
     return pts.select("threshold", F.col("tp").cast("long").alias("tp"),
                       F.col("fp").cast("long").alias("fp"),
-                      (F.col("tp") / F.col("__P")).alias("tpr"),
-                      (F.col("fp") / F.col("__N")).alias("fpr"))
+                      F.try_divide(F.col("tp").cast("double"), F.col("__P")).alias("tpr"),
+                      F.try_divide(F.col("fp").cast("double"), F.col("__N")).alias("fpr"))
 
 
 # --- A9 A13 ---------------------------------------------------------------------------------

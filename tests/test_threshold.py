@@ -75,3 +75,10 @@ def test_running_sum_matches_cumsum(spark):
         idx = [i for i in range(2000) if g[i] == grp]
         cs = np.cumsum([x[i] for i in idx])
         assert all(got[i] == c for i, c in zip(idx, cs))
+
+
+def test_roc_single_class_gives_null_rates(spark):
+    df = spark.createDataFrame([(0.1, 1), (0.4, 1)], "s double, y int")
+    r = T.roc_curve(df, score="s", label="y").collect()
+    assert all(x.fpr is None for x in r) and max(x.tpr for x in r) == 1.0
+    assert T.roc_auc(df, score="s", label="y").first().auc is None
