@@ -114,10 +114,12 @@ def ward_cut(centres: DataFrame, *, id_col: str = "micro_id", vec: str = "centre
         cl = cut_lineage(cl.join(gone, cl["cid"] == gone["g"], "left_anti").unionByName(merged))
         n_cl -= n_pairs
         remap = m.select(F.col("v").alias("__old"), F.col("u").alias("__new"))
-        # k-row table, cut every round (a chain of outer joins in the plan would
-        # also blow up the planner's size estimate)
-        member = cut_lineage(member.join(remap, member["cid"] == remap["__old"], "left")
-                             .select(id_col, F.coalesce("__new", "cid").alias("cid")))
+        member = (member.join(remap, member["cid"] == remap["__old"], "left")
+                  .select(id_col, F.coalesce("__new", "cid").alias("cid")))
+        if rnd % 4 == 3:
+            # k-row table; a long chain of outer joins would blow up the
+            # planner's size estimate, so it is cut every few rounds
+            member = cut_lineage(member, "ward-member")
     if links:
         linkage = links[0]
         for x in links[1:]:
