@@ -69,3 +69,19 @@ def test_holdout_exact_size(spark):
     df = spark.range(0, 101).withColumnRenamed("id", "k")
     h = EV.holdout_split(df, id_col="k", test_fraction=0.25)
     assert h.where(F.col("is_test")).count() == 26
+
+
+def test_grid_search_ranks_candidates(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=120)
+    y = (x + rng.normal(scale=0.5, size=120) > 0).astype(int)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y))],
+                               "id long, x double, y int")
+    df = EV.stratified_folds(df, id_col="id", label="y", n_folds=3)
+    res = EV.grid_search(df, lambda p: EV.neighbour_vote(["x"], id_col="id", k=p["k"], p=2),
+                         {"k": [1, 15]}, id_col="id", n_folds=3)
+    rows = {r.candidate: r for r in res.collect()}
+    assert set(rows) == {"k=1", "k=15"}
+    assert all(0.5 < r.auc <= 1.0 for r in rows.values())
+    best = EV.best_candidate(res, "auc").first()
+    assert best.auc == max(r.auc for r in rows.values())
