@@ -206,24 +206,17 @@ def grid_search(df: DataFrame, make_fitter: Callable[[dict], Fitter], grid: Mapp
     The loop runs over candidates and folds (Spark jobs), never over rows;
     pick the winner with :func:`best_candidate`."""
     from hearth.operators.threshold import roc_auc
-    spark = df.sparkSession
-    parts = []
+    rows = []
     for params in param_grid(grid):
         name = ",".join(f"{k}={v}" for k, v in params.items())
         scores = oof_predict(df, make_fitter(params), id_col=id_col, label=label,
                              fold_col=fold_col, n_folds=n_folds, candidate=name)
         pred = (F.col("score") > threshold).cast("int")
-        acc = scores.agg(F.avg((pred == F.col("label")).cast("int")).alias("accuracy"),
-                         F.lit(0).alias("__k"))
-        auc = roc_auc(scores, score="score", label="label", positive=1).select(
-            "auc", F.lit(0).alias("__k"))
-        row = acc.join(F.broadcast(auc), "__k")  # one row each: bounded
-        parts.append(row.select(F.lit(name).alias("candidate"), "accuracy", "auc"))
-    out = parts[0] if parts else spark.createDataFrame(
-        [], "candidate string, accuracy double, auc double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        acc = scores.agg(F.avg((pred == F.col("label")).cast("int"))).first()[0]
+        auc = roc_auc(scores, score="score", label="label", positive=1).first()["auc"]
+        rows.append((name, acc, auc))
+    # the results table has one row per candidate (bounded by the grid)
+    return df.sparkSession.createDataFrame(rows, "candidate string, accuracy double, auc double")
 
 
 # --- V11 V12 T1 T3 ------------------------------------------------------------------------------

@@ -30,7 +30,12 @@ def threshold_predict(score: str | Column, t: str | Column | float | None, *,
                       above=C.CLASS_ABOVE, below=C.CLASS_BELOW) -> Column:
     """``above`` if score >= t else ``below``; a NULL score or a NULL
     threshold ("above every score") gives ``below``."""
-    t = F.lit(t) if not isinstance(t, (str, Column)) else _c(t)
+    if t is None:
+        t = F.lit(None).cast("double")
+    elif not isinstance(t, (str, Column)):
+        t = F.lit(t)
+    else:
+        t = _c(t)
     return F.when(_c(score) >= t, F.lit(above)).otherwise(F.lit(below))
 
 
@@ -67,10 +72,7 @@ def fit_threshold(df: DataFrame, *, score: str, label: str, above=C.CLASS_ABOVE,
     to the smallest threshold, "above all" last. Output: group columns,
     ``threshold``, ``n_err``, ``n``, ``error``.
     """
-    user_groups = list(group_by)
-    groups = user_groups or ["__all"]
-    if not user_groups:
-        df = df.withColumn("__all", F.lit(0))
+    groups = list(group_by)
     lab = F.col(label)
     g = df.groupBy(*groups, F.col(score).alias("__s")).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -78,41 +80,65 @@ def fit_threshold(df: DataFrame, *, score: str, label: str, above=C.CLASS_ABOVE,
         F.count_if(F.coalesce(lab == below, F.lit(False))).alias("__nb"))
     g = g.select(*groups, "__s", "__n", (F.col("__n") - F.col("__na")).alias("__not_a"),
                  (F.col("__n") - F.col("__nb")).alias("__not_b"))
-    tot = g.groupBy(*groups).agg(
+    tot_aggs = [
         F.sum("__n").alias("__N"),
-        F.sum(F.when(F.col("__s").isNotNull(), F.col("__not_a"))).alias("__tot_not_a"),
-        F.sum(F.when(F.col("__s").isNotNull(), F.col("__not_b"))).alias("__tot_not_b"),
-        F.sum(F.when(F.col("__s").isNull(), F.col("__not_b"))).alias("__null_err"))
+        F.coalesce(F.sum(F.when(F.col("__s").isNotNull(), F.col("__not_a"))), F.lit(0))
+        .alias("__tot_not_a"),
+        F.coalesce(F.sum(F.when(F.col("__s").isNotNull(), F.col("__not_b"))), F.lit(0))
+        .alias("__tot_not_b"),
+        F.coalesce(F.sum(F.when(F.col("__s").isNull(), F.col("__not_b"))), F.lit(0))
+        .alias("__null_err")]
     scored = running_sum(g.where(F.col("__s").isNotNull()), order_by=["__s"],
                          sums=["__not_a", "__not_b"], partition_by=groups, inclusive=False,
                          prefix="__lt")
-    tot_j = tot.select(*[F.col(c).alias(f"__g_{c}") for c in groups], "__N", "__tot_not_a",
-                       "__tot_not_b", "__null_err")
-    cond = [scored[c].eqNullSafe(tot_j[f"__g_{c}"]) for c in groups]
-    # one row per group; a single row when ungrouped (broadcast: bounded)
-    j = scored.join(F.broadcast(tot_j) if not user_groups else tot_j, cond, "inner")
-    null_err = F.coalesce(F.col("__null_err"), F.lit(0))
+    if groups:
+        tot = g.groupBy(*groups).agg(*tot_aggs)
+        tot_j = tot.select(*[F.col(c).alias(f"__g_{c}") for c in groups], "__N",
+                           "__tot_not_a", "__tot_not_b", "__null_err")
+        cond = [scored[c].eqNullSafe(tot_j[f"__g_{c}"]) for c in groups]
+        j = scored.join(tot_j, cond, "inner")
+        tcols = {c: F.col(c) for c in ("__N", "__tot_not_a", "__tot_not_b", "__null_err")}
+    else:
+        # ungrouped: the four totals are one row, read as literals
+        row = g.agg(*tot_aggs).first()
+        if row["__N"] is None:
+            return df.sparkSession.createDataFrame(
+                [], f"threshold {g.schema['__s'].dataType.simpleString()}, n_err long, "
+                    "n long, error double")
+        j = scored
+        tcols = {c: F.lit(row[c]) for c in ("__N", "__tot_not_a", "__tot_not_b", "__null_err")}
+        tot = None
     cand = j.select(
         *groups,
-        (F.col("__tot_not_a") - F.col("__lt__not_a") + F.col("__lt__not_b") + null_err)
-        .alias("__e"), F.lit(0).alias("__last"), F.col("__s").alias("__t"))
-    above_all = tot.select(
-        *groups, (F.coalesce(F.col("__tot_not_b"), F.lit(0)) + F.coalesce(
-            F.col("__null_err"), F.lit(0))).alias("__e"),
-        F.lit(1).alias("__last"), F.lit(None).cast(g.schema["__s"].dataType).alias("__t"))
-    best = cand.unionByName(above_all).groupBy(*groups).agg(
-        F.min(F.struct("__e", "__last", "__t")).alias("__b"))
-    out = best.join(tot.select(*groups, "__N"), groups, "inner")
-    return out.select(*user_groups, F.col("__b.__t").alias("threshold"),
+        (tcols["__tot_not_a"] - F.col("__lt__not_a") + F.col("__lt__not_b")
+         + tcols["__null_err"]).alias("__e"),
+        F.lit(0).alias("__last"), F.col("__s").alias("__t"))
+    if groups:
+        above_all = tot.select(*groups, (F.col("__tot_not_b") + F.col("__null_err")).alias("__e"),
+                               F.lit(1).alias("__last"),
+                               F.lit(None).cast(g.schema["__s"].dataType).alias("__t"))
+        best = cand.unionByName(above_all).groupBy(*groups).agg(
+            F.min(F.struct("__e", "__last", "__t")).alias("__b"))
+        out = best.join(tot.select(*groups, "__N"), groups, "inner")
+        n_col = F.col("__N")
+    else:
+        e_all = int(row["__tot_not_b"]) + int(row["__null_err"])
+        above_all = df.sparkSession.createDataFrame(
+            [(e_all, 1, None)], f"__e long, __last int, __t {g.schema['__s'].dataType.simpleString()}")
+        out = cand.select("__e", "__last", "__t").unionByName(above_all).agg(
+            F.min(F.struct("__e", "__last", "__t")).alias("__b"))
+        n_col = F.lit(row["__N"])
+    return out.select(*groups, F.col("__b.__t").alias("threshold"),
                       F.col("__b.__e").cast("long").alias("n_err"),
-                      F.col("__N").cast("long").alias("n"),
-                      (F.col("__b.__e") / F.col("__N")).alias("error"))
+                      n_col.cast("long").alias("n"),
+                      (F.col("__b.__e") / n_col).alias("error"))
 
 
 def apply_thresholds(df: DataFrame, fitted: DataFrame, *, score: str, group_by: Sequence[str],
                      out: str = "pred", above=C.CLASS_ABOVE, below=C.CLASS_BELOW) -> DataFrame:
     """Lookup join of the per-group thresholds (one row per group), then the
-    rule. Groups without a fitted threshold are predicted ``below``."""
+    rule. Groups without a fitted threshold are predicted ``below``. For a
+    single global threshold use :func:`threshold_predict` with its value."""
     t = fitted.select(*[F.col(c).alias(f"__g_{c}") for c in group_by],
                       F.col("threshold").alias("__t"))
     cond = [df[c].eqNullSafe(t[f"__g_{c}"]) for c in group_by]
@@ -155,19 +181,17 @@ def roc_curve(df: DataFrame, *, score: str, label: str, positive=1) -> DataFrame
     g = _score_counts(df, score, label, positive)
     r = running_sum(g, order_by=[F.col("__s").desc()], sums=["__p", "__q"], inclusive=True,
                     prefix="__ge")
-    tot = g.agg(F.sum("__p").alias("__P"), F.sum("__q").alias("__N")).withColumn(
-        "__k", F.lit(0))
+    tot = g.agg(F.sum("__p").alias("P"), F.sum("__q").alias("N")).first()
     pts = r.select(F.col("__s").alias("threshold"), F.col("__ge__p").alias("tp"),
                    F.col("__ge__q").alias("fp"))
-    origin = tot.select(F.lit(None).cast(g.schema["__s"].dataType).alias("threshold"),
-                        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    # attach the one-row totals (P, N) to every point
-    pts = pts.withColumn("__k", F.lit(0)).unionByName(origin.withColumn("__k", F.lit(0)))
-    pts = pts.join(F.broadcast(tot), "__k", "inner")  # one row: bounded
+    origin = df.sparkSession.createDataFrame(
+        [(None, 0, 0)], f"threshold {g.schema['__s'].dataType.simpleString()}, tp long, fp long")
+    pts = pts.unionByName(origin)
+    big_p, big_n = F.lit(tot["P"]).cast("double"), F.lit(tot["N"]).cast("double")
     return pts.select("threshold", F.col("tp").cast("long").alias("tp"),
                       F.col("fp").cast("long").alias("fp"),
-                      F.try_divide(F.col("tp").cast("double"), F.col("__P")).alias("tpr"),
-                      F.try_divide(F.col("fp").cast("double"), F.col("__N")).alias("fpr"))
+                      F.try_divide(F.col("tp").cast("double"), big_p).alias("tpr"),
+                      F.try_divide(F.col("fp").cast("double"), big_n).alias("fpr"))
 
 
 # --- A9 A13 ---------------------------------------------------------------------------------

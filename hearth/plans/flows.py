@@ -120,9 +120,7 @@ def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR
                                                F.lit(C.CLASS_ABOVE))
                          .otherwise(F.col("orientation")))
     fit = T.fit_threshold(x, score="rav", label="orientation")
-    k = F.lit(0)
-    pred = T.apply_thresholds(x.withColumn("__k", k), fit.withColumn("__k", k), score="rav",
-                              group_by=["__k"])
+    pred = x.withColumn("pred", T.threshold_predict("rav", fit.first()["threshold"]))
     merged = R.merge_rare(x, "id_user", floor=adviser_floor, merged_value=C.MERGED_ADVISER)
     fits = T.fit_threshold(merged, score="rav", label="orientation", group_by=["id_user"])
     per = T.apply_thresholds(merged, fits, score="rav", group_by=["id_user"])

@@ -122,17 +122,14 @@ def knn_oof(spark: SparkSession, d: str) -> DataFrame:
 @query("cv_metrics")
 def cv_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Pooled out-of-fold accuracy and exact AUC per candidate."""
-    parts = []
+    rows = []
     for which in ("rf", "knn"):
         s = _oof(spark, d, which)
-        acc = EV.fold_accuracy(s).where(F.col("fold").isNull()).select("candidate", "accuracy")
-        auc = T.roc_auc(s, score="score", label="label", positive=1).select(
-            F.lit(which).alias("candidate"), "auc")
-        parts.append(acc.join(auc, "candidate"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        acc = EV.fold_accuracy(s).where(F.col("fold").isNull()).first()["accuracy"]
+        auc = T.roc_auc(s, score="score", label="label", positive=1).first()["auc"]
+        rows.append((which, acc, auc))
+    # one row per candidate, from one-row aggregates
+    return spark.createDataFrame(rows, "candidate string, accuracy double, auc double")
 
 
 @query("best_params")

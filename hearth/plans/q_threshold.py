@@ -90,9 +90,9 @@ FROM d
 """)
 def threshold_predict(spark: SparkSession, d: str) -> DataFrame:
     x = doc_scores(spark, d)
-    fit = T.fit_threshold(x, score="s", label="y").withColumn("__k", F.lit(0))
-    p = T.apply_thresholds(x.withColumn("__k", F.lit(0)), fit, score="s", group_by=["__k"])
-    return p.select(lng("doc_id").alias("doc_id"), lng("y").alias("y"), lng("pred").alias("pred"))
+    t = T.fit_threshold(x, score="s", label="y").first()["threshold"]
+    return x.select(lng("doc_id").alias("doc_id"), lng("y").alias("y"),
+                    lng(T.threshold_predict("s", t)).alias("pred"))
 
 
 @query("threshold_error", sql=f"""
@@ -130,10 +130,9 @@ SELECT CAST(pred AS BIGINT) AS predicted, CAST(y AS BIGINT) AS actual, CAST(COUN
 FROM p GROUP BY pred, y
 """)
 def crosstab(spark: SparkSession, d: str) -> DataFrame:
-    x = doc_scores(spark, d).withColumn("__k", F.lit(0))
-    fit = T.fit_threshold(x, score="s", label="y").withColumn("__k", F.lit(0))
-    p = T.apply_thresholds(x, fit, score="s", group_by=["__k"])
-    c = T.crosstab_long(p, "pred", "y")
+    x = doc_scores(spark, d)
+    t = T.fit_threshold(x, score="s", label="y").first()["threshold"]
+    c = T.crosstab_long(x.withColumn("pred", T.threshold_predict("s", t)), "pred", "y")
     return c.select(lng("predicted").alias("predicted"), lng("actual").alias("actual"), "n")
 
 
@@ -145,11 +144,11 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id,
 FROM d
 """)
 def band_rule(spark: SparkSession, d: str) -> DataFrame:
-    x = doc_scores(spark, d).withColumn("__k", F.lit(0))
-    fit = T.fit_threshold(x, score="s", label="y").withColumn("__k", F.lit(0))
-    p = T.apply_thresholds(x, fit, score="s", group_by=["__k"])
-    return p.select(lng("doc_id").alias("doc_id"),
-                    lng(T.band_rule("pred", "ratio", band=BAND)).alias("pred"))
+    x = doc_scores(spark, d)
+    t = T.fit_threshold(x, score="s", label="y").first()["threshold"]
+    return x.select(lng("doc_id").alias("doc_id"),
+                    lng(T.band_rule(T.threshold_predict("s", t), "ratio", band=BAND))
+                    .alias("pred"))
 
 
 @query("roc_auc", sql=f"""
