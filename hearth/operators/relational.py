@@ -18,11 +18,19 @@ def _cols(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a checked row bound; otherwise leave the
-    choice to the planner (sort-merge join, or AQE's runtime broadcast)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000,
+                       max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Broadcast hint only behind a checked bound on rows and bytes (the
+    bytes of every value as text, measured on at most ``max_rows + 1``
+    rows, so the check itself is bounded); otherwise leave the choice to
+    the planner (sort-merge join, or AQE's runtime broadcast)."""
+    probe = df.limit(max_rows + 1)
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    total = width[0] if len(width) == 1 else F.expr(" + ".join(
+        f"coalesce(octet_length(cast(`{c}` as string)), 0)" for c in df.columns))
+    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("b")).first()
+    n, b = row["n"], row["b"] or 0
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
 # --- J1 P2 P3 --------------------------------------------------------------
