@@ -66,8 +66,10 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; only when nothing is configured (a
-    test or a laptop) a fresh local folder is created and registered.
+    The cluster's setting always wins; only a local master (a test or a
+    laptop) gets a fresh folder of its own when nothing is configured. On a
+    cluster without the setting this raises: a machine-local folder would be
+    a different one on every executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -78,8 +80,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hearth-ckpt-"))
+    else:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     ship_package(spark)
     return sc.getCheckpointDir()
 
@@ -91,6 +95,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/hearth-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``shared_path`` named, through the file system
+    that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as parquet in the shared checkpoint folder and read
     it back: the job restarts from there after an executor loss, the plan
