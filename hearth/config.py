@@ -31,6 +31,15 @@ OTHER_COLUMNS = [
     "orientation", "personne_charges", "id_user",
 ]
 
+# Case columns of the wide extract, around the platform and the age (30).
+CASE_COLUMNS = [
+    "id", "etat", "id_group", "id_user", "charte", "duree", "profession", "logement",
+    "situation", "transferable", "retard_facture", "retard_pret", "nature", "orientation",
+    "personne_charges", "vip", "indicateur_suivi", "releve_bancaire", "aide_sociale",
+    "reactive", "memo", "etat_old", "orientation_old", "indicateur_suivi_old", "transfert",
+    "plan_bdf", "effacement_dette", "gain_mediation", "PCB", "mensu_bdf",
+]
+
 # Income amounts (7) summed into revenus_tot.
 INCOME_COLUMNS = [
     "revenus", "allocations", "pensions_alim", "revenus_FL", "autre1", "autre2", "autre3",
@@ -57,8 +66,6 @@ CREDIT_TYPES = [0, 1, 2, 3, 4, 5]
 CREDIT_DETAIL = [f"{m}_{t}" for m in ("sum_mensualite", "sum_solde") for t in CREDIT_TYPES]
 CREDIT_TOTALS = ["sum_mensualite", "sum_solde"]
 
-# Platforms kept by the partner filter.
-PLATFORMS = ["bancaire", "social", "CRESUS"]
 # Budget type excluded before picking the latest budget.
 EXCLUDED_BUDGET_TYPE = "Impaye"
 
@@ -111,10 +118,13 @@ HIST_BINS, HIST_RANGE = 30, (-1000.0, 2000.0)
 N_FOLDS, FOLD_SEED, HOLDOUT_SEED, HOLDOUT_TEST_FRACTION = 5, 1, 10, 0.25
 RF_PARAMS = {"numTrees": 120, "maxDepth": 10}
 GBT_PARAMS = {"maxIter": 58, "stepSize": 0.2, "maxDepth": 4, "minInstancesPerNode": 4,
-              "subsamplingRate": 0.9, "minInfoGain": 0.3}
+              "subsamplingRate": 0.9}
 KNN_PARAMS = {"k": 125, "weights": "distance", "p": 1}
-SVM_GRID = {"C": [0.5, 1, 2], "gamma": [0.005, 0.01, 0.02, 0.05]}
+SVM_PARAMS = {"C_": 1.0, "gamma": 0.01}
+SVM_GRID = {"C_": [0.5, 1, 2], "gamma": [0.005, 0.01, 0.02, 0.05]}
 RF_GRID = {"numTrees": [50, 70, 100, 120, 150], "maxDepth": [3, 5, 7, 10, 15]}
+GBT_GRID = {"maxIter": list(range(10, 60, 2)), "stepSize": [0.2], "maxDepth": [4],
+            "minInstancesPerNode": [4], "subsamplingRate": [0.8, 0.9, 1.0]}
 KNN_GRID = {"k": [50, 75, 100, 125, 150, 200], "weights": ["uniform", "distance"], "p": [1, 2, 3]}
 
 # PCA reduction keeps components whose cumulative ratio is below this.

@@ -78,7 +78,14 @@ def consumption_units(situation: str | Column, dependants: str | Column, *,
                       single: float = C.UNITS_SINGLE, couple: float = C.UNITS_COUPLE,
                       per_dependant: float = C.UNITS_PER_DEPENDANT) -> Column:
     """1 (1.5 for couples) + 0.3 per dependant, on the situation label."""
-    base = F.when(_c(situation).isin(list(couples)), F.lit(couple)).otherwise(F.lit(single))
+    return units_of(_c(situation).isin(list(couples)), dependants, single=single, couple=couple,
+                    per_dependant=per_dependant)
+
+
+def units_of(is_couple: Column, dependants: str | Column, *, single: float = C.UNITS_SINGLE,
+             couple: float = C.UNITS_COUPLE, per_dependant: float = C.UNITS_PER_DEPENDANT) -> Column:
+    """Consumption units where it is known which rows are couples."""
+    base = F.when(is_couple, F.lit(couple)).otherwise(F.lit(single))
     return base + F.lit(per_dependant) * _c(dependants)
 
 

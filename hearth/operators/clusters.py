@@ -81,9 +81,11 @@ def ward_cut(centres: DataFrame, *, id_col: str = "micro_id", vec: str = "centre
                                         F.col(id_col).cast("long").alias("cid")))
     n_cl = cl.count()
     links = []
-    for rnd in range(max_rounds):
+    for rnd in range(max_rounds + 1):
         if n_cl <= 1:
             break
+        if rnd == max_rounds:
+            raise RuntimeError(f"pairs are left to merge after {max_rounds} rounds")
         nn = NB.nearest_neighbours(cl, cl.withColumnRenamed("cid", "nid"), k=1, q_id="cid",
                                    q_vec="v", d_id="nid", d_vec="v", metric="ward",
                                    exclude_self=True, q_weight="w", d_weight="w",
@@ -157,18 +159,20 @@ def refine_kmeans(points: DataFrame, init: DataFrame, *, id_col: str, vec: str,
                   max_iter: int = 300, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """Lloyd iterations from the given centres (an empty cluster keeps its
     centre). Stops when the total squared shift is at most ``tol`` times
-    the mean per-coordinate variance, or after ``max_iter`` rounds.
+    the mean per-coordinate variance; raises after ``max_iter`` rounds.
     Returns (assignment ``(id, centre_id)``, centres)."""
     dim = vector_dim(points, vec)
-    var = points.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(
-        F.var_pop("x").alias("s2")).agg(F.avg("s2")).first()[0] or 0.0
+    spread = points.agg(*[F.var_pop(F.col(vec)[i]) for i in range(dim)]).first()
+    var = sum(x or 0.0 for x in spread) / max(dim, 1)
     tol_abs = tol * var
     pts = cut_lineage(points.select(F.col(id_col).cast("long").alias("__pid"),
                                     F.col(vec).cast("array<double>").alias("__v")))
     cen = cut_lineage(init.select(F.col(centre_id).cast("long").alias("__cid"),
                                   F.col(centre_vec).cast("array<double>").alias("__c")))
     assign = None
-    for _ in range(max_iter):
+    for done in range(max_iter + 1):
+        if done == max_iter:
+            raise RuntimeError(f"centres still move after {max_iter} iterations")
         assign = NB.nearest_centre(pts, cen, point_id="__pid", vec="__v", centre_id="__cid",
                                    centre_vec="__c", out="__cid")
         moved = (assign.join(pts, "__pid").groupBy("__cid")

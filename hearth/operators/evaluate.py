@@ -24,12 +24,18 @@ from hearth import config as C
 from hearth.operators import neighbors as NB
 from hearth.operators import scaling as SC
 from hearth.operators.prefix import running_sum
+from hearth.session import cut_lineage
 
 
 def _hash_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
+def _hash_bucket(h: str) -> Column:
+    """The first three hex digits of an md5: 4,096 even parts of its order."""
+    return F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
+
+
 # --- V1 V2 -----------------------------------------------------------------------------------
 
 def stratified_folds(df: DataFrame, *, id_col: str, label: str, n_folds: int = C.N_FOLDS,
@@ -38,7 +44,7 @@ def stratified_folds(df: DataFrame, *, id_col: str, label: str, n_folds: int = C
     spread evenly (fold sizes differ by at most one per class)."""
     x = df.withColumn("__h", _hash_key(id_col, seed)).withColumn("__one", F.lit(1))
     r = running_sum(x, order_by=["__h", id_col], sums=["__one"], partition_by=[label],
-                    inclusive=False, prefix="__rk")
+                    inclusive=False, bucket=_hash_bucket("__h"), prefix="__rk")
     return r.withColumn(out, F.pmod(F.col("__rk__one"), F.lit(n_folds)).cast("int")).drop(
         "__h", "__one", "__rk__one")
 
@@ -50,7 +56,8 @@ def holdout_split(df: DataFrame, *, id_col: str, test_fraction: float = C.HOLDOU
     n = df.count()
     n_test = math.ceil(test_fraction * n)
     x = df.withColumn("__h", _hash_key(id_col, seed)).withColumn("__one", F.lit(1))
-    r = running_sum(x, order_by=["__h", id_col], sums=["__one"], inclusive=False, prefix="__rk")
+    r = running_sum(x, order_by=["__h", id_col], sums=["__one"], inclusive=False,
+                    bucket=_hash_bucket("__h"), prefix="__rk")
     return r.withColumn(out, F.col("__rk__one") < n_test).drop("__h", "__one", "__rk__one")
 
 
@@ -66,8 +73,9 @@ def param_grid(grid: Mapping[str, Sequence]) -> list[dict]:
 
 # --- model factories (V5 V6 V7 V8) --------------------------------------------------------------
 
-Fitter = Callable[[DataFrame, DataFrame, str], DataFrame]
-"""(train, test, fold label) -> test rows with ``score`` (and ``id``)."""
+Scorer = Callable[[DataFrame], DataFrame]
+Fitter = Callable[[DataFrame, str], Scorer]
+"""(training rows, fold label) -> a function that adds ``score`` to rows."""
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -81,7 +89,7 @@ def random_forest(features: Sequence[str], *, label: str = "y", seed: int = 1,
     p = dict(C.RF_PARAMS)
     p.update(params)
 
-    def fit(train, test, fold):
+    def fit(train, fold):
         tr = _assemble(train, features).persist()
         m = RandomForestClassifier(featuresCol="__x", labelCol=label, seed=seed,
                                    featureSubsetStrategy="sqrt", impurity="gini",
@@ -90,21 +98,19 @@ def random_forest(features: Sequence[str], *, label: str = "y", seed: int = 1,
         if importances is not None:
             importances.extend((fold, f, float(v) * 100.0)
                                for f, v in zip(features, m.featureImportances.toArray()))
-        s = m.transform(_assemble(test, features))
-        return s.withColumn("score", vector_to_array("probability")[1])
+        return lambda rows: m.transform(_assemble(rows, features)).withColumn(
+            "score", vector_to_array("probability")[1])
     return fit
 
 
 def boosted_trees(features: Sequence[str], *, label: str = "y", seed: int = 1,
                   **params) -> Fitter:
     """Gradient-boosted trees (logistic loss) probability of class 1. The
-    source's min-loss-reduction (gamma) has no exact Spark equivalent; pass
-    ``minInfoGain`` to set Spark's split floor (default 0)."""
-    p = dict(C.GBT_PARAMS)
-    p["minInfoGain"] = 0.0
-    p.update(params)
+    source's least loss reduction and column share have no Spark equivalent;
+    ``minInfoGain`` sets Spark's own split floor (default 0)."""
+    p = {"minInfoGain": 0.0, **C.GBT_PARAMS, **params}
 
-    def fit(train, test, fold):
+    def fit(train, fold):
         tr = _assemble(train, features).persist()
         m = GBTClassifier(featuresCol="__x", labelCol=label, seed=seed, lossType="logistic",
                           maxIter=p["maxIter"], stepSize=p["stepSize"], maxDepth=p["maxDepth"],
@@ -112,8 +118,8 @@ def boosted_trees(features: Sequence[str], *, label: str = "y", seed: int = 1,
                           subsamplingRate=p["subsamplingRate"],
                           minInfoGain=p["minInfoGain"]).fit(tr)
         tr.unpersist()
-        s = m.transform(_assemble(test, features))
-        return s.withColumn("score", vector_to_array("probability")[1])
+        return lambda rows: m.transform(_assemble(rows, features)).withColumn(
+            "score", vector_to_array("probability")[1])
     return fit
 
 
@@ -144,14 +150,14 @@ def rbf_svm(features: Sequence[str], *, label: str = "y", C_: float = 1.0, gamma
         schema = df.select(*keep).schema.add("__z", ArrayType(DoubleType()))
         return df.mapInPandas(batches, schema).withColumn("__x", array_to_vector("__z"))
 
-    def fit(train, test, fold):
+    def fit(train, fold):
         tr = lift(train).persist()  # the optimiser passes over it many times
         n = tr.count()
         m = LinearSVC(featuresCol="__x", labelCol=label, regParam=1.0 / (C_ * max(n, 1)),
                       maxIter=max_iter).fit(tr)
         tr.unpersist()
-        s = m.transform(lift(test))
-        return s.withColumn("score", vector_to_array("rawPrediction")[1])
+        return lambda rows: m.transform(lift(rows)).withColumn(
+            "score", vector_to_array("rawPrediction")[1])
     return fit
 
 
@@ -163,75 +169,143 @@ def neighbour_vote(features: Sequence[str], *, id_col: str, label: str = "y", k:
     feats = list(features)
     metric = "manhattan" if p == 1 else ("euclidean" if p == 2 else "minkowski")
 
-    def fit(train, test, fold):
+    def fit(train, fold):
         stats = SC.fit_scaler(train, feats)
         vec = NB.as_vector([((F.col(c).cast("double") - m) / s) for c, (m, s) in stats.items()])
-        tr = train.withColumn("__v", vec)
-        te = test.withColumn("__v", vec)
-        sc = NB.knn_classify(te.select(id_col, "__v"), tr.select(id_col, "__v", label), k=k,
-                             id_col=id_col, vec="__v", label=label, positive=1,
-                             weights=weights, metric=metric, p=p, rank_digits=rank_digits)
-        return test.join(sc, id_col, "left")
+        tr = train.withColumn("__v", vec).select(id_col, "__v", label)
+
+        def score(rows):
+            sc = NB.knn_classify(rows.withColumn("__v", vec).select(id_col, "__v"), tr, k=k,
+                                 id_col=id_col, vec="__v", label=label, positive=1,
+                                 weights=weights, metric=metric, p=p, rank_digits=rank_digits)
+            return rows.join(sc, id_col, "left")
+        return score
     return fit
 
 
+#: The models that are compared, with the parameters that the source chose.
+MODELS = {"rf": C.RF_PARAMS, "gbt": C.GBT_PARAMS, "svm": C.SVM_PARAMS, "knn": C.KNN_PARAMS}
+#: Their grids.
+GRIDS = {"rf": C.RF_GRID, "gbt": C.GBT_GRID, "svm": C.SVM_GRID, "knn": C.KNN_GRID}
+
+
+def model(name: str, features: Sequence[str], *, id_col: str, label: str = "y",
+          importances: list | None = None, **params) -> Fitter:
+    """The fitter of a model by name, with its chosen parameters unless given."""
+    p = {**MODELS[name], **params}
+    if name == "rf":
+        return random_forest(features, label=label, importances=importances, **p)
+    if name == "gbt":
+        return boosted_trees(features, label=label, **p)
+    if name == "svm":
+        return rbf_svm(features, label=label, **p)
+    return neighbour_vote(features, id_col=id_col, label=label, **p)
+
+
+def score_cut(candidate: str) -> float:
+    """The score above which a candidate predicts class 1: 0 for margins
+    (candidates named after the SVM), else one half."""
+    return 0.0 if candidate.startswith("svm") else 0.5
+
+
 # --- V4 -----------------------------------------------------------------------------------------
 
-def oof_predict(df: DataFrame, fitter: Fitter, *, id_col: str, label: str = "y",
-                fold_col: str = "fold", n_folds: int = C.N_FOLDS, candidate: str = "model"
-                ) -> DataFrame:
-    """Fit on every fold but one, score the held-out fold, for every fold;
-    the union is one out-of-fold score per row:
-    ``(candidate, id, fold, label, score)``. The loop is over folds (a
-    handful of Spark jobs), never over rows."""
+def cross_validate(df: DataFrame, fitter: Fitter, *, id_col: str, label: str = "y",
+                   fold_col: str = "fold", n_folds: int = C.N_FOLDS, candidate: str = "model",
+                   train_side: bool = True) -> DataFrame:
+    """Fit on every fold but one and score the held-out fold, and the training
+    rows as well with ``train_side``: ``(candidate, id, fold, label, score,
+    is_train)``, ``fold`` being the held-out one.
+
+    The folds are written once and every fit reads that table, so each row is
+    scored by exactly one model that has not seen it. The loop is over folds
+    (a handful of Spark jobs), never over rows."""
+    df = cut_lineage(df, "folds")
     parts = []
     for f in range(n_folds):
-        train = df.where(F.col(fold_col) != f)
-        test = df.where(F.col(fold_col) == f)
-        s = fitter(train, test, str(f))
-        parts.append(s.select(F.lit(candidate).alias("candidate"), F.col(id_col).alias("id"),
-                              F.col(fold_col).alias("fold"), F.col(label).alias("label"),
-                              F.col("score").cast("double").alias("score")))
+        score = fitter(df.where(F.col(fold_col) != f), str(f))
+        for is_train in (False, True) if train_side else (False,):
+            rows = df.where(F.col(fold_col) != f if is_train else F.col(fold_col) == f)
+            parts.append(score(rows).select(
+                F.lit(candidate).alias("candidate"), F.col(id_col).alias("id"), F.lit(f).alias("fold"),
+                F.col(label).alias("label"), F.col("score").cast("double").alias("score"),
+                F.lit(is_train).alias("is_train")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def oof_predict(df: DataFrame, fitter: Fitter, *, id_col: str, label: str = "y",
+                fold_col: str = "fold", n_folds: int = C.N_FOLDS, candidate: str = "model"
+                ) -> DataFrame:
+    """One out-of-fold score per row: ``(candidate, id, fold, label, score)``."""
+    return cross_validate(df, fitter, id_col=id_col, label=label, fold_col=fold_col,
+                          n_folds=n_folds, candidate=candidate, train_side=False).drop("is_train")
+
+
+def compare_candidates(df: DataFrame, candidates: Mapping[str, Fitter], *, id_col: str,
+                       label: str = "y", fold_col: str = "fold", n_folds: int = C.N_FOLDS
+                       ) -> dict[str, DataFrame]:
+    """Every candidate out of fold. Returns ``scores`` (all rows, both sides),
+    ``accuracy`` (by candidate, fold and side), ``results`` (a row for each
+    candidate: accuracy, train accuracy, exact AUC), and of the candidate with
+    the largest AUC its ``best`` row, ``confusion`` and ``roc``. The loop runs
+    over candidates and folds, never over rows."""
+    from hearth.operators.threshold import roc_auc, roc_curve
+    rows, held, sides = [], {}, []
+    for name, fitter in candidates.items():
+        scores = cut_lineage(cross_validate(df, fitter, id_col=id_col, label=label,
+                                            fold_col=fold_col, n_folds=n_folds, candidate=name), "scores")
+        held[name] = scores.where(~F.col("is_train")).drop("is_train")
+        side = fold_accuracy(scores, threshold=score_cut(name), by=("is_train",))
+        sides.append(side)
+        pooled = {r.is_train: r.accuracy for r in side.where(F.col("fold").isNull()).collect()}
+        auc = roc_auc(held[name], score="score", label="label", positive=1).first()["auc"]
+        rows.append((name, pooled.get(False), pooled.get(True), auc))
+    # one row per candidate (bounded by the grid)
+    results = df.sparkSession.createDataFrame(
+        rows, "candidate string, accuracy double, train_accuracy double, auc double")
+    best = best_candidate(results, "auc")
+    name = best.first()["candidate"]
+    accuracy, scores = sides[0], list(held.values())[0]
+    for s in sides[1:]:
+        accuracy = accuracy.unionByName(s)
+    for s in list(held.values())[1:]:
+        scores = scores.unionByName(s)
+    return {"scores": scores, "accuracy": accuracy, "results": results, "best": best,
+            "confusion": confusion(held[name], threshold=score_cut(name)),
+            "roc": roc_curve(held[name], score="score", label="label", positive=1)}
+
+
+def grid_candidates(name: str, grid: Mapping[str, Sequence], features: Sequence[str], *,
+                    id_col: str, label: str = "y") -> dict[str, Fitter]:
+    """A fitter for every combination of a model's grid, by its parameters."""
+    return {f"{name}({','.join(f'{k}={v}' for k, v in p.items())})":
+            model(name, features, id_col=id_col, label=label, **p) for p in param_grid(grid)}
+
+
 def grid_search(df: DataFrame, make_fitter: Callable[[dict], Fitter], grid: Mapping[str, Sequence],
                 *, id_col: str, label: str = "y", fold_col: str = "fold",
-                n_folds: int = C.N_FOLDS, threshold: float = 0.5) -> DataFrame:
-    """Out-of-fold evaluation of every candidate of ``grid``: one row per
-    candidate with its parameters (as text), pooled accuracy and exact AUC.
-    The loop runs over candidates and folds (Spark jobs), never over rows;
-    pick the winner with :func:`best_candidate`."""
-    from hearth.operators.threshold import roc_auc
-    rows = []
-    for params in param_grid(grid):
-        name = ",".join(f"{k}={v}" for k, v in params.items())
-        scores = oof_predict(df, make_fitter(params), id_col=id_col, label=label,
-                             fold_col=fold_col, n_folds=n_folds, candidate=name)
-        pred = (F.col("score") > threshold).cast("int")
-        acc = scores.agg(F.avg((pred == F.col("label")).cast("int"))).first()[0]
-        auc = roc_auc(scores, score="score", label="label", positive=1).first()["auc"]
-        rows.append((name, acc, auc))
-    # the results table has one row per candidate (bounded by the grid)
-    return df.sparkSession.createDataFrame(rows, "candidate string, accuracy double, auc double")
+                n_folds: int = C.N_FOLDS) -> DataFrame:
+    """Out-of-fold evaluation of every combination of ``grid``: one row per
+    candidate (its parameters as text) with pooled accuracy on both sides and
+    exact AUC; pick the winner with :func:`best_candidate`."""
+    named = {",".join(f"{k}={v}" for k, v in p.items()): make_fitter(p) for p in param_grid(grid)}
+    return compare_candidates(df, named, id_col=id_col, label=label, fold_col=fold_col,
+                              n_folds=n_folds)["results"]
 
 
 # --- V11 V12 T1 T3 ------------------------------------------------------------------------------
 
-def fold_accuracy(scores: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """Accuracy per fold and pooled, class = score rounded half to even
-    (score > 0.5 for probabilities; for margins pass threshold 0)."""
+def fold_accuracy(scores: DataFrame, *, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy per fold and pooled (NULL fold), class = score rounded half to
+    even (score > 0.5 for probabilities; for margins pass threshold 0)."""
     pred = (F.col("score") > threshold).cast("int")
     eq = (pred == F.col("label")).cast("int")
-    per = scores.groupBy("candidate", "fold").agg(F.avg(eq).alias("accuracy"),
-                                                  F.count(F.lit(1)).alias("n"))
-    pooled = scores.groupBy("candidate").agg(F.avg(eq).alias("accuracy"),
-                                             F.count(F.lit(1)).alias("n")).withColumn(
-        "fold", F.lit(None).cast("int"))
-    return per.unionByName(pooled)
+    agg = [F.avg(eq).alias("accuracy"), F.count(F.lit(1)).alias("n")]
+    pooled = scores.groupBy("candidate", *by).agg(*agg).withColumn("fold", F.lit(None).cast("int"))
+    return scores.groupBy("candidate", *by, "fold").agg(*agg).unionByName(pooled)
 
 
 def confusion(scores: DataFrame, *, names: Mapping[int, str] | None = None,

@@ -160,11 +160,15 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, cols: Sequence[str]) -> Dat
 def add_indicators(df: DataFrame, *, situation: str = "situation",
                    dependants: str = "personne_charges", income: str = "revenus_tot",
                    charges: str = "charges", instalments: str = "sum_mensualite",
-                   balance: str = "sum_solde", couples: Sequence[str] = C.COUPLE_SITUATIONS
-                   ) -> DataFrame:
+                   balance: str = "sum_solde", couples: Sequence[str] = C.COUPLE_SITUATIONS,
+                   couple: Column | None = None) -> DataFrame:
     """Consumption units ``u_c``, disposable income per unit ``rav`` and the
-    income-to-balance ratio ``imc``."""
-    df = df.withColumn("u_c", X.consumption_units(situation, dependants, couples=couples))
+    income-to-balance ratio ``imc``. ``couple`` says which rows are couples
+    where ``situation`` is encoded already."""
+    if couple is not None:
+        df = df.withColumn("u_c", X.units_of(couple, dependants))
+    else:
+        df = df.withColumn("u_c", X.consumption_units(situation, dependants, couples=couples))
     return df.withColumns({
         "rav": X.disposable_per_unit(income, charges, instalments, "u_c"),
         "imc": X.income_ratio(income, balance),

@@ -209,7 +209,7 @@ def knn_impute(df: DataFrame, *, id_col: str, fill_cols: Sequence[str],
     """Fill NULLs of each ``fill_cols`` column from the k nearest rows where
     that column is known (inverse-distance mean; zero distance: mean of the
     zero-distance donors), unscaled Euclidean distance on ``feature_cols``
-    (default: every other column but the id). Features must be non-NULL.
+    (default: every other column but the id). A NULL feature raises.
     Columns are independent (the filled columns are not features), so each
     is imputed from the original frame; filled columns become DOUBLE."""
     fill_cols = list(fill_cols)
@@ -219,6 +219,9 @@ def knn_impute(df: DataFrame, *, id_col: str, fill_cols: Sequence[str],
     # (rows with a NULL only) are materialised before the joins back, which
     # keeps the plan flat however many columns are filled
     base = cut_lineage(df.withColumn("__vec", as_vector(feature_cols)), "impute-base")
+    unknown = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feature_cols]).first()
+    if any(unknown):
+        raise ValueError(f"features must be known: {({c: unknown[c] for c in feature_cols if unknown[c]})} are NULL")
     preds = []
     for i, c in enumerate(fill_cols):
         need = base.where(F.col(c).isNull()).select(id_col, "__vec")

@@ -1,12 +1,11 @@
 """Distributed running sums (prefix sums) in a total order.
 
 A window with no ``partitionBy`` (or partitioned by a key that may hold a
-third of all rows) sends every row of the partition to one task. Here the
-rows are range-partitioned on (group, order keys) instead, so a hot group
-spreads over many tasks: each task computes local running sums, the small
-table of per-(range partition, group) totals gives each range its offset,
-and offset + local sum is the global running sum. Work and memory per task
-are bounded by the range partition size, whatever the key distribution.
+third of all rows) sends every row of the partition to one task. Here rows
+are put into buckets of the order instead. The bucket is a column, a pure
+function of the row's own values: every branch of the plan, every job and
+every retry computes the same one. Each (group, bucket) is summed alone, and
+the totals of the buckets before it are the offset.
 """
 
 from __future__ import annotations
@@ -16,55 +15,72 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearth.session import cut_lineage
 
-def _as_cols(xs):
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+#: Rows drawn for each bucket to place the bounds between buckets.
+SAMPLES_PER_BUCKET = 40
 
 
-def running_sum(df: DataFrame, *, order_by: Sequence[str | Column], sums: Sequence[str],
+def bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int) -> list[tuple]:
+    """Up to ``buckets - 1`` ascending tuples of ``cols`` that cut the rows
+    into parts of about equal size. Taken from the rows with the smallest
+    hashes, so equal tables give equal bounds; the driver gets
+    ``SAMPLES_PER_BUCKET * buckets`` distinct tuples at most."""
+    if buckets < 2:
+        return []
+    draw = (df.select(*cols, F.xxhash64(*cols).alias("__draw")).distinct()
+            .orderBy("__draw", *cols).limit(SAMPLES_PER_BUCKET * buckets).drop("__draw"))
+    rows = [tuple(r) for r in draw.orderBy(*cols).collect()]
+    step = len(rows) / buckets
+    return list(dict.fromkeys(rows[int(step * k)] for k in range(1, buckets))) if rows else []
+
+
+def bucket_of(df: DataFrame, cols: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """How many of ``bounds`` a row's tuple of ``cols`` has reached."""
+    if not bounds:
+        return F.lit(0)
+    types = [df.schema[c].dataType for c in cols]
+    lits = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, cols)])
+                     for b in bounds])
+    return F.size(F.filter(lits, lambda b: b <= F.struct(*cols)))
+
+
+def running_sum(df: DataFrame, *, order_by: Sequence[str], sums: Sequence[str],
                 partition_by: Sequence[str] = (), inclusive: bool = True,
+                descending: bool = False, bucket: Column | None = None,
                 num_partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``{prefix}{c}`` = running sum of ``c`` within ``partition_by``
-    following ``order_by`` (ascending order columns or Column sort
-    expressions). ``inclusive`` includes the current row; otherwise the sum
-    of the strictly earlier rows. Ties in ``order_by`` are summed in an
-    arbitrary but fixed order, so use a unique order (e.g. after grouping by
-    the order key).
-
-    Shuffles: one range exchange of ``df`` (plus Spark's sampling pass for
-    the range bounds) and one exchange of the per-range totals, whose size
-    is bounded by (#range partitions + #groups).
+    following the columns ``order_by`` (``descending``: all of them turned
+    round). ``inclusive`` includes the current row; otherwise the sum of the
+    strictly earlier rows. Ties in ``order_by`` are summed in an arbitrary
+    order, so use a unique order (e.g. after grouping by the order key).
+
+    ``bucket`` is an integer expression that never falls while ``order_by``
+    rises, for orders that are uniform by nature (a hash prefix); without it
+    bounds are placed by :func:`bucket_bounds`.
+
+    Shuffles: one exchange of the rows on (group, bucket). Bucket totals are
+    combined before theirs, and travel with the rows as one more row at the
+    head of each bucket. ``df`` is read twice (three times without
+    ``bucket``); materialise it when that is dear.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = list(partition_by)
-    order_cols = _as_cols(order_by)
-    ranged = df.repartitionByRange(n, *[F.col(p) for p in parts], *order_cols)
-    ranged = ranged.withColumn("__pid", F.spark_partition_id())
-
-    frame_end = Window.currentRow if inclusive else -1
-    w_local = (Window.partitionBy("__pid", *parts).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, frame_end))
-    w_all = Window.partitionBy("__pid", *parts)
-    local = ranged.select(
-        "*",
-        *[F.coalesce(F.sum(c).over(w_local), F.lit(0)).alias(f"__loc_{c}") for c in sums],
-        *[F.sum(c).over(w_all).alias(f"__tot_{c}") for c in sums],
-    )
-    totals = local.groupBy("__pid", *parts).agg(
-        *[F.max(f"__tot_{c}").alias(f"__tot_{c}") for c in sums])
-    w_off = (Window.partitionBy(*parts).orderBy("__pid")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        F.col("__pid").alias("__pid2"), *[F.col(p).alias(f"__p_{p}") for p in parts],
-        *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}") for c in sums])
-    cond = [local["__pid"] == offsets["__pid2"]] + [
-        local[p].eqNullSafe(offsets[f"__p_{p}"]) for p in parts]
-    joined = local.join(offsets, cond, "inner")
-    out = joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"__off_{c}") + F.col(f"__loc_{c}")).alias(f"{prefix}{c}") for c in sums])
-    return out
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, order = list(partition_by), list(order_by)
+    if bucket is None:
+        keys = [*parts, *order]
+        bucket = bucket_of(df, keys, bucket_bounds(df, keys, n))
+    marked = df.withColumn("__bucket", bucket)
+    turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    totals = marked.groupBy(*parts, "__bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = (Window.partitionBy(*(parts or [F.lit(0)])).orderBy(turn("__bucket"))
+               .rowsBetween(Window.unboundedPreceding, -1))
+    heads = totals.select(*parts, "__bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums],
+                          F.lit(True).alias("__head"))
+    rows = marked.withColumn("__head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    upto = (Window.partitionBy(*parts, "__bucket").orderBy(F.col("__head").desc(), *map(turn, order))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    out = rows.select("*", *[F.sum(c).over(upto).alias(f"{prefix}{c}") for c in sums])
+    return out.where(~F.col("__head")).select(*df.columns, *[f"{prefix}{c}" for c in sums])
 
 
 def dense_codes(df: DataFrame, col: str, *, out: str = "code", partition_by: Sequence[str] = ()
@@ -73,7 +89,7 @@ def dense_codes(df: DataFrame, col: str, *, out: str = "code", partition_by: Seq
     rank in ascending (code-point) order, computed as a distributed running
     count over the distinct values."""
     parts = list(partition_by)
-    d = df.select(*parts, col).distinct().withColumn("__one", F.lit(1))
+    d = cut_lineage(df.select(*parts, col).distinct(), "distinct").withColumn("__one", F.lit(1))
     r = running_sum(d, order_by=[col], sums=["__one"], partition_by=parts, inclusive=False,
                     prefix="__rk")
     return r.select(*parts, col, F.col("__rk__one").cast("int").alias(out))

@@ -18,21 +18,6 @@ def _cols(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000,
-                       max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint only behind a checked bound on rows and bytes (the
-    bytes of every value as text, measured on at most ``max_rows + 1``
-    rows, so the check itself is bounded); otherwise leave the choice to
-    the planner (sort-merge join, or AQE's runtime broadcast)."""
-    probe = df.limit(max_rows + 1)
-    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
-    total = width[0] if len(width) == 1 else F.expr(" + ".join(
-        f"coalesce(octet_length(cast(`{c}` as string)), 0)" for c in df.columns))
-    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("b")).first()
-    n, b = row["n"], row["b"] or 0
-    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
-
-
 # --- J1 P2 P3 --------------------------------------------------------------
 
 def attach_age(cases: DataFrame, births: DataFrame, *, case_id: str = "id",
@@ -89,11 +74,13 @@ def first_per_key(df: DataFrame, *, key: str | Sequence[str] = "id_dossier",
                   order_col: str = "id_action", keep: Sequence[str] | None = None
                   ) -> DataFrame:
     """The row with the smallest ``order_col`` per key (the NULL key is a
-    group of its own, as in GROUP BY). Partial aggregation of a min struct:
-    a hot key costs one struct per map task."""
+    group of its own, as in GROUP BY). Rows whose ``order_col`` is NULL are
+    never first, as MIN skips them; a key without any other drops out.
+    Partial aggregation of a min struct: a hot key costs one struct per map
+    task."""
     keys = _cols(key)
     rest = [c for c in (keep if keep is not None else df.columns) if c not in keys and c != order_col]
-    m = df.groupBy(*keys).agg(F.min(F.struct(F.col(order_col), *[F.col(c) for c in rest])).alias("__r"))
+    m = df.where(F.col(order_col).isNotNull()).groupBy(*keys).agg(F.min(F.struct(F.col(order_col), *[F.col(c) for c in rest])).alias("__r"))
     return m.select(*keys, "__r.*")
 
 
@@ -114,9 +101,11 @@ def min_ids_in(df: DataFrame, *, key: str, id_col: str, use_max: bool = False) -
 
 # --- A5 J5 P4 P5 ---------------------------------------------------------------
 
-def exclude_like(df: DataFrame, col: str, pattern: str) -> DataFrame:
-    """``col NOT LIKE pattern``; NULL values are dropped like in SQL."""
-    return df.where(~F.col(col).like(pattern))
+def exclude_like(df: DataFrame, col: str, pattern: str, *, ignore_case: bool = False) -> DataFrame:
+    """``col NOT LIKE pattern``; NULL values are dropped like in SQL.
+    ``ignore_case`` compares as a case-insensitive collation does."""
+    like = F.col(col).ilike(pattern) if ignore_case else F.col(col).like(pattern)
+    return df.where(~like)
 
 
 def keep_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
@@ -138,10 +127,10 @@ def latest_rows(df: DataFrame, *, key: str = "id_dossier", date_col: str = "dat_
 
 def latest_per_key(df: DataFrame, *, key: str = "id_dossier", date_col: str = "dat_budget",
                    id_col: str = "id_budget") -> DataFrame:
-    """One row per key: latest date, then largest id. NULL dates and NULL keys
-    drop out. Single partial aggregate of a (date, id, row) max struct."""
+    """One row per key: latest date, then largest id. NULL dates, NULL keys and
+    NULL ids drop out. Single partial aggregate of a (date, id, row) max struct."""
     rest = [c for c in df.columns if c not in (key, date_col, id_col)]
-    m = (df.where(F.col(key).isNotNull() & F.col(date_col).isNotNull())
+    m = (df.where(F.col(key).isNotNull() & F.col(date_col).isNotNull() & F.col(id_col).isNotNull())
          .groupBy(key)
          .agg(F.max(F.struct(F.col(date_col), F.col(id_col), *[F.col(c) for c in rest])).alias("__r")))
     return m.select(key, "__r.*").select(*df.columns)
@@ -158,14 +147,23 @@ def latest_per_key_literal(df: DataFrame, *, key: str = "id_dossier",
 # --- J2 J3 P1 ------------------------------------------------------------------
 
 def inner_dimension(facts: DataFrame, dim: DataFrame, *, left_key: str, right_key: str,
-                    dim_cols: Sequence[str], max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Inner join to a (filtered) dimension, taking ``dim_cols`` from it.
-    The dimension is broadcast only if its row count is under the bound."""
+                    dim_cols: Sequence[str]) -> DataFrame:
+    """Inner join to a (filtered) dimension, taking ``dim_cols`` from it. The
+    planner broadcasts the dimension if its measured size allows."""
     d = dim.select(F.col(right_key).alias("__dk"), *dim_cols)
-    d = broadcast_if_small(d, max_broadcast_rows)
     return facts.join(d, facts[left_key] == d["__dk"], "inner").drop("__dk")
 
 
+def require_unique(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, after raising if a non-NULL ``key`` occurs twice: joined on it,
+    such a side would multiply the other's rows."""
+    twice = (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+             .where("n > 1").limit(3).collect())
+    if twice:
+        raise ValueError(f"{name}.{key} is not unique: {[r[0] for r in twice]}")
+    return df
+
+
 def left_attach(base: DataFrame, base_key: str, side: DataFrame, side_key: str,
                 cols: Sequence[str] | None = None) -> DataFrame:
     """Left outer join of a side table keyed by ``side_key`` (unique after

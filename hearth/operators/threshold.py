@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hearth import config as C
 from hearth.operators.prefix import running_sum
+from hearth.session import cut_lineage
 
 
 def _c(x: str | Column) -> Column:
@@ -88,6 +89,7 @@ def fit_threshold(df: DataFrame, *, score: str, label: str, above=C.CLASS_ABOVE,
         .alias("__tot_not_b"),
         F.coalesce(F.sum(F.when(F.col("__s").isNull(), F.col("__not_b"))), F.lit(0))
         .alias("__null_err")]
+    g = cut_lineage(g, "score-counts")
     scored = running_sum(g.where(F.col("__s").isNotNull()), order_by=["__s"],
                          sums=["__not_a", "__not_b"], partition_by=groups, inclusive=False,
                          prefix="__lt")
@@ -150,10 +152,13 @@ def apply_thresholds(df: DataFrame, fitted: DataFrame, *, score: str, group_by:
 # --- V9 V10 ---------------------------------------------------------------------------------
 
 def _score_counts(df: DataFrame, score: str, label: str, positive) -> DataFrame:
+    """Positives and negatives of each distinct score, materialised: the input
+    is scanned once, whatever reads the counts."""
     pos = F.coalesce(F.col(label) == positive, F.lit(False)).cast("long")
-    return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-            .groupBy(F.col(score).alias("__s"))
-            .agg(F.sum(pos).alias("__p"), F.sum(1 - pos).alias("__q")))
+    counts = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+              .groupBy(F.col(score).alias("__s"))
+              .agg(F.sum(pos).alias("__p"), F.sum(1 - pos).alias("__q")))
+    return cut_lineage(counts, "score-counts")
 
 
 def roc_auc(df: DataFrame, *, score: str, label: str, positive=1) -> DataFrame:
@@ -179,7 +184,7 @@ def roc_curve(df: DataFrame, *, score: str, label: str, positive=1) -> DataFrame
     """ROC points, one per distinct score (descending), plus the origin with a
     NULL threshold: ``threshold, tp, fp, tpr, fpr``."""
     g = _score_counts(df, score, label, positive)
-    r = running_sum(g, order_by=[F.col("__s").desc()], sums=["__p", "__q"], inclusive=True,
+    r = running_sum(g, order_by=["__s"], descending=True, sums=["__p", "__q"], inclusive=True,
                     prefix="__ge")
     tot = g.agg(F.sum("__p").alias("P"), F.sum("__q").alias("N")).first()
     pts = r.select(F.col("__s").alias("threshold"), F.col("__ge__p").alias("tp"),

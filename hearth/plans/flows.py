@@ -12,7 +12,7 @@ continue (the stats of a scaler, a fitted model, an iterative round).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -41,7 +41,6 @@ class CaseTables:
 
 @dataclass
 class CleanConfig:
-    platforms: Sequence[str] = tuple(C.PLATFORMS)
     charge_cols: Sequence[str] = tuple(C.CHARGE_COLUMNS)
     couples: Sequence[str] = tuple(C.COUPLE_SITUATIONS)
     impute_features: Sequence[str] | None = None  # default: all kept columns but sparse + id
@@ -51,26 +50,44 @@ class CleanConfig:
 
 # --- A ----------------------------------------------------------------------------------------
 
-def build_extract(t: CaseTables, platforms: Sequence[str] = C.PLATFORMS) -> DataFrame:
+def extract_columns() -> list[str]:
+    """The 100 columns of the extract, in order."""
+    case = list(C.CASE_COLUMNS)
+    case.insert(case.index("id_group") + 1, "plateforme")
+    pivot = [f"{m}_{t}" for m in C.CREDIT_MEASURES for t in C.CREDIT_TYPES]
+    return case + ["age", "nombre_credits", *pivot, "typ", *C.BUDGET_COLUMNS, "dat_budget",
+                   "objectfull"]
+
+
+def build_extract(t: CaseTables, platforms: Sequence[str]) -> DataFrame:
     """The wide case record: cases with age, kept platforms only, credit
-    pivot, latest budget (excluding the unpaid type) and first action."""
-    cases = R.attach_age(t.dossier, t.naissance)
-    partners = R.keep_values(t.partenaire.select("id_partenaire", "plateforme"),
-                             "plateforme", platforms)
-    cases = R.inner_dimension(cases, partners, left_key="id_group", right_key="id_partenaire",
+    pivot, latest budget (excluding the unpaid type) and first action.
+
+    Every side is checked to be unique on its join key first (raises), so the
+    record has one row for each case. Columns are taken by table: an amount
+    comes from the budget also where the case table has a column of its name.
+    """
+    births = R.require_unique(t.naissance, "id", "naissance")
+    partners = R.require_unique(t.partenaire.select("id_partenaire", "plateforme"),
+                                "id_partenaire", "partenaire")
+    R.require_unique(t.dossier, "id", "dossier")
+    cases = R.attach_age(t.dossier, births)
+    cases = R.inner_dimension(cases, R.keep_values(partners, "plateforme", platforms),
+                              left_key="id_group", right_key="id_partenaire",
                               dim_cols=["plateforme"])
+    cases = cases.select(*C.CASE_COLUMNS, "plateforme", "age")
     pivot = R.pivot_measures(R.credits_by_type(t.credits.where(F.col("id_dossier").isNotNull())))
     budget = R.exclude_like(t.budget, "typ", C.EXCLUDED_BUDGET_TYPE)
     budget = R.latest_per_key(budget, key="id_dossier", date_col="dat_budget",
                               id_col="id_budget")
-    budget = budget.drop("id_budget", *[c for c in budget.columns
-                                        if c in cases.columns and c != "id_dossier"])
+    budget = budget.select("id_dossier", "typ", *C.BUDGET_COLUMNS, "dat_budget")
     action = R.first_per_key(t.action.where(F.col("id_dossier").isNotNull()),
                              key="id_dossier", order_col="id_action",
                              keep=["id_dossier", "objectfull"])
     x = R.left_attach(cases, "id", pivot, "id_dossier")
     x = R.left_attach(x, "id", budget, "id_dossier")
-    return R.left_attach(x, "id", action.drop("id_action"), "id_dossier")
+    x = R.left_attach(x, "id", action.drop("id_action"), "id_dossier")
+    return x.select(*extract_columns())
 
 
 def clean_dataset(extract: DataFrame, cfg: CleanConfig | None = None
@@ -97,16 +114,8 @@ def clean_dataset(extract: DataFrame, cfg: CleanConfig | None = None
     x = FE.null_outliers(cut_lineage(x, "clean-encoded"))
     feats = cfg.impute_features or [c for c in x.columns
                                     if c not in C.SPARSE_COLUMNS + ["id", "__couple"]]
-    x = x.na.fill(0, subset=[c for c in feats])  # features must be known for distances
     x = NB.knn_impute(x, id_col="id", fill_cols=C.SPARSE_COLUMNS, feature_cols=feats, k=cfg.k)
-    base = F.when(F.col("__couple"), F.lit(C.UNITS_COUPLE)).otherwise(F.lit(C.UNITS_SINGLE))
-    x = x.withColumn("u_c", base + F.lit(C.UNITS_PER_DEPENDANT) * F.col("personne_charges"))
-    x = x.withColumns({
-        "rav": (F.col("revenus_tot") - F.col("charges") - F.col("sum_mensualite")) / F.col("u_c"),
-        "imc": F.when((F.col("sum_solde") == 0) & (F.col("revenus_tot") > 0), F.lit(0.0))
-        .when(F.col("sum_solde") == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("revenus_tot") / F.col("sum_solde")),
-    }).drop("__couple")
+    x = FE.add_indicators(x, couple=F.col("__couple")).drop("__couple")
     return FE.floor_filter(x), mapping
 
 
@@ -131,24 +140,19 @@ def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR
 
 # --- C -----------------------------------------------------------------------------------------
 
-def evaluate_classifier(clean: DataFrame, model: str = "rf") -> dict[str, DataFrame]:
-    """Out-of-fold evaluation of one candidate on the clean dataset."""
+def evaluate_classifier(clean: DataFrame, candidates: Mapping[str, EV.Fitter] | None = None,
+                        models: Sequence[str] = tuple(EV.MODELS)) -> dict[str, DataFrame]:
+    """Out-of-fold evaluation of every candidate (by default the chosen
+    parameters of every model): train and test accuracy by fold, AUC, the best
+    candidate by AUC, and its confusion matrix and ROC."""
     x = clean.withColumn("y", F.when(F.col("orientation") == C.CLASS_BELOW, 1).otherwise(0))
     feats = [c for c in x.columns if c not in ("orientation", "id", "id_user", "y")]
-    x = EV.stratified_folds(x, id_col="id", label="y")
+    x = cut_lineage(EV.stratified_folds(x, id_col="id", label="y"), "folds")
     imp: list = []
-    fitter = {"rf": lambda: EV.random_forest(feats, importances=imp),
-              "gbt": lambda: EV.boosted_trees(feats),
-              "svm": lambda: EV.rbf_svm(feats),
-              "knn": lambda: EV.neighbour_vote(feats, id_col="id", **C.KNN_PARAMS)}[model]()
-    scores = EV.oof_predict(x, fitter, id_col="id", label="y", candidate=model)
-    cut = 0.0 if model == "svm" else 0.5
-    out = {"scores": scores, "accuracy": EV.fold_accuracy(scores, threshold=cut),
-           "auc": T.roc_auc(scores, score="score", label="label"),
-           "roc": T.roc_curve(scores, score="score", label="label"),
-           "confusion": EV.confusion(scores, threshold=cut)}
-    if model == "rf":
-        scores.count()
+    if candidates is None:
+        candidates = {m: EV.model(m, feats, id_col="id", importances=imp) for m in models}
+    out = EV.compare_candidates(x, candidates, id_col="id")
+    if imp:
         out["importances"] = EV.mean_importances(imp, clean.sparkSession)
     return out
 

@@ -49,13 +49,61 @@ def tsv_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("csv_round_trip", sql="""
-SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
 """)
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
+    """Free text with line ends and accents survives the flat CSV."""
+    c = table(spark, d, "conversations")
     path = shared_path(spark, "flat-csv")
-    IO.write_flat_csv(n, path)
-    return IO.read_flat_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+    IO.write_flat_csv(c, path)
+    return IO.read_flat_csv(spark, path, "conv_id long, turn long, role string, text string")
+
+
+@query("documents_round_trip", sql="""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents
+""")
+def documents_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents survive the dump."""
+    path = shared_path(spark, "dump-documents")
+    IO.write_dump_tsv(table(spark, d, "documents"), path)
+    return IO.read_dump_tsv(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@query("extract_report", sql="""
+SELECT c_mktsegment AS platform, COUNT(*) AS n_rows, 5 AS n_columns FROM customer GROUP BY ROLLUP (c_mktsegment)
+""")
+def extract_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, columns and rows per platform of an extract read from its dump."""
+    path = shared_path(spark, "extract")
+    IO.write_dump_tsv(table(spark, d, "customer"), path)
+    _, report = IO.read_extract(spark, path, "c_custkey long, c_name string, c_nationkey int, "
+                                "c_acctbal double, c_mktsegment string", platform_col="c_mktsegment")
+    return report
+
+
+@query("clean_round_trip", sql="""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_type, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part
+""")
+def clean_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The clean sink, read back."""
+    p = table(spark, d, "part").select(lng("p_partkey").alias("p_partkey"), "p_type",
+                                       dbl("p_retailprice").alias("p_retailprice"))
+    path = shared_path(spark, "clean")
+    IO.write_clean(p, path)
+    return IO.read_table(spark, path)
+
+
+@query("cluster_export_round_trip", sql="""
+SELECT CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount,
+       CAST(l_linenumber AS BIGINT) AS cluster FROM lineitem
+""")
+def cluster_export_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Points with their cluster through the export file and back."""
+    li = table(spark, d, "lineitem").select(
+        F.array(dbl("l_quantity"), dbl("l_discount")).alias("v"), lng("l_linenumber").alias("cluster"))
+    path, names = shared_path(spark, "cluster-export"), ["quantity", "discount"]
+    IO.write_cluster_export(li, path, vec="v", names=names)
+    return IO.read_cluster_export(spark, path, names=names)
 
 
 @query("table_round_trip", sql="""

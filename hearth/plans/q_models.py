@@ -14,7 +14,7 @@ from hearth.operators import evaluate as EV
 from hearth.operators import features as FE
 from hearth.operators import threshold as T
 from hearth.plans.registry import query
-from hearth.plans.tables import lng, table
+from hearth.plans.tables import dbl, lng, table
 from hearth.session import cut_lineage
 
 FEATURES = ["s", "ratio", "n_words", "n_distinct", "n_chars", "lang"]
@@ -37,36 +37,31 @@ def doc_features(spark: SparkSession, d: str) -> DataFrame:
                                seed=C.FOLD_SEED)
 
 
-_OOF: dict = {}
-
-
-def _oof(spark: SparkSession, d: str, which: str, importances: list | None = None) -> DataFrame:
-    """Out-of-fold scores of one candidate, materialised in the shared folder
-    and reused by the queries of the same application (with the random
-    forest's importances)."""
-    key = (spark.sparkContext.applicationId, d, which)
-    if key not in _OOF:
-        fkey = (spark.sparkContext.applicationId, d, "features")
-        if fkey not in _OOF:
-            _OOF[fkey] = cut_lineage(doc_features(spark, d), "doc-features")
-        x = _OOF[fkey]
-        imp: list = []
-        if which == "rf":
-            fit = EV.random_forest(FEATURES, importances=imp)
-        elif which == "gbt":
-            fit = EV.boosted_trees(FEATURES)
-        elif which == "svm":
-            fit = EV.rbf_svm(FEATURES, C_=1.0, gamma=0.01)
-        else:
-            fit = EV.neighbour_vote(FEATURES, id_col="doc_id", k=C.KNN_PARAMS["k"],
-                                    weights=C.KNN_PARAMS["weights"], p=C.KNN_PARAMS["p"])
-        scores = cut_lineage(EV.oof_predict(x, fit, id_col="doc_id", label="y",
-                                            candidate=which), f"oof-{which}")
-        _OOF[key] = (scores, imp)
-    scores, imp = _OOF[key]
-    if importances is not None:
-        importances.extend(imp)
-    return scores
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(doc_features(spark, d), "doc-features")
+
+
+def _checked_oof(spark: SparkSession, d: str, which: str) -> DataFrame:
+    """Out-of-fold scores of one model with its chosen parameters: id, held-out
+    fold, label and whether the score lies where that model's scores must (the
+    scores themselves come from randomised fits, which no SQL repeats)."""
+    s = EV.oof_predict(_features(spark, d), EV.model(which, FEATURES, id_col="doc_id"), id_col="doc_id",
+                       label="y", candidate=which)
+    ok = (~F.isnan("score") if which == "svm" else F.col("score").between(0, 1))
+    return s.select("candidate", lng("id").alias("id"), "fold", "label",
+                    F.coalesce(ok, F.lit(False)).alias("score_ok"))
+
+
+SQL_FOLDS = f"""
+f AS (SELECT doc_id, quality, text, (row_number() OVER (PARTITION BY quality
+        ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{C.FOLD_SEED}'), doc_id) - 1) % {C.N_FOLDS} AS fold
+      FROM documents JOIN labels USING (doc_id))"""
+
+
+def _sql_oof(which: str) -> str:
+    return f"""WITH {SQL_FOLDS}
+SELECT '{which}' AS candidate, CAST(doc_id AS BIGINT) AS id, CAST(fold AS INTEGER) AS fold,
+       CAST(quality AS INTEGER) AS label, TRUE AS score_ok FROM f"""
 
 
 @query("holdout_split", sql=f"""
@@ -94,72 +89,109 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     return f.select(lng("o_orderkey").alias("o_orderkey"), "o_orderstatus", "fold")
 
 
-@query("rf_oof")
+@query("rf_oof", sql=_sql_oof("rf"))
 def rf_oof(spark: SparkSession, d: str) -> DataFrame:
     """Random forest (120 trees, depth 10), out-of-fold probabilities."""
-    return _oof(spark, d, "rf")
+    return _checked_oof(spark, d, "rf")
 
 
-@query("gbt_oof")
+@query("gbt_oof", sql=_sql_oof("gbt"))
 def gbt_oof(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees (58 rounds, step 0.2, depth 4), out-of-fold probabilities."""
-    return _oof(spark, d, "gbt")
+    return _checked_oof(spark, d, "gbt")
 
 
-@query("svm_oof")
+@query("svm_oof", sql=_sql_oof("svm"))
 def svm_oof(spark: SparkSession, d: str) -> DataFrame:
     """RBF SVM via random Fourier features, out-of-fold margins."""
-    return _oof(spark, d, "svm")
+    return _checked_oof(spark, d, "svm")
 
 
-@query("knn_oof")
+@query("knn_oof", sql=_sql_oof("knn"))
 def knn_oof(spark: SparkSession, d: str) -> DataFrame:
     """125-neighbour distance-weighted Manhattan vote on train-fold-scaled
     features, out-of-fold probabilities."""
-    return _oof(spark, d, "knn")
+    return _checked_oof(spark, d, "knn")
+
+
+def _candidates(importances: list | None = None) -> dict:
+    """All four models, each with its chosen parameters and one more point of
+    its grid."""
+    one = lambda name, **p: EV.model(name, FEATURES, id_col="doc_id", importances=importances, **p)
+    return {"rf": one("rf"), "rf(50,5)": one("rf", numTrees=50, maxDepth=5),
+            "gbt": one("gbt"), "gbt(10)": one("gbt", maxIter=10),
+            "svm": one("svm"), "svm(2,0.05)": one("svm", C_=2.0, gamma=0.05),
+            "knn": one("knn"), "knn(50,uniform,2)": one("knn", k=50, weights="uniform", p=2)}
 
 
 @query("cv_metrics")
 def cv_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled out-of-fold accuracy and exact AUC per candidate."""
-    rows = []
-    for which in ("rf", "knn"):
-        s = _oof(spark, d, which)
-        acc = EV.fold_accuracy(s).where(F.col("fold").isNull()).first()["accuracy"]
-        auc = T.roc_auc(s, score="score", label="label", positive=1).first()["auc"]
-        rows.append((which, acc, auc))
-    # one row per candidate, from one-row aggregates
-    return spark.createDataFrame(rows, "candidate string, accuracy double, auc double")
+    """Pooled accuracy on both sides and exact AUC of every candidate."""
+    return EV.compare_candidates(_features(spark, d), _candidates(), id_col="doc_id")["results"]
 
 
 @query("best_params")
 def best_params(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate with the best out-of-fold AUC."""
-    return EV.best_candidate(cv_metrics(spark, d), "auc")
-
-
-@query("confusion")
-def confusion(spark: SparkSession, d: str) -> DataFrame:
-    """Real x predicted (names) of the random forest's out-of-fold classes."""
-    return EV.confusion(_oof(spark, d, "rf"))
-
-
-@query("fold_accuracy")
-def fold_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return EV.fold_accuracy(_oof(spark, d, "rf"))
+    """The candidate with the best out-of-fold AUC, of all models."""
+    return EV.compare_candidates(_features(spark, d), _candidates(), id_col="doc_id")["best"]
 
 
 @query("importances")
 def importances(spark: SparkSession, d: str) -> DataFrame:
     """Random-forest importances (x100) averaged over folds, top 10."""
     rows: list = []
-    _oof(spark, d, "rf", importances=rows)
+    EV.oof_predict(_features(spark, d), EV.model("rf", FEATURES, id_col="doc_id", importances=rows),
+                   id_col="doc_id", label="y")
     return EV.mean_importances(rows, spark, n_folds=C.N_FOLDS, top=10)
 
 
-@query("oof_roc_curve")
-def oof_roc_curve(spark: SparkSession, d: str) -> DataFrame:
-    """ROC points of the random forest's out-of-fold scores."""
-    return T.roc_curve(_oof(spark, d, "rf"), score="score", label="label", positive=1)
+# --- metrics of one given score, which SQL can repeat ---------------------------------------------
+
+SQL_SCORED = f"""{SQL_FOLDS},
+x AS (SELECT doc_id, quality AS label, fold,
+             len(list_distinct(string_split(text, ' '))) * 1.0 / len(string_split(text, ' ')) AS score FROM f)"""
+
 
+def _text_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The share of distinct words as the score of the documents' folds."""
+    x = doc_features(spark, d)
+    return x.select(F.lit("text").alias("candidate"), F.col("doc_id").alias("id"), "fold",
+                    F.col("y").alias("label"), F.col("s").cast("double").alias("score"))
 
+
+@query("confusion", sql=f"""
+WITH {SQL_SCORED}
+SELECT 'text' AS candidate, CASE label WHEN 0 THEN 'Accompagnement' ELSE 'Surendettement' END AS real,
+       CASE WHEN score > 0.5 THEN 'Surendettement' ELSE 'Accompagnement' END AS predicted, COUNT(*) AS n
+FROM x GROUP BY ALL
+""")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Real x predicted (names)."""
+    return EV.confusion(_text_scores(spark, d))
+
+
+@query("fold_accuracy", sql=f"""
+WITH {SQL_SCORED}
+SELECT 'text' AS candidate, CAST(fold AS INTEGER) AS fold, ROUND(avg(CAST((score > 0.5) = (label = 1) AS INTEGER)), 9) AS accuracy,
+       COUNT(*) AS n FROM x GROUP BY GROUPING SETS ((fold), ())
+""")
+def fold_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy by fold and pooled."""
+    a = EV.fold_accuracy(_text_scores(spark, d))
+    return a.select("candidate", "fold", F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+@query("oof_roc_curve", sql=f"""
+WITH {SQL_SCORED},
+g AS (SELECT score, SUM(label) AS p, SUM(1 - label) AS q FROM x GROUP BY score),
+t AS (SELECT SUM(p) AS tp, SUM(q) AS tq FROM g),
+c AS (SELECT score, SUM(p) OVER (ORDER BY score DESC) AS tp, SUM(q) OVER (ORDER BY score DESC) AS fp FROM g
+      UNION ALL SELECT NULL, 0, 0)
+SELECT ROUND(score, 9) AS threshold, CAST(c.tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       ROUND(c.tp / t.tp, 9) AS tpr, ROUND(fp / t.tq, 9) AS fpr FROM c, t
+""")
+def oof_roc_curve(spark: SparkSession, d: str) -> DataFrame:
+    """ROC points."""
+    r = T.roc_curve(_text_scores(spark, d), score="score", label="label", positive=1)
+    return r.select(dbl("threshold", 9).alias("threshold"), "tp", "fp", dbl("tpr", 9).alias("tpr"),
+                    dbl("fpr", 9).alias("fpr"))

@@ -1,8 +1,8 @@
 """Readers and writers with pinned options.
 
 * headerless keyed TSV (``LOAD DATA`` style: tab, ``\\N`` for NULL);
-* client dump TSV (header, ``NULL`` word, no quoting, ``\\t \\n \\\\``
-  escapes inside text);
+* client dump TSV (header, ``NULL`` word, no quoting, backslash escapes
+  inside text);
 * flat windows-1252 CSV with backslash escapes;
 * parquet for the clean dataset, the category mapping, replaced tables and
   the cluster export (CSV optional).
@@ -17,9 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-_SENTINEL = "\u0001"
-
-
 # --- S1 ------------------------------------------------------------------------------------------
 
 def read_keyed_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -35,60 +32,95 @@ def write_keyed_tsv(df: DataFrame, path: str) -> None:
 
 # --- S3 (client dump) ---------------------------------------------------------------------------
 
-def _escape_text(c):
-    c = F.regexp_replace(c, r"\\", r"\\\\")
-    c = F.regexp_replace(c, "\t", r"\\t")
-    return F.regexp_replace(c, "\n", r"\\n")
+# Characters that would break a line or a field, and their escapes.
+_ESCAPES = {"\t": "t", "\n": "n", "\r": "r", "\0": "0"}
 
 
-def _unescape_text(c):
-    c = F.regexp_replace(c, r"\\\\", _SENTINEL)
-    c = F.regexp_replace(c, r"\\t", "\t")
-    c = F.regexp_replace(c, r"\\n", "\n")
-    return F.regexp_replace(c, _SENTINEL, r"\\")
+def _escape_text(c):
+    c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for char, letter in _ESCAPES.items():
+        c = F.replace(c, F.lit(char), F.lit(f"\\{letter}"))
+    # the word itself is not the missing value
+    return F.when(c == "NULL", F.lit("\\NULL")).otherwise(c)
 
 
-def _string_cols(schema: StructType) -> list[str]:
-    return [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
+def _unescape_text(c):
+    # pairs of backslashes first, from the left; what is between them holds single ones only
+    def between(part):
+        for char, letter in _ESCAPES.items():
+            part = F.replace(part, F.lit(f"\\{letter}"), F.lit(char))
+        return F.replace(part, F.lit("\\"), F.lit(""))
+    return F.array_join(F.transform(F.split(c, r"\\\\"), between), "\\")
 
 
 def write_dump_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated with a header, NULL as the word ``NULL``, no quoting,
-    tab/newline/backslash escaped inside text (the client's batch format)."""
-    out = df.withColumns({c: _escape_text(F.col(c)) for c in _string_cols(df.schema)})
-    out.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NULL", quote="",
-                                    escapeQuotes=False, emptyValue="")
+    tab, line ends, NUL and backslash escaped inside text (the client's batch
+    format). Empty strings, padding and control characters stay as they are."""
+    out = df.withColumns({f.name: _escape_text(F.col(f.name)) for f in df.schema.fields
+                          if isinstance(f.dataType, StringType)})
+    out.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NULL", emptyValue="",
+                                    quote="", escapeQuotes=False, lineSep="\n",
+                                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_dump_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Read the client dump: header, ``NULL`` word, no quote character (a
-    stray ``"`` must not swallow the rest of the line), escapes undone."""
-    df = spark.read.schema(schema).csv(path, sep="\t", header=True, nullValue="NULL", quote="",
-                                       mode="FAILFAST")
-    return df.withColumns({c: _unescape_text(F.col(c)) for c in _string_cols(df.schema)})
+    stray ``"`` must not swallow the rest of the line), escapes undone in one
+    pass. The format has no quoting, so a line is split at its tabs: an empty
+    field is an empty string. A line with another number of fields, or a
+    number that does not parse, raises. Lines equal to the header are the
+    files' headers."""
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    names, fields = [f.name for f in schema.fields], F.split("value", "\t", -1)
+    lines = spark.read.text(path, lineSep="\n").where(F.col("value") != "\t".join(names))
+    checked = F.when(F.size(fields) == len(names), fields).otherwise(
+        F.raise_error(F.concat(F.lit(f"not {len(names)} fields: "), F.col("value"))))
+
+    def typed(i, f):
+        raw = F.when(F.col("__f")[i] != "NULL", F.col("__f")[i])
+        return (_unescape_text(raw) if isinstance(f.dataType, StringType)
+                else raw.cast(f.dataType)).alias(f.name)
+    return lines.select(checked.alias("__f")).select(*[typed(i, f) for i, f in enumerate(schema.fields)])
 
 
 def read_extract(spark: SparkSession, path: str, schema: StructType | str,
                  platform_col: str = "plateforme") -> tuple[DataFrame, DataFrame]:
-    """The wide extract and its audit: (rows, shape and rows per platform)."""
+    """The wide extract and its report: (rows, ``platform, n_rows, n_columns``
+    with the whole extract under a NULL platform)."""
     df = read_dump_tsv(spark, path, schema)
-    audit = df.groupBy(platform_col).agg(F.count(F.lit(1)).alias("n"))
-    return df, audit
+    width = F.lit(len(df.columns)).alias("n_columns")
+    by = df.groupBy(F.col(platform_col).cast("string").alias("platform")).agg(F.count(F.lit(1)).alias("n_rows"))
+    whole = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(None).cast("string").alias("platform"), "n_rows")
+    return df, by.where(F.col("platform").isNotNull()).unionByName(whole).select("platform", "n_rows", width)
 
 
 # --- S4 ------------------------------------------------------------------------------------------
 
+def _java_charsets(spark: SparkSession) -> None:
+    """Single-byte code pages need this setting of the session, when the file
+    is read as well as when the plan is made; it stays on."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_flat_csv(spark: SparkSession, path: str, schema: StructType | str,
                   encoding: str = "windows-1252") -> DataFrame:
-    """Comma-separated, header, backslash escapes, single-byte encoding."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.schema(schema).csv(path, sep=",", header=True, escape="\\",
-                                         encoding=encoding, mode="FAILFAST")
+    """Comma-separated, header, quoted texts that may hold line ends,
+    backslash escapes, single-byte encoding. A quoted empty field is an empty
+    string, an unquoted one is NULL."""
+    _java_charsets(spark)
+    df = spark.read.schema(schema).csv(path, sep=",", header=True, escape="\\", multiLine=True, emptyValue="\0",
+                                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                                       encoding=encoding, mode="FAILFAST")
+    return df.withColumns({f.name: F.when(F.col(f.name) == "\0", "").otherwise(F.col(f.name))
+                           for f in df.schema.fields if isinstance(f.dataType, StringType)})
 
 
 def write_flat_csv(df: DataFrame, path: str, encoding: str = "windows-1252") -> None:
-    df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df.write.mode("overwrite").csv(path, sep=",", header=True, escape="\\", encoding=encoding)
+    _java_charsets(df.sparkSession)
+    df.write.mode("overwrite").csv(path, sep=",", header=True, escape="\\", encoding=encoding,
+                                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 # --- S5 S6 S7 S8 S9 --------------------------------------------------------------------------------
@@ -127,3 +159,10 @@ def write_cluster_export(df: DataFrame, path: str, *, vec: str, names: Sequence[
     as CSV with a header (no index column)."""
     out = df.select(*[F.col(vec)[i].alias(n) for i, n in enumerate(names)], cluster)
     out.write.mode("overwrite").csv(path, header=True)
+
+
+def read_cluster_export(spark: SparkSession, path: str, *, names: Sequence[str],
+                        cluster: str = "cluster") -> DataFrame:
+    """The cluster export: one double per variable and the cluster id."""
+    schema = ", ".join([*(f"`{n}` double" for n in names), f"`{cluster}` long"])
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")

@@ -40,3 +40,34 @@ def test_keyed_tsv_null_marker(spark):
         f.write("1\t1970\n2\t\\N\n")
     rows = sorted(IO.read_keyed_tsv(spark, path, "id long, annee_naissance int").collect())
     assert rows[0].annee_naissance == 1970 and rows[1].annee_naissance is None
+
+
+ODD = ["", "  pad  ", "a\rb", "a\nb", "a\r\nb", "a\tb", "back\\slash", "\\", "\\t", "\\\\n", "x\\", 'quo"te', '"',
+       "a\u0001b", "NULL", "\\NULL", "null", "a\0b", "N", "é😀", "end\n", "a,b", "\\,", None]
+
+
+def test_dump_is_lossless(spark):
+    df = spark.createDataFrame([(i, t, None if i % 2 else i / 2) for i, t in enumerate(ODD)],
+                               "id long, t string, x double")
+    path = shared_path(spark, "tsv-lossless")
+    IO.write_dump_tsv(df.repartition(3), path)
+    back = IO.read_dump_tsv(spark, path, "id long, t string, x double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_flat_csv_keeps_line_ends_and_padding(spark):
+    texts = [t for t in ODD if t is None or all(c not in t for c in "\0\u0001😀")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    path = shared_path(spark, "csv-lossless")
+    IO.write_flat_csv(df, path)
+    back = IO.read_flat_csv(spark, path, "id long, t string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_extract_report(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, plateforme string")
+    path = shared_path(spark, "extract")
+    IO.write_dump_tsv(df, path)
+    rows, report = IO.read_extract(spark, path, df.schema)
+    assert rows.count() == 4
+    assert {(r.platform, r.n_rows, r.n_columns) for r in report.collect()} == {("a", 2, 2), ("b", 1, 2), (None, 4, 2)}

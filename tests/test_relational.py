@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from hearth import config as C
+import pytest
+
 from hearth.operators import relational as R
 
 
@@ -38,6 +39,31 @@ def test_latest_budget_keeps_one_row(spark):
     assert sorted(r.id_budget for r in R.latest_rows(b).collect()) == [2, 3]
 
 
+def test_null_ids_are_never_first_or_latest(spark):
+    d = dt.date(2016, 1, 1)
+    action = spark.createDataFrame([(None, 1, "a"), (11, 1, "b"), (12, 1, "c"), (None, 2, "d")],
+                                   "id_action long, id_dossier long, objectfull string")
+    assert [r.id_action for r in R.first_per_key(action).collect()] == [11]
+    assert [r.id_action for r in R.min_ids_in(action, key="id_dossier", id_col="id_action").collect()] == [11]
+    budget = spark.createDataFrame([(None, 1, "Reel", d), (None, 2, "Reel", d), (5, 2, "Reel", d)],
+                                   "id_budget long, id_dossier long, typ string, dat_budget date")
+    assert [r.id_budget for r in R.latest_per_key(budget).collect()] == [5]
+    assert [r.id_budget for r in R.latest_per_key_literal(budget).collect()] == [5]
+
+
+def test_uniqueness_audit_raises(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (None,), (None,)], "id int")
+    with pytest.raises(ValueError, match="births.id is not unique"):
+        R.require_unique(df, "id", "births")
+    assert R.require_unique(df.where("id = 1 or id is null"), "id", "births").count() == 3
+
+
+def test_not_like_may_ignore_case(spark):
+    df = spark.createDataFrame([("Impaye",), ("IMPAYE",), ("Reel",), (None,)], "typ string")
+    assert R.exclude_like(df, "typ", "Impaye").count() == 2
+    assert [r.typ for r in R.exclude_like(df, "typ", "Impaye", ignore_case=True).collect()] == ["Reel"]
+
+
 def test_first_action_includes_null_key(spark):
     action = spark.createDataFrame([(10, 1, "a"), (11, 1, "b"), (12, 2, "c"), (13, None, "d")],
                                    "id_action long, id_dossier long, objectfull string")
@@ -50,7 +76,7 @@ def test_star_join_drops_other_platform_keeps_missing_sides(spark):
     cases = spark.createDataFrame([(1, 100), (2, 200)], "id long, id_group long")
     partners = spark.createDataFrame([(100, "autre"), (200, "social")],
                                      "id_partenaire long, plateforme string")
-    kept = R.keep_values(partners, "plateforme", C.PLATFORMS)
+    kept = R.keep_values(partners, "plateforme", ["bancaire", "social"])
     credits = spark.createDataFrame([], "id_dossier long, nombre_credits long")
     x = R.inner_dimension(cases, kept, left_key="id_group", right_key="id_partenaire",
                           dim_cols=["plateforme"])
