@@ -32,7 +32,7 @@ RATES = {
     "word_length": (2.0, 2.0),
     "symbol_rate": (0.25, None),
     "dup_line_rate": (0.4, None),
-    "repeat_rate": (0.25, None),
+    "repeat_rate": (0.4, None),
     "upper_rate": (0.3, None),
 }
 #: A fence lies this many times the distance from median to quartile beyond the median.
