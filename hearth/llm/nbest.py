@@ -99,13 +99,14 @@ class PieceLattice:
         return out
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best paths (fewer if there are no more), best first;
-        equal scores come in the order in which the search finds them."""
+        """The ``n`` best paths (fewer if there are no more), best first.
+        Among equal scores the search follows the path it is on, so a long run
+        of one character, whose paths tie without number, costs its length."""
         edges = self.edges(unit)
         forward = [0.0]
         for here in edges:
             forward.append(max(forward[s] + w for s, _, w in here))
-        order, done = count(), []
+        order, done = count(0, -1), []
         queue = [(-forward[-1], next(order), len(unit), 0.0, None)]
         while queue and len(done) < n:
             _, _, at, behind, path = heapq.heappop(queue)
