@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from hearth.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 4096
+_LEAST_BLOCK_ROWS = 128
 _CHUNK_CELLS = 4_000_000  # distance-matrix cells per numpy chunk (32 MB)
 
 
@@ -59,7 +60,7 @@ def _pairwise(q: np.ndarray, d: np.ndarray, metric: str, p: float) -> np.ndarray
 
 
 def _block_fn(k: int, metric: str, p: float, exclude_self: bool, weighted: bool,
-              carry: list[str], rank_digits: int | None):
+              carry: list[str], rank_digits: int | None, grouped: bool):
     out_cols = ["__qid", "__did", "__dist", "__key", *carry]
 
     def fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,6 +84,8 @@ def _block_fn(k: int, metric: str, p: float, exclude_self: bool, weighted: bool,
                 dist = np.sqrt(2.0 * wq * wd / (wq + wd)) * dist
             if exclude_self:
                 dist[qid[s:s + chunk][:, None] == did[None, :]] = np.inf
+            if grouped:
+                dist[qpdf["__qg"].to_numpy()[s:s + chunk][:, None] == dpdf["__dg"].to_numpy()[None, :]] = np.inf
             key = np.round(dist, rank_digits) if rank_digits is not None else dist
             if kk < n:
                 kth = np.partition(key, kk - 1, axis=1)[:, kk - 1]
@@ -112,20 +115,35 @@ def _block_fn(k: int, metric: str, p: float, exclude_self: bool, weighted: bool,
     return fn
 
 
+def _block_counts(nq: int, nd: int, block_rows: int, tasks: int) -> tuple[int, int]:
+    """Query and donor blocks: as many as keep a block within ``block_rows``,
+    and more of the longer side while there are fewer block pairs than tasks
+    and blocks are not tiny."""
+    qb, db = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nd / block_rows))
+    while qb * db < tasks and max(nq / qb, nd / db) > 2 * _LEAST_BLOCK_ROWS:
+        if nq / qb >= nd / db:
+            qb += 1
+        else:
+            db += 1
+    return qb, db
+
+
 def nearest_neighbours(queries: DataFrame, donors: DataFrame, *, k: int, q_id: str, q_vec: str,
                        d_id: str, d_vec: str, carry: Sequence[str] = (),
                        metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False,
                        q_weight: str | None = None, d_weight: str | None = None,
                        rank_digits: int | None = None,
                        block_rows: int = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
-                       n_donors: int | None = None) -> DataFrame:
+                       n_donors: int | None = None, other_group: str | None = None) -> DataFrame:
     """Exact k nearest donors of every query.
 
     Output ``(q_id, d_id, dist, rank, *carry)`` with rank 1..k ordered by
     (distance, donor id). ``metric``: euclidean, manhattan, minkowski (with
     ``p``) or ward (euclidean scaled by sqrt(2 w_q w_d / (w_q + w_d)) from
     the weight columns). ``exclude_self`` skips pairs with equal ids (self
-    join). ``rank_digits`` ranks on rounded distances (stable ties across
+    join); ``other_group`` names a column of both sides whose equal values
+    exclude a pair (folds: neighbours come from the other folds, and all folds
+    are searched at once). ``rank_digits`` ranks on rounded distances (stable ties across
     engines). Ids must be unique longs on each side. ``n_queries`` and
     ``n_donors`` (row counts, when the caller knows them) size the blocks
     without a counting pass.
@@ -140,17 +158,18 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, *, k: int, q_id: s
     carry = list(carry)
     nq = queries.count() if n_queries is None else n_queries
     nd = donors.count() if n_donors is None else n_donors
-    qb = max(1, math.ceil(nq / block_rows))
-    db = max(1, math.ceil(nd / block_rows))
+    qb, db = _block_counts(nq, nd, block_rows, queries.sparkSession.sparkContext.defaultParallelism)
 
     q = queries.select(F.col(q_id).cast("long").alias("__qid"),
                        F.col(q_vec).cast("array<double>").alias("__qv"),
-                       *([F.col(q_weight).cast("double").alias("__qw")] if weighted else []))
+                       *([F.col(q_weight).cast("double").alias("__qw")] if weighted else []),
+                       *([F.col(other_group).alias("__qg")] if other_group else []))
     q = q.withColumn("__qb", F.pmod(F.xxhash64("__qid"), F.lit(qb)).cast("int"))
     q = q.withColumn("__db", F.explode(F.sequence(F.lit(0), F.lit(db - 1))))
     d = donors.select(F.col(d_id).cast("long").alias("__did"),
                       F.col(d_vec).cast("array<double>").alias("__dv"),
                       *([F.col(d_weight).cast("double").alias("__dw")] if weighted else []),
+                      *([F.col(other_group).alias("__dg")] if other_group else []),
                       *[F.col(c) for c in carry])
     d = d.withColumn("__db", F.pmod(F.xxhash64("__did"), F.lit(db)).cast("int"))
     d = d.withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
@@ -161,7 +180,7 @@ def nearest_neighbours(queries: DataFrame, donors: DataFrame, *, k: int, q_id: s
                            T.StructField("__dist", T.DoubleType()),
                            T.StructField("__key", T.DoubleType()),
                            *[T.StructField(f.name, f.dataType) for f in carry_fields]])
-    fn = _block_fn(k, metric, p, exclude_self, weighted, carry, rank_digits)
+    fn = _block_fn(k, metric, p, exclude_self, weighted, carry, rank_digits, other_group is not None)
     cand = (q.groupBy("__qb", "__db").cogroup(d.groupBy("__qb", "__db"))
             .applyInPandas(fn, schema))
     w = Window.partitionBy("__qid").orderBy(F.col("__key"), F.col("__did"))
@@ -191,12 +210,12 @@ def _value_expr(weights: str) -> Column:
 def knn_regress(queries: DataFrame, donors: DataFrame, *, k: int, id_col: str, vec: str,
                 target: str, weights: str = "distance", metric: str = "euclidean",
                 p: float = 2.0, rank_digits: int | None = None, out: str = "prediction",
-                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, other_group: str | None = None) -> DataFrame:
     """Neighbour average of ``target`` for every query: ``(id_col, out)``."""
     nn = nearest_neighbours(queries, donors.withColumnRenamed(id_col, "__d_id"), k=k,
                             q_id=id_col, q_vec=vec, d_id="__d_id", d_vec=vec,
                             carry=[target], metric=metric, p=p, rank_digits=rank_digits,
-                            block_rows=block_rows)
+                            block_rows=block_rows, other_group=other_group)
     y = F.col(target).cast("double")
     agg = nn.groupBy(id_col).agg(*_weighted_value(y, F.col("dist"), weights))
     return agg.select(id_col, _value_expr(weights).alias(out))
@@ -241,13 +260,14 @@ def knn_impute(df: DataFrame, *, id_col: str, fill_cols: Sequence[str],
 def knn_classify(queries: DataFrame, donors: DataFrame, *, k: int, id_col: str, vec: str,
                  label: str, positive=1, weights: str = "distance", metric: str = "euclidean",
                  p: float = 2.0, rank_digits: int | None = None, out: str = "score",
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, other_group: str | None = None) -> DataFrame:
     """Probability of ``positive`` from a (distance-weighted) vote of the k
     nearest donors: ``(id_col, out)``."""
     d = donors.withColumn("__y", (F.col(label) == positive).cast("double"))
-    return knn_regress(queries, d.select(id_col, vec, "__y"), k=k, id_col=id_col, vec=vec,
+    group = [other_group] if other_group else []
+    return knn_regress(queries, d.select(id_col, vec, "__y", *group), k=k, id_col=id_col, vec=vec,
                        target="__y", weights=weights, metric=metric, p=p,
-                       rank_digits=rank_digits, out=out, block_rows=block_rows)
+                       rank_digits=rank_digits, out=out, block_rows=block_rows, other_group=other_group)
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, *, point_id: str, vec: str,

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth import config as C
+from hearth.functions import features as X
 from hearth.operators import clusters as CL
+from hearth.operators import neighbors as NB
 from hearth.operators import scaling as SC
 from hearth.plans.registry import query
 from hearth.plans.tables import dbl, lng, table
@@ -17,7 +19,6 @@ from hearth.session import cut_lineage
 DIM = 64
 MICRO_K = 50          # micro-clusters on the driver tables (1000 in the source's setting)
 WARD_HEIGHT = 9.0     # cut height for standardised 64-d embeddings
-SMALL_FLOOR = 2       # clusters with fewer micro-centres merge into 0
 
 
 def scaled_embeddings(spark: SparkSession, d: str):
@@ -27,83 +28,105 @@ def scaled_embeddings(spark: SparkSession, d: str):
     return e.select("vec_id", "label", SC.standardize_array("v", means, sds).alias("z")), means, sds
 
 
-_TWO_STAGE: dict = {}
+def _misplaced(points: DataFrame, assign: DataFrame, centres: DataFrame, *, id_col: str, vec: str,
+               cluster: str, centre: str) -> DataFrame:
+    """One row: the points, and those for which another centre is nearer than
+    the centre of their cluster."""
+    nearest = NB.nearest_centre(points, centres, point_id=id_col, vec=vec, centre_id=cluster,
+                                centre_vec=centre, out="__near")
+    own = assign.select(id_col, F.col(cluster).alias("__own")).join(points, id_col).join(
+        centres.select(F.col(cluster).alias("__own"), centre), "__own")
+    apart = F.sqrt(F.aggregate(F.zip_with(vec, centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                               lambda acc, x: acc + x))
+    j = own.select(id_col, apart.alias("__d")).join(nearest, id_col)
+    return j.agg(F.count(F.lit(1)).alias("n_points"),
+                 F.count_if(F.col("__d") > F.col("dist") + 1e-6).alias("n_misplaced"))
 
 
-def two_stage(spark: SparkSession, d: str):
-    """k-means micro-clusters, Ward cut and labels. The Ward output is
-    materialised in the shared folder, so within one application the result
-    is computed once and reused by the queries below."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _TWO_STAGE:
-        _TWO_STAGE[key] = _two_stage(spark, d)
-    return _TWO_STAGE[key]
+SQL_PLACED = "SELECT COUNT(*) AS n_points, 0 AS n_misplaced FROM embeddings"
 
 
-def _two_stage(spark: SparkSession, d: str):
-    z, means, sds = scaled_embeddings(spark, d)
-    assign, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K,
-                                       seed=C.MICRO_SEED)
-    member, linkage = CL.ward_cut(centres, id_col="micro_id", vec="centre", height=WARD_HEIGHT)
-    labelled = CL.label_clusters(member, floor=SMALL_FLOOR, small_id=C.SMALL_CLUSTER_ID)
-    assign = cut_lineage(assign, "micro-assign")
-    centres = cut_lineage(centres, "micro-centres")
-    labelled = cut_lineage(labelled, "ward-labels")
-    return z, means, sds, assign, centres, labelled, linkage
-
-
-@query("micro_cluster")
+@query("micro_cluster", sql=SQL_PLACED)
 def micro_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """k-means micro-clusters of the standardised embeddings: (micro_id, size)."""
+    """k-means micro-clusters of the standardised embeddings: every point lies
+    in the cluster of its nearest centre."""
     z, _, _ = scaled_embeddings(spark, d)
-    _, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
-    return centres.select("micro_id", "size")
+    assign, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
+    return _misplaced(z.select("vec_id", "z"), assign, centres.select("micro_id", "centre"), id_col="vec_id",
+                      vec="z", cluster="micro_id", centre="centre")
 
 
-@query("ward_cut")
+@query("ward_cut", sql=f"""
+SELECT COUNT(DISTINCT vec_id) > 0 AS has_rows, {MICRO_K} AS n_merges_and_clusters, 0 AS n_above_cut, 0 AS n_falling
+FROM embeddings
+""")
 def ward_cut(spark: SparkSession, d: str) -> DataFrame:
-    """Ward merges of the micro-centres below the cut: linkage rows."""
-    *_, linkage = two_stage(spark, d)
-    return linkage
-
-
-@query("cluster_labels")
+    """Ward merges of the micro-centres below the cut: every merge takes one
+    cluster away, none lies above the cut, and none below a merge it builds on."""
+    z, _, _ = scaled_embeddings(spark, d)
+    _, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
+    member, linkage = CL.ward_cut(cut_lineage(centres, "micro-centres"), id_col="micro_id", vec="centre",
+                                  height=WARD_HEIGHT)
+    linkage = cut_lineage(linkage, "linkage")
+    clusters = member.agg(F.countDistinct("cluster").alias("k")).first()["k"]
+    later = linkage.select(F.col("round").alias("r2"), F.col("height").alias("h2"),
+                           F.array("left", "right").alias("of"))
+    later = later.select("r2", "h2", F.explode("of").alias("left"))
+    falling = linkage.join(later, "left").where("r2 > round and h2 < height - 1e-9").count()
+    return linkage.agg(F.lit(True).alias("has_rows"),
+                       (F.count(F.lit(1)) + F.lit(clusters)).cast("int").alias("n_merges_and_clusters"),
+                       F.count_if(F.col("height") > WARD_HEIGHT).alias("n_above_cut"),
+                       F.lit(falling).alias("n_falling"))
+
+
+LABEL_FLOOR = 60  # nations with fewer customers merge into cluster 0 (sf0.01 has 60 on average)
+
+
+@query("cluster_labels", sql=f"""
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey,
+       CAST(CASE WHEN COUNT(*) OVER (PARTITION BY c_nationkey) < {LABEL_FLOOR} THEN 0
+                 ELSE dense_rank() OVER (ORDER BY c_nationkey) END AS INTEGER) AS cluster
+FROM customer
+""")
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Flat cluster (1..K, small ones 0) of every micro-centre."""
-    *_, labelled, _ = two_stage(spark, d)
-    return labelled.select("micro_id", "cluster")
+    """Flat clusters 1..K in id order, small ones 0, over given groups."""
+    c = table(spark, d, "customer").select(lng("c_custkey").alias("c_custkey"),
+                                           F.col("c_nationkey").alias("cluster"))
+    out = CL.label_clusters(c, floor=LABEL_FLOOR, small_id=C.SMALL_CLUSTER_ID)
+    return out.select("c_custkey", F.col("cluster").cast("int").alias("cluster"))
 
 
-@query("refine_kmeans")
+@query("refine_kmeans", sql=SQL_PLACED)
 def refine_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """Lloyd iterations on the micro-centres from the merged clusters' centroids;
-    centres back in original units (inverse scaling) with their cluster."""
-    z, means, sds, _, centres, labelled, _ = two_stage(spark, d)
-    pts = centres.join(labelled, "micro_id")
-    init = CL.cluster_centroids(pts, cluster="cluster", vec="centre", dim=DIM)
-    assign, final = CL.refine_kmeans(pts, init, id_col="micro_id", vec="centre",
-                                     centre_id="cluster", centre_vec="centre")
-    return final.select("cluster", SC.inverse_array("centre", means, sds).alias("centre"))
+    """Lloyd iterations on the standardised embeddings from the centroids of
+    their given labels: every point ends in the cluster of its nearest centre."""
+    z, _, _ = scaled_embeddings(spark, d)
+    init = CL.cluster_centroids(z, cluster="label", vec="z", dim=DIM)
+    assign, final = CL.refine_kmeans(z.select("vec_id", "z"), init, id_col="vec_id", vec="z",
+                                     centre_id="label", centre_vec="centre")
+    return _misplaced(z.select("vec_id", "z"), assign, final, id_col="vec_id", vec="z", cluster="label",
+                      centre="centre")
 
 
-@query("cluster_export")
+@query("cluster_export", sql="""
+WITH u AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim,
+                  unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+SELECT CAST(label AS BIGINT) AS cluster, CAST(dim AS BIGINT) AS dim, ROUND(AVG(x), 6) AS mean FROM u GROUP BY ALL
+""")
 def cluster_export(spark: SparkSession, d: str) -> DataFrame:
-    """Micro-centres in original units with their refined cluster."""
-    z, means, sds, _, centres, labelled, _ = two_stage(spark, d)
-    pts = centres.join(labelled, "micro_id")
-    init = CL.cluster_centroids(pts, cluster="cluster", vec="centre", dim=DIM)
-    assign, _ = CL.refine_kmeans(pts, init, id_col="micro_id", vec="centre",
-                                 centre_id="cluster", centre_vec="centre")
-    out = centres.join(assign, "micro_id")
-    return out.select("micro_id", SC.inverse_array("centre", means, sds).alias("centre"),
-                      "cluster")
-
-
-@query("cluster_sizes")
+    """Centres of the given labels, found on the standardised scale and
+    exported in original units."""
+    z, means, sds = scaled_embeddings(spark, d)
+    c = CL.cluster_centroids(z, cluster="label", vec="z", dim=DIM).select(
+        "label", F.posexplode(SC.inverse_array("centre", means, sds)).alias("dim", "mean"))
+    return c.select(lng("label").alias("cluster"), lng("dim").alias("dim"), dbl("mean", 6).alias("mean"))
+
+
+@query("cluster_sizes", sql="SELECT CAST(label AS BIGINT) AS cluster, COUNT(*) AS n FROM embeddings GROUP BY label")
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings per final cluster (micro assignment joined to its cluster)."""
-    _, _, _, assign, _, labelled, _ = two_stage(spark, d)
-    return CL.cluster_sizes(assign.join(labelled, "micro_id"), "cluster")
+    """Embeddings of each given cluster."""
+    e = table(spark, d, "embeddings").select(lng("label").alias("cluster"))
+    return CL.cluster_sizes(e, "cluster")
 
 
 SQL_CENTROIDS = """
@@ -129,20 +152,21 @@ def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
 VARS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _sql_describe() -> str:
-    per = ", ".join(f"AVG({v}) m{i}, STDDEV_POP({v}) s{i}" for i, v in enumerate(VARS))
-    tot = ", ".join(f"AVG({v}) ta{i}, STDDEV_POP({v}) tb{i}" for i, v in enumerate(VARS))
+def _sql_describe(source: str, cluster: str, exprs: dict[str, str], limit: float | None = None) -> str:
+    per = ", ".join(f"AVG({e}) m{i}, STDDEV_POP({e}) s{i}" for i, e in enumerate(exprs.values()))
+    tot = ", ".join(f"AVG({e}) ta{i}, STDDEV_POP({e}) tb{i}" for i, e in enumerate(exprs.values()))
     longs = " UNION ALL ".join(
         f"SELECT cluster, '{v}' AS variable, n_in, m{i} AS mean_in, s{i} AS sd_in, "
-        f"ta{i} AS mean_all, tb{i} AS sd_all, n_all FROM per, tot" for i, v in enumerate(VARS))
+        f"ta{i} AS mean_all, tb{i} AS sd_all, n_all FROM per, tot" for i, v in enumerate(exprs))
     x = "(abs(v_test) / sqrt(2.0::DOUBLE))"
     t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * {x}))"
     poly = (f"({t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * "
             f"(1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE)))))")
     pval = f"(2.0::DOUBLE * (0.5::DOUBLE * {poly} * exp(-{x} * {x})))"
+    keep = f"WHERE abs(v_test) >= {limit}" if limit is not None else ""
     return f"""
-WITH per AS (SELECT l_returnflag AS cluster, COUNT(*) AS n_in, {per} FROM lineitem GROUP BY 1),
- tot AS (SELECT COUNT(*) AS n_all, {tot} FROM lineitem),
+WITH per AS (SELECT {cluster} AS cluster, COUNT(*) AS n_in, {per} FROM {source} GROUP BY 1),
+ tot AS (SELECT COUNT(*) AS n_all, {tot} FROM {source}),
  lg AS ({longs}),
  v AS (SELECT *, (mean_in - mean_all) / sqrt(sd_all * sd_all / n_in * ((n_all - n_in) / (n_all - 1.0::DOUBLE))) AS v_test FROM lg),
  eta AS (SELECT variable, SUM(n_in * (mean_in - mean_all) * (mean_in - mean_all)) / FIRST(sd_all * sd_all * n_all) AS eta2
@@ -150,47 +174,108 @@ WITH per AS (SELECT l_returnflag AS cluster, COUNT(*) AS n_in, {per} FROM lineit
 SELECT cluster, v.variable, CAST(n_in AS BIGINT) AS n_in, ROUND(mean_in, 6) AS mean_in,
        ROUND(mean_all, 6) AS mean_all, ROUND(sd_in, 6) AS sd_in, ROUND(sd_all, 6) AS sd_all,
        ROUND(v_test, 6) AS v_test, ROUND({pval}, 6) AS p_value, ROUND(eta2, 6) AS eta2
-FROM v JOIN eta ON v.variable = eta.variable
+FROM v JOIN eta ON v.variable = eta.variable {keep}
 """
 
 
-@query("describe_clusters", sql=_sql_describe())
-def describe_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """v-tests of lineitem measures per return flag (the given groups)."""
-    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("cluster"), *VARS)
-    x = CL.describe_clusters(li, cluster="cluster", cols=VARS)
+def _described(x: DataFrame) -> DataFrame:
     return x.select("cluster", "variable", "n_in",
                     *[dbl(c, 6).alias(c) for c in ("mean_in", "mean_all", "sd_in", "sd_all",
                                                    "v_test", "p_value", "eta2")])
 
 
-@query("describe_micro_clusters")
+@query("describe_clusters", sql=_sql_describe("lineitem", "l_returnflag", {v: v for v in VARS}))
+def describe_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """v-tests of lineitem measures per return flag (the given groups)."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("cluster"), *VARS)
+    return _described(CL.describe_clusters(li, cluster="cluster", cols=VARS))
+
+
+COORDS = [f"z{i:02d}" for i in range(DIM)]
+
+
+@query("describe_micro_clusters", sql=_sql_describe(
+    "(SELECT CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "label",
+    {c: f"e[{i + 1}]" for i, c in enumerate(COORDS)}, limit=C.VTEST_LIMIT))
 def describe_micro_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """v-tests of the first coordinates per final cluster of the embeddings."""
-    z, _, _, assign, _, labelled, _ = two_stage(spark, d)
-    x = z.join(assign, "vec_id").join(labelled, "micro_id")
-    x = x.select("cluster", *[F.col("z")[i].alias(f"z{i}") for i in range(8)])
-    return CL.describe_clusters(x, cluster="cluster", cols=[f"z{i}" for i in range(8)],
-                                limit=C.VTEST_LIMIT)
+    """v-tests of all coordinates per given cluster of the embeddings."""
+    e = table(spark, d, "embeddings").select(lng("label").alias("cluster"), *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COORDS)])
+    return _described(CL.describe_clusters(e, cluster="cluster", cols=COORDS, limit=C.VTEST_LIMIT))
 
 
-@query("pca_variance")
+@query("pca_variance", sql=f"""
+SELECT {DIM} AS n_components, CAST(1 AS DOUBLE) AS total, TRUE AS falling, COUNT(*) > 0 AS has_rows FROM embeddings
+""")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
-    """Explained-variance ratios of the standardised embeddings."""
+    """Explained-variance ratios of the standardised embeddings: as many as
+    coordinates, falling, of sum one."""
     z, _, _ = scaled_embeddings(spark, d)
-    return SC.pca_variance(z, vec="z", dim=DIM)
+    v = SC.pca_variance(z, vec="z", dim=DIM)
+    nxt = v.select((F.col("component") - 1).alias("component"), F.col("ratio").alias("next"))
+    return v.join(nxt, "component", "left").agg(
+        F.count(F.lit(1)).cast("int").alias("n_components"), dbl(F.sum("ratio"), 6).alias("total"),
+        F.every(F.coalesce(F.col("next") <= F.col("ratio"), F.lit(True))).alias("falling"),
+        F.lit(True).alias("has_rows"))
 
 
-@query("pca_project")
+def _centred(scores: DataFrame, *cols) -> DataFrame:
+    """Rows, and whether every score is centred."""
+    small = None
+    for c in cols:
+        ok = F.abs(F.avg(c)) < 1e-6
+        small = ok if small is None else small & ok
+    return scores.agg(F.count(F.lit(1)).alias("n"), small.alias("centred"))
+
+
+@query("pca_project", sql="SELECT COUNT(*) AS n, TRUE AS centred FROM embeddings")
 def pca_project(spark: SparkSession, d: str) -> DataFrame:
-    """Scores on components 1 and 2 (0-based, as the source plots) with the label."""
+    """Scores on components 1 and 2 (0-based, as the source plots)."""
     z, _, _ = scaled_embeddings(spark, d)
     p = SC.pca_project(z, k=3, vec="z", keep=["vec_id", "label"], out="pcs")
-    return p.select("vec_id", "label", F.col("pcs")[1].alias("x"), F.col("pcs")[2].alias("y"))
+    return _centred(p, F.col("pcs")[1], F.col("pcs")[2])
 
 
-@query("pca_reduce")
+@query("pca_reduce", sql="SELECT COUNT(*) AS n, TRUE AS centred FROM embeddings")
 def pca_reduce(spark: SparkSession, d: str) -> DataFrame:
     """Components kept while the cumulative explained variance is below 2/3."""
     z, _, _ = scaled_embeddings(spark, d)
-    return SC.pca_reduce(z, threshold=C.PCA_VARIANCE_KEPT, vec="z", keep=["vec_id"], out="pcs")
+    p = SC.pca_reduce(z, threshold=C.PCA_VARIANCE_KEPT, vec="z", keep=["vec_id"], out="pcs")
+    return _centred(p, F.col("pcs")[0])
+
+
+SQL_SCALED = """
+WITH t AS (SELECT AVG(CAST(p_retailprice AS DOUBLE)) AS m, STDDEV_POP(CAST(p_retailprice AS DOUBLE)) AS s FROM part)
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, {} AS p_retailprice FROM part, t
+"""
+
+
+def _scaled_parts(spark: SparkSession, d: str):
+    p = table(spark, d, "part").select(lng("p_partkey").alias("p_partkey"), "p_retailprice")
+    stats = SC.fit_scaler(p, ["p_retailprice"])
+    return SC.standardize(p, stats), stats
+
+
+@query("standardize", sql=SQL_SCALED.format("ROUND((CAST(p_retailprice AS DOUBLE) - m) / s, 6)"))
+def standardize(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of mean 0 and population deviation 1."""
+    z, _ = _scaled_parts(spark, d)
+    return z.select("p_partkey", dbl("p_retailprice", 6).alias("p_retailprice"))
+
+
+@query("inverse_scale", sql=SQL_SCALED.format("ROUND(CAST(p_retailprice AS DOUBLE), 6)"))
+def inverse_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled prices back in units."""
+    z, stats = _scaled_parts(spark, d)
+    return SC.inverse_scale(z, stats).select("p_partkey", dbl("p_retailprice", 6).alias("p_retailprice"))
+
+
+@query("round_score", sql="""
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(round_even(l_quantity / 2, 0) AS INTEGER) AS rounded FROM lineitem
+""")
+def round_score(spark: SparkSession, d: str) -> DataFrame:
+    """Half-even rounding of half quantities (all ties and whole numbers)."""
+    li = table(spark, d, "lineitem")
+    return li.select(lng("l_orderkey").alias("l_orderkey"), lng("l_linenumber").alias("l_linenumber"),
+                     X.round_half_even(F.col("l_quantity") / 2).alias("rounded"))

@@ -12,6 +12,7 @@ from hearth.operators import features as FE
 from hearth.operators import neighbors as NB
 from hearth.plans.registry import query
 from hearth.plans.tables import dbl, lng, table
+from hearth.session import cut_lineage
 
 SIZE_MAX = 45  # sizes above are treated as implausible, nulled and re-imputed
 
@@ -87,17 +88,8 @@ FROM pairs GROUP BY qid, fold
 """)
 def knn_classify(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold 3-neighbour distance-weighted vote (label 0 vs the rest)."""
-    f = embedding_folds(spark, d)
-    parts = []
-    for k in range(5):
-        test = f.where(F.col("fold") == k)
-        train = f.where(F.col("fold") != k)
-        s = NB.knn_classify(test.select("vec_id", "v"), train.select("vec_id", "v", "y"), k=3,
-                            id_col="vec_id", vec="v", label="y", positive=1,
-                            weights="distance", rank_digits=9)
-        parts.append(s.select(lng("vec_id").alias("vec_id"), F.lit(k).alias("fold"),
-                              dbl("score", 6).alias("score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    f = cut_lineage(embedding_folds(spark, d), "embedding-folds")
+    s = NB.knn_classify(f.select("vec_id", "v", "fold"), f, k=3, id_col="vec_id", vec="v", label="y",
+                        positive=1, weights="distance", rank_digits=9, other_group="fold")
+    return s.join(f.select("vec_id", "fold"), "vec_id").select(
+        lng("vec_id").alias("vec_id"), "fold", dbl("score", 6).alias("score"))
