@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.llm.common import fresh
+from hearth.llm.common import fresh, stored
 from hearth.plans.tables import table
 
 #: Base rule, fixed by contract.
@@ -105,6 +105,8 @@ def thresholds(docs: DataFrame, text: str = "text", lang: str = "lang",
     sketch = (m.select("lang", "source", F.explode(F.array(*[
         F.struct(F.lit(r).alias("rate"), b.alias("bin")) for r, b in bins.items()])).alias("s"))
         .groupBy("lang", "source", "s.rate", "s.bin").agg(F.count(F.lit(1)).alias("n")))
+    # the three levels are merged from the stored sketches: the texts are measured once for them
+    sketch, _ = stored(sketch, "quality-sketch")
     null = F.lit(None).cast("string")
     levels = (sketch.withColumn("level", F.lit(0))
               .unionByName(sketch.withColumn("source", null).withColumn("level", F.lit(1)))
