@@ -40,11 +40,20 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*cols)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read back, and its path."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """``df`` written to the shared folder and read back, and its path. What
+    the write shuffled is of no use after it, and its files go at once."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def global_rank(df: DataFrame, group: list[str], order: list[Column], rank: str,
