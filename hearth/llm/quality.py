@@ -157,7 +157,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang",
     and sources form groups of their own. Repeated rows are judged alike. An
     empty table gives an empty result. Texts of any length are read whole."""
     m, tl, ts, verdict = fresh(docs, "measures", "__tl", "__ts", "verdict")
-    fences = thresholds(docs, text, lang, source)
+    # stored, so that its size is known when the join is planned: a small table is broadcast and no
+    # text moves, a large one is joined and AQE splits a hot source
+    fences, _ = stored(thresholds(docs, text, lang, source), "quality-fences")
     names = [c for c in fences.columns if c not in ("lang", "source")]
     fences = fences.select(F.col("lang").alias(tl), F.col("source").alias(ts),
                            F.struct(*names).alias(verdict))
