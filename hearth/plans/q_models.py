@@ -119,7 +119,7 @@ def _candidates() -> dict:
     the chosen ones of the SVM and the neighbours."""
     one = lambda name, **p: EV.model(name, FEATURES, id_col="doc_id", **p)
     return {"rf(50,5)": one("rf", numTrees=50, maxDepth=5), "gbt(10)": one("gbt", maxIter=10),
-            "svm": one("svm"), "knn": one("knn")}
+            "svm": one("svm", max_iter=20), "knn": one("knn")}
 
 
 @query("cv_metrics")
