@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearth.llm import (
-    ann, chat, html, lines, nbest, packing, quality, repair, sharding, simhash, tokenids)
+    ann, chat, html, lines, nbest, negatives, packing, quality, repair, rotcodes, sharding, simhash, tokenids)
 
-MODULES = (html, chat, lines, simhash, sharding, nbest, quality, packing, ann, tokenids, repair)
+MODULES = (html, chat, lines, simhash, sharding, nbest, quality, packing, ann, tokenids, negatives, rotcodes,
+           repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
