@@ -117,14 +117,14 @@ HIST_BINS, HIST_RANGE = 30, (-1000.0, 2000.0)
 # Cross-validation and chosen models.
 N_FOLDS, FOLD_SEED, HOLDOUT_SEED, HOLDOUT_TEST_FRACTION = 5, 1, 10, 0.25
 RF_PARAMS = {"numTrees": 120, "maxDepth": 10}
-GBT_PARAMS = {"maxIter": 58, "stepSize": 0.2, "maxDepth": 4, "minInstancesPerNode": 4,
-              "subsamplingRate": 0.9}
+GBT_PARAMS = {"rounds": 58, "eta": 0.2, "depth": 4, "min_child_weight": 4, "subsample": 0.9, "gamma": 0.3}
 KNN_PARAMS = {"k": 125, "weights": "distance", "p": 1}
-SVM_PARAMS = {"C_": 1.0, "gamma": 0.01}
-SVM_GRID = {"C_": [0.5, 1, 2], "gamma": [0.005, 0.01, 0.02, 0.05]}
+SVM_PARAMS = {"C": 1.0, "gamma": 0.01}
+SVM_GRID = {"C": [0.5, 1, 2], "gamma": [0.005, 0.01, 0.02, 0.05]}
 RF_GRID = {"numTrees": [50, 70, 100, 120, 150], "maxDepth": [3, 5, 7, 10, 15]}
-GBT_GRID = {"maxIter": list(range(10, 60, 2)), "stepSize": [0.2], "maxDepth": [4],
-            "minInstancesPerNode": [4], "subsamplingRate": [0.8, 0.9, 1.0]}
+# (the source's column share has no effect there: its name is misspelt)
+GBT_GRID = {"rounds": list(range(10, 60, 2)), "eta": [0.2], "depth": [4], "min_child_weight": [4],
+            "subsample": [0.8, 0.9, 1.0], "gamma": [0.0, 0.001, 0.005, 0.01]}
 KNN_GRID = {"k": [50, 75, 100, 125, 150, 200], "weights": ["uniform", "distance"], "p": [1, 2, 3]}
 
 # PCA reduction keeps components whose cumulative ratio is below this.

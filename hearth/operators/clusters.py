@@ -1,19 +1,23 @@
 """Two-stage clustering and cluster description.
 
 1. ``micro_cluster``: Spark ML k-means into many small groups.
-2. ``ward_cut``: Ward agglomeration of the micro-centres, cut at a height.
-   Built as rounds of reciprocal-nearest-neighbour merges: each round finds
-   every cluster's Ward-nearest cluster with the blocked neighbour search,
-   merges every reciprocal pair whose height is within the cut, and writes
-   the round to the shared checkpoint folder. Ward's linkage is reducible, so
-   merging all reciprocal pairs per round yields the same merges as the
-   greedy algorithm (Murtagh 1983), and stopping when no reciprocal pair is
-   within the cut gives the flat clusters at that height.
-3. ``refine_kmeans``: Lloyd iterations started from given centres.
-4. ``describe_clusters``: per cluster and variable, the v-test of the
+2. ``ward_linkage``: Ward agglomeration of the micro-centres by rounds of
+   reciprocal-nearest-neighbour merges. Ward's linkage is reducible: merging
+   all reciprocal pairs of a round gives the merges of the greedy algorithm
+   (Murtagh 1983), and a cluster's nearest partner stays the nearest until it
+   is merged itself, so partners are kept and only merged clusters and those
+   that pointed at them are searched again.
+3. ``cut_linkage``: flat clusters of a stored linkage at any heights, the merge
+   forest resolved by pointer jumping.
+4. ``refine_kmeans``: Lloyd iterations started from given centres, summed in
+   the tasks that hold the points.
+5. ``describe_clusters``: per cluster and variable, the v-test of the
    cluster mean against the overall mean (Lebart, Morineau & Piron), with
    wide partial aggregates (clusters x variables values) rather than a long
    unpivot of the rows.
+
+Centres are a model: their number is a parameter (``MAX_CENTRES`` at most), and
+they travel with the tasks.
 """
 
 from __future__ import annotations
@@ -21,16 +25,26 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.operators import neighbors as NB
+from hearth.operators.partials import array_sums
 from hearth.operators.prefix import dense_codes
 from hearth.operators.relational import merge_rare
 from hearth.session import cut_lineage
 
+#: Most centres of one clustering: what the driver and every task can hold.
+MAX_CENTRES = 100_000
+#: Share of points computed anew at which Lloyd's bounds are taken again.
+LLOYD_REFRESH = 0.3
+#: Centres whose sums travel as one array.
+CENTRES_PER_BLOCK = 1024
+
 
 def array_mean(vec: str, dim: int, weight: str | None = None) -> Column:
     """Aggregate: coordinate-wise (weighted) mean of an ARRAY<DOUBLE>."""
@@ -64,72 +78,111 @@ def micro_cluster(df: DataFrame, *, id_col: str, vec: str, k: int, seed: int = 0
 
 # --- C2 C3 ---------------------------------------------------------------------------------------
 
-def ward_cut(centres: DataFrame, *, id_col: str = "micro_id", vec: str = "centre",
-             height: float | None = None, weight: str | None = None, max_rounds: int = 10_000
-             ) -> tuple[DataFrame, DataFrame]:
-    """Ward agglomeration of weighted points, cut at ``height`` (None: merge
-    to one cluster). Weights default to 1 per point (the micro-centres'
-    sizes are not used, as in the source; pass ``weight`` to use them).
-
-    Returns (membership ``(id_col, cluster)`` where cluster is the smallest
-    member id, linkage ``(round, left, right, height, size)``)."""
+def _read_centres(df: DataFrame, id_col: str, vec: str, *more: Column) -> list:
+    """A bounded table of centres, in id order."""
+    rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), *more)
+            .limit(MAX_CENTRES + 1).collect())
+    if len(rows) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres; group the points into micro-clusters first")
+    return sorted(rows, key=lambda r: r["id"])
+
+
+def _ward_partners(x: np.ndarray, w: np.ndarray, of: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Ward-nearest cluster of each of ``of`` (ties: the first) and the height."""
+    part = 2.0 * w[of][:, None] * w[among] / (w[of][:, None] + w[among])
+    apart = np.sqrt(part) * NB._pairwise(x[of], x[among], "euclidean", 2.0)
+    apart[of[:, None] == among] = np.inf
+    best = apart.argmin(axis=1)
+    return among[best], apart[np.arange(len(of)), best]
+
+
+def ward_linkage(centres: DataFrame, *, id_col: str = "micro_id", vec: str = "centre", weight: str | None = None,
+                 height: float | None = None) -> DataFrame:
+    """Ward agglomeration of weighted points: ``round, left, right, height,
+    size``, a row for each merge, ``left < right`` being the smallest member
+    ids of the merged clusters; the merged cluster goes on as ``left``. Weights
+    default to 1 per point (the micro-centres' sizes are not used, as in the
+    source; pass ``weight`` to use them). With ``height``, merges above it are
+    left out.
+
+    A round is one job over the clusters whose partner is gone."""
     spark = centres.sparkSession
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cl = cut_lineage(centres.select(F.col(id_col).cast("long").alias("cid"),
-                                    F.col(vec).cast("array<double>").alias("v"), w.alias("w")))
-    member = cut_lineage(centres.select(F.col(id_col).cast("long").alias(id_col),
-                                        F.col(id_col).cast("long").alias("cid")))
-    n_cl = cl.count()
-    links = []
-    for rnd in range(max_rounds + 1):
-        if n_cl <= 1:
-            break
-        if rnd == max_rounds:
-            raise RuntimeError(f"pairs are left to merge after {max_rounds} rounds")
-        nn = NB.nearest_neighbours(cl, cl.withColumnRenamed("cid", "nid"), k=1, q_id="cid",
-                                   q_vec="v", d_id="nid", d_vec="v", metric="ward",
-                                   exclude_self=True, q_weight="w", d_weight="w",
-                                   n_queries=n_cl, n_donors=n_cl)
-        a = nn.select("cid", "nid", F.col("dist").alias("h"))
-        b = nn.select(F.col("cid").alias("b_cid"), F.col("nid").alias("b_nid"))
-        pairs = a.join(b, (a["cid"] == b["b_nid"]) & (a["nid"] == b["b_cid"]), "inner").where(
-            F.col("cid") < F.col("nid"))
+    rows = _read_centres(centres, id_col, vec, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    schema = "round int, left long, right long, height double, size double"
+    if len(rows) < 2:
+        return spark.createDataFrame([], schema)
+    ids = np.array([r["id"] for r in rows], np.int64)
+    x, w = np.array([r["v"] for r in rows], np.float64), np.array([r["w"] for r in rows], np.float64)
+    alive, partner, apart = np.ones(len(ids), bool), np.full(len(ids), -1), np.full(len(ids), np.inf)
+    stale, links, round_ = np.arange(len(ids)), [], 0
+    while True:
+        for at, near, far in _search_partners(spark, x, w, stale, np.flatnonzero(alive)):
+            partner[at], apart[at] = near, far
+        own = np.flatnonzero(alive)
+        left = own[(partner[partner[own]] == own) & (own < partner[own])]
         if height is not None:
-            pairs = pairs.where(F.col("h") <= F.lit(height))
-        cu = cl.select(F.col("cid").alias("u"), F.col("v").alias("vu"), F.col("w").alias("wu"))
-        cv = cl.select(F.col("cid").alias("v"), F.col("v").alias("vv"), F.col("w").alias("wv"))
-        # one materialised table per round: the merges with both sides' centres
-        m = cut_lineage(pairs.select(F.col("cid").alias("u"), F.col("nid").alias("v"), "h")
-                        .join(cu, "u").join(cv, "v"))
-        n_pairs = m.count()
-        if n_pairs == 0:
+            left = left[apart[left] <= height]
+        if not len(left):
             break
-        merged = m.select(
-            F.col("u").alias("cid"),
-            F.zip_with("vu", "vv", lambda x, y: (x * F.col("wu") + y * F.col("wv"))
-                       / (F.col("wu") + F.col("wv"))).alias("v"),
-            (F.col("wu") + F.col("wv")).alias("w"))
-        links.append(m.select(F.lit(rnd).alias("round"), F.col("u").alias("left"),
-                              F.col("v").alias("right"), F.col("h").alias("height"),
-                              (F.col("wu") + F.col("wv")).alias("size")))
-        gone = m.select(F.col("u").alias("g")).unionByName(m.select(F.col("v").alias("g")))
-        cl = cut_lineage(cl.join(gone, cl["cid"] == gone["g"], "left_anti").unionByName(merged))
-        n_cl -= n_pairs
-        remap = m.select(F.col("v").alias("__old"), F.col("u").alias("__new"))
-        member = (member.join(remap, member["cid"] == remap["__old"], "left")
-                  .select(id_col, F.coalesce("__new", "cid").alias("cid")))
-        if rnd % 4 == 3:
-            # k-row table; a long chain of outer joins would blow up the
-            # planner's size estimate, so it is cut every few rounds
-            member = cut_lineage(member, "ward-member")
-    if links:
-        linkage = links[0]
-        for x in links[1:]:
-            linkage = linkage.unionByName(x)
-    else:
-        linkage = spark.createDataFrame(
-            [], "round int, left long, right long, height double, size double")
-    return member.withColumnRenamed("cid", "cluster"), linkage
+        right = partner[left]
+        size = w[left] + w[right]
+        x[left] = (x[left] * w[left][:, None] + x[right] * w[right][:, None]) / size[:, None]
+        w[left], alive[right] = size, False
+        links += zip([round_] * len(left), ids[left].tolist(), ids[right].tolist(), apart[left].tolist(), size.tolist())
+        if alive.sum() < 2:
+            break
+        own = np.flatnonzero(alive)
+        stale = own[np.isin(own, left) | np.isin(partner[own], np.concatenate((left, right)))]
+        round_ += 1
+    return spark.createDataFrame([(int(r), *rest) for r, *rest in links], schema)
+
+
+def _search_partners(spark, x: np.ndarray, w: np.ndarray, of: np.ndarray, among: np.ndarray) -> list:
+    """Partners of the clusters ``of``, in as many tasks as their distances fill."""
+    tasks = int(min(len(of), max(1, len(of) * len(among) * x.shape[1] // 20_000_000 + 1)))
+    held = spark.sparkContext.broadcast((x, w, among))
+
+    def search(frames):
+        for frame in frames:
+            at = frame["id"].to_numpy()
+            points, weights, others = held.value
+            for a in range(0, len(at), 256):
+                near, far = _ward_partners(points, weights, at[a:a + 256], others)
+                yield pd.DataFrame({"at": at[a:a + 256], "near": near, "far": far})
+    todo = spark.createDataFrame(pd.DataFrame({"id": of.astype(np.int64)})).repartition(tasks) if tasks > 1 else (
+        spark.createDataFrame(pd.DataFrame({"id": of.astype(np.int64)})).coalesce(1))
+    found = [tuple(r) for r in todo.mapInPandas(search, "at long, near long, far double").collect()]
+    held.destroy()
+    return found
+
+
+def cut_linkage(points: DataFrame, linkage: DataFrame, heights: Sequence[float], *, id_col: str = "micro_id") -> DataFrame:
+    """Flat clusters at each of ``heights`` from one linkage: ``(height,
+    id_col, cluster)``, cluster being the smallest member id. Every ``right``
+    of a merge points at its ``left``; pointers above a height are left out and
+    the rest are doubled until they end, all heights at once."""
+    level = F.explode(F.array(*[F.lit(float(h)) for h in heights]))
+    merges = linkage.select(F.col("right").alias(id_col), F.col("left").alias("__to"), F.col("height").alias("__h"))
+    now = (points.select(F.col(id_col).cast("long").alias(id_col)).withColumn("height", level)
+           .join(merges, id_col, "left")
+           .select("height", id_col, F.when(F.col("__h") <= F.col("height"), F.col("__to")).otherwise(F.col(id_col)).alias("cluster")))
+    while True:
+        now = cut_lineage(now, "ward-pointers")
+        ends = now.select(F.col("height").alias("__height"), F.col(id_col).alias("__at"), F.col("cluster").alias("__end"))
+        hop = now.join(ends, (F.col("height") == F.col("__height")) & (F.col("cluster") == F.col("__at")))
+        if not hop.where(F.col("__end") != F.col("cluster")).limit(1).count():
+            return now
+        now = hop.select("height", id_col, F.col("__end").alias("cluster"))
+
+
+def ward_cut(centres: DataFrame, *, id_col: str = "micro_id", vec: str = "centre",
+             height: float | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ward agglomeration cut at ``height`` (None: merged to one cluster):
+    membership ``(id_col, cluster)`` where cluster is the smallest member id,
+    and the linkage of :func:`ward_linkage`."""
+    linkage = ward_linkage(centres, id_col=id_col, vec=vec, weight=weight, height=height)
+    member = cut_linkage(centres, linkage, [math.inf if height is None else height], id_col=id_col)
+    return member.select(id_col, "cluster"), linkage
 
 
 def label_clusters(member: DataFrame, *, cluster: str = "cluster", floor: int | None = None,
@@ -154,42 +207,104 @@ def cluster_centroids(df: DataFrame, *, cluster: str, vec: str, dim: int | None
                                    F.count(F.lit(1)).alias("n"))
 
 
+class _Lloyd:
+    """One pass over points: each goes to its nearest centre (ties: the first)
+    and the vectors of each centre are summed. A point carries its centre at an
+    earlier pass with bounds of its distance to that one (``upper``) and to any
+    other (``lower``); while the centres' moves since then leave the first
+    below the second, nothing is computed for it."""
+
+    def __init__(self, centres: np.ndarray, reference: np.ndarray | None):
+        self.cells = NB.Cells(centres, "euclidean", 2.0)
+        self.moved = None if reference is None else np.sqrt(((centres - reference) ** 2).sum(axis=1))
+
+    def nearest_two(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, upper, lower = np.zeros(len(x), np.int64), np.zeros(len(x)), np.full(len(x), np.inf)
+        for a, b in NB._chunks(len(x), len(self.cells.pivots)):
+            d = NB._pairwise(x[a:b], self.cells.pivots, "euclidean", 2.0)
+            at[a:b] = d.argmin(axis=1)
+            row = np.arange(b - a)
+            upper[a:b] = d[row, at[a:b]]
+            d[row, at[a:b]] = np.inf
+            lower[a:b] = d.min(axis=1)
+        return at, upper, lower
+
+    def place(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        x, at = NB._matrix(frame["__v"]), frame["__at"].to_numpy().copy()
+        if self.moved is None:
+            return x, self.nearest_two(x)[0], len(x)
+        # rounding is far below this
+        anew = frame["__upper"].to_numpy() + self.moved[at] + 1e-9 >= frame["__lower"].to_numpy() - self.moved.max()
+        if anew.any():
+            at[anew] = self.nearest_two(x[anew])[0]
+        return x, at, int(anew.sum())
+
+    def sums(self, frame: pd.DataFrame):
+        """By block of centres: points, computed points and vector sums."""
+        x, at, computed = self.place(frame)
+        for block in np.unique(at // CENTRES_PER_BLOCK):
+            first = block * CENTRES_PER_BLOCK
+            here = at // CENTRES_PER_BLOCK == block
+            total = np.zeros((min(CENTRES_PER_BLOCK, len(self.cells.pivots) - first), x.shape[1] + 1))
+            np.add.at(total, at[here] - first, np.hstack((np.ones((here.sum(), 1)), x[here])))
+            yield int(block), total.ravel()
+        yield -1, np.array([float(computed)])
+
+    def bounds(self, frames):
+        for frame in frames:
+            if len(frame):
+                at, upper, lower = self.nearest_two(NB._matrix(frame["__v"]))
+                yield frame.assign(__at=at, __upper=upper, __lower=lower)
+
+
 def refine_kmeans(points: DataFrame, init: DataFrame, *, id_col: str, vec: str,
                   centre_id: str = "cluster", centre_vec: str = "centre",
-                  max_iter: int = 300, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+                  max_iter: int = 300, tol: float = 1e-4, steps: int | None = None,
+                  report: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Lloyd iterations from the given centres (an empty cluster keeps its
     centre). Stops when the total squared shift is at most ``tol`` times
-    the mean per-coordinate variance; raises after ``max_iter`` rounds.
-    Returns (assignment ``(id, centre_id)``, centres)."""
+    the mean per-coordinate variance, or after exactly ``steps`` rounds if
+    given; raises after ``max_iter`` rounds. Returns (assignment ``(id,
+    centre_id)``, centres).
+
+    A round sums the vectors of each centre in the tasks that hold the points
+    and shuffles at most centres x tasks sums; points whose distance bounds
+    still decide are not computed. ``report`` receives the number of points
+    computed in each round."""
+    spark = points.sparkSession
+    rows = _read_centres(init, centre_id, centre_vec)
+    names, centres = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
     dim = vector_dim(points, vec)
-    spread = points.agg(*[F.var_pop(F.col(vec)[i]) for i in range(dim)]).first()
-    var = sum(x or 0.0 for x in spread) / max(dim, 1)
-    tol_abs = tol * var
+    spread = points.agg(F.count(F.lit(1)), *[F.var_pop(F.col(vec)[i]) for i in range(dim)]).first()
+    n_points, tol_abs = spread[0], tol * sum(x or 0.0 for x in spread[1:]) / max(dim, 1)
+    held = "__pid long, __v array<double>, __at long, __upper double, __lower double"
+
+    def bounded(at: np.ndarray) -> DataFrame:
+        # one pass at the centres that later passes measure their moves from
+        return cut_lineage(pts.mapInPandas(_Lloyd(at, None).bounds, held), "lloyd-bounds")
     pts = cut_lineage(points.select(F.col(id_col).cast("long").alias("__pid"),
-                                    F.col(vec).cast("array<double>").alias("__v")))
-    cen = cut_lineage(init.select(F.col(centre_id).cast("long").alias("__cid"),
-                                  F.col(centre_vec).cast("array<double>").alias("__c")))
-    assign = None
-    for done in range(max_iter + 1):
-        if done == max_iter:
+                                    F.col(vec).cast("array<double>").alias("__v")), "lloyd-points")
+    reference, state = centres, bounded(centres)
+    for done in range(steps if steps is not None else max_iter + 1):
+        if steps is None and done == max_iter:
             raise RuntimeError(f"centres still move after {max_iter} iterations")
-        assign = NB.nearest_centre(pts, cen, point_id="__pid", vec="__v", centre_id="__cid",
-                                   centre_vec="__c", out="__cid")
-        moved = (assign.join(pts, "__pid").groupBy("__cid")
-                 .agg(array_mean("__v", dim).alias("__new")))
-        nxt = cen.join(moved, "__cid", "left").select(
-            "__cid", F.coalesce("__new", "__c").alias("__c"), F.col("__c").alias("__old"))
-        nxt = cut_lineage(nxt)
-        shift = nxt.select(F.aggregate(F.zip_with("__c", "__old", lambda a, b: (a - b) * (a - b)),
-                                       F.lit(0.0), lambda acc, x: acc + x).alias("s")
-                           ).agg(F.sum("s")).first()[0] or 0.0
-        cen = nxt.select("__cid", "__c")
-        if shift <= tol_abs:
+        found = array_sums(state, _Lloyd(centres, reference).sums)
+        anew, before, centres = int(found.pop(-1, np.zeros(1))[0]), centres, centres.copy()
+        for block, total in found.items():
+            total = total.reshape(-1, dim + 1)
+            used = np.flatnonzero(total[:, 0])
+            centres[block * CENTRES_PER_BLOCK + used] = total[used, 1:] / total[used, :1]
+        if report is not None:
+            report.append(anew)
+        if steps is None and ((centres - before) ** 2).sum() <= tol_abs:
             break
-    assign = NB.nearest_centre(pts, cen, point_id="__pid", vec="__v", centre_id="__cid",
-                               centre_vec="__c", out="__cid")
-    return (assign.select(F.col("__pid").alias(id_col), F.col("__cid").alias(centre_id)),
-            cen.select(F.col("__cid").alias(centre_id), F.col("__c").alias(centre_vec)))
+        if anew > LLOYD_REFRESH * n_points and not np.array_equal(before, reference):
+            reference, state = centres, bounded(centres)
+    final = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(names, centres)],
+                                  f"{centre_id} long, {centre_vec} array<double>")
+    assign = NB.nearest_centre(pts, final, point_id="__pid", vec="__v", centre_id=centre_id, centre_vec=centre_vec,
+                               out=centre_id)
+    return assign.select(F.col("__pid").alias(id_col), centre_id), final
 
 
 # --- C8 ----------------------------------------------------------------------------------------------

@@ -12,17 +12,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from hearth import config as C
 from hearth.operators import neighbors as NB
 from hearth.operators import scaling as SC
+from hearth.operators.boosting import BoostParams, boost
+from hearth.operators.kernel import LANDMARKS, SvmParams, fit_svm
 from hearth.operators.prefix import running_sum
 from hearth.session import cut_lineage
 
@@ -103,61 +103,23 @@ def random_forest(features: Sequence[str], *, label: str = "y", seed: int = 1,
     return fit
 
 
-def boosted_trees(features: Sequence[str], *, label: str = "y", seed: int = 1,
-                  **params) -> Fitter:
-    """Gradient-boosted trees (logistic loss) probability of class 1. The
-    source's least loss reduction and column share have no Spark equivalent;
-    ``minInfoGain`` sets Spark's own split floor (default 0)."""
-    p = {"minInfoGain": 0.0, **C.GBT_PARAMS, **params}
+def boosted_trees(features: Sequence[str], *, id_col: str, label: str = "y", seed: int = 1, **params) -> Fitter:
+    """Second-order boosted trees (logistic loss) probability of class 1."""
+    p = BoostParams(**{**C.GBT_PARAMS, "seed": seed, **params})
 
     def fit(train, fold):
-        tr = _assemble(train, features).persist()
-        m = GBTClassifier(featuresCol="__x", labelCol=label, seed=seed, lossType="logistic",
-                          maxIter=p["maxIter"], stepSize=p["stepSize"], maxDepth=p["maxDepth"],
-                          minInstancesPerNode=p["minInstancesPerNode"],
-                          subsamplingRate=p["subsamplingRate"],
-                          minInfoGain=p["minInfoGain"]).fit(tr)
-        tr.unpersist()
-        return lambda rows: m.transform(_assemble(rows, features)).withColumn(
-            "score", vector_to_array("probability")[1])
+        fitted = boost(train, [p], features=features, id_col=id_col, label=label)
+        return lambda rows: fitted.score(rows).drop("model", "stage")
     return fit
 
 
-def rbf_svm(features: Sequence[str], *, label: str = "y", C_: float = 1.0, gamma: float = 0.01,
-            n_components: int = 256, seed: int = 1, max_iter: int = 100) -> Fitter:
-    """RBF-kernel SVM approximated with random Fourier features
-    z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
-    (Rahimi & Recht 2007), then a linear SVM with regParam = 1 / (C n).
-    Score = margin. The D x d projection (bounded by parameters) is shipped
-    with the task; the features are mapped batch-wise with numpy."""
-    d = len(features)
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(d, n_components))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-    scale = math.sqrt(2.0 / n_components)
-    feats = list(features)
-
-    def lift(df: DataFrame) -> DataFrame:
-        keep = df.columns
-
-        def batches(it):
-            for pdf in it:
-                x = pdf[feats].to_numpy(dtype=np.float64)
-                z = scale * np.cos(x @ w + b)
-                out = pdf[keep].copy()
-                out["__z"] = list(z)
-                yield out
-        schema = df.select(*keep).schema.add("__z", ArrayType(DoubleType()))
-        return df.mapInPandas(batches, schema).withColumn("__x", array_to_vector("__z"))
-
+def rbf_svm(features: Sequence[str], *, id_col: str, label: str = "y", C: float = 1.0, gamma: float = 0.01,
+            landmarks: int = LANDMARKS) -> Fitter:
+    """RBF-kernel SVM on Nystroem landmarks; score = margin."""
     def fit(train, fold):
-        tr = lift(train).persist()  # the optimiser passes over it many times
-        n = tr.count()
-        m = LinearSVC(featuresCol="__x", labelCol=label, regParam=1.0 / (C_ * max(n, 1)),
-                      maxIter=max_iter).fit(tr)
-        tr.unpersist()
-        return lambda rows: m.transform(lift(rows)).withColumn(
-            "score", vector_to_array("rawPrediction")[1])
+        fitted = fit_svm(train, [SvmParams(C=C, gamma=gamma)], features=features, id_col=id_col, label=label,
+                         landmarks=landmarks)
+        return lambda rows: fitted.score(rows).drop("model")
     return fit
 
 
@@ -196,9 +158,9 @@ def model(name: str, features: Sequence[str], *, id_col: str, label: str = "y",
     if name == "rf":
         return random_forest(features, label=label, importances=importances, **p)
     if name == "gbt":
-        return boosted_trees(features, label=label, **p)
+        return boosted_trees(features, id_col=id_col, label=label, **p)
     if name == "svm":
-        return rbf_svm(features, label=label, **p)
+        return rbf_svm(features, id_col=id_col, label=label, **p)
     return neighbour_vote(features, id_col=id_col, label=label, **p)
 
 

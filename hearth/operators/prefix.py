@@ -36,13 +36,16 @@ def bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int) -> list[tupl
 
 
 def bucket_of(df: DataFrame, cols: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """How many of ``bounds`` a row's tuple of ``cols`` has reached."""
+    """How many of the ascending ``bounds`` a row's tuple of ``cols`` has
+    reached, by binary search: a step for each power of two below their number."""
     if not bounds:
         return F.lit(0)
     types = [df.schema[c].dataType for c in cols]
     lits = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, cols)])
                      for b in bounds])
-    return F.size(F.filter(lits, lambda b: b <= F.struct(*cols)))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    row = F.struct(*cols)
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(lits, at + half - 1) <= row, at + half).otherwise(at))
 
 
 def running_sum(df: DataFrame, *, order_by: Sequence[str], sums: Sequence[str],

@@ -151,31 +151,33 @@ def apply_thresholds(df: DataFrame, fitted: DataFrame, *, score: str, group_by:
 
 # --- V9 V10 ---------------------------------------------------------------------------------
 
-def _score_counts(df: DataFrame, score: str, label: str, positive) -> DataFrame:
-    """Positives and negatives of each distinct score, materialised: the input
-    is scanned once, whatever reads the counts."""
+def _score_counts(df: DataFrame, score: str, label: str, positive, group_by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives of each distinct score (of each group),
+    materialised: the input is scanned once, whatever reads the counts."""
     pos = F.coalesce(F.col(label) == positive, F.lit(False)).cast("long")
     counts = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-              .groupBy(F.col(score).alias("__s"))
+              .groupBy(*group_by, F.col(score).alias("__s"))
               .agg(F.sum(pos).alias("__p"), F.sum(1 - pos).alias("__q")))
     return cut_lineage(counts, "score-counts")
 
 
-def roc_auc(df: DataFrame, *, score: str, label: str, positive=1) -> DataFrame:
-    """Exact area under the ROC curve (ties count one half), one row
-    ``auc`` (NULL when a class is missing), ``n_pos``, ``n_neg``.
+def roc_auc(df: DataFrame, *, score: str, label: str, positive=1, group_by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve (ties count one half), one row (or one
+    for each group, all in one job) ``auc`` (NULL when a class is missing),
+    ``n_pos``, ``n_neg``.
 
     AUC = sum over distinct scores of p * (negatives below + q / 2) / (P * N),
     summed as exact DECIMAL(38,0) integers (2x the numerator), so the result
     does not depend on the summation order.
     """
-    g = _score_counts(df, score, label, positive)
-    r = running_sum(g, order_by=["__s"], sums=["__q"], inclusive=False, prefix="__lt")
+    groups = list(group_by)
+    g = _score_counts(df, score, label, positive, groups)
+    r = running_sum(g, order_by=["__s"], sums=["__q"], partition_by=groups, inclusive=False, prefix="__lt")
     num = F.col("__p").cast("decimal(38,0)") * (2 * F.col("__lt__q") + F.col("__q"))
-    a = r.agg(F.sum(num).alias("__num"), F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"))
+    a = r.groupBy(*groups).agg(F.sum(num).alias("__num"), F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"))
     den = (2 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
     return a.select(
-        F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__num").cast("double") / den)
+        *groups, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__num").cast("double") / den)
         .alias("auc"),
         F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 

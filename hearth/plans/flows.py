@@ -22,6 +22,7 @@ from hearth import config as C
 from hearth.operators import clusters as CL
 from hearth.operators import evaluate as EV
 from hearth.operators import features as FE
+from hearth.operators import grids as GR
 from hearth.operators import neighbors as NB
 from hearth.operators import relational as R
 from hearth.operators import scaling as SC
@@ -141,17 +142,20 @@ def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR
 # --- C -----------------------------------------------------------------------------------------
 
 def evaluate_classifier(clean: DataFrame, candidates: Mapping[str, EV.Fitter] | None = None,
-                        models: Sequence[str] = tuple(EV.MODELS)) -> dict[str, DataFrame]:
+                        models: Sequence[str] = tuple(EV.MODELS), grids: Mapping[str, Mapping] | None = None
+                        ) -> dict[str, DataFrame]:
     """Out-of-fold evaluation of every candidate (by default the chosen
-    parameters of every model): train and test accuracy by fold, AUC, the best
+    parameters of every model; ``grids`` for whole grids from few fits): train and test accuracy by fold, AUC, the best
     candidate by AUC, and its confusion matrix and ROC."""
     x = clean.withColumn("y", F.when(F.col("orientation") == C.CLASS_BELOW, 1).otherwise(0))
     feats = [c for c in x.columns if c not in ("orientation", "id", "id_user", "y")]
     x = cut_lineage(EV.stratified_folds(x, id_col="id", label="y"), "folds")
     imp: list = []
     if candidates is None:
-        candidates = {m: EV.model(m, feats, id_col="id", importances=imp) for m in models}
-    out = EV.compare_candidates(x, candidates, id_col="id")
+        out = GR.compare_grids(x, GR.chosen_grids(models) if grids is None else grids, features=feats, id_col="id",
+                               importances=imp)
+    else:
+        out = EV.compare_candidates(x, candidates, id_col="id")
     if imp:
         out["importances"] = EV.mean_importances(imp, clean.sparkSession)
     return out

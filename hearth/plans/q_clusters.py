@@ -18,7 +18,8 @@ from hearth.session import cut_lineage
 
 DIM = 64
 MICRO_K = 50          # micro-clusters on the driver tables (1000 in the source's setting)
-WARD_HEIGHT = 9.0     # cut height for standardised 64-d embeddings
+WARD_HEIGHT, WARD_LOOKED_AT = 9.0, 12.0  # cut heights for standardised 64-d embeddings
+SEGMENT_HEIGHT, SEGMENT_FLOOR = 12.0, 3  # cut and least micro-centres of a segment
 
 
 def scaled_embeddings(spark: SparkSession, d: str):
@@ -46,8 +47,8 @@ def _misplaced(points: DataFrame, assign: DataFrame, centres: DataFrame, *, id_c
 SQL_PLACED = "SELECT COUNT(*) AS n_points, 0 AS n_misplaced FROM embeddings"
 
 
-@query("micro_cluster", sql=SQL_PLACED)
-def micro_cluster(spark: SparkSession, d: str) -> DataFrame:
+@query("micro_cluster_placed", sql=SQL_PLACED)
+def micro_cluster_placed(spark: SparkSession, d: str) -> DataFrame:
     """k-means micro-clusters of the standardised embeddings: every point lies
     in the cluster of its nearest centre."""
     z, _, _ = scaled_embeddings(spark, d)
@@ -56,29 +57,86 @@ def micro_cluster(spark: SparkSession, d: str) -> DataFrame:
                       vec="z", cluster="micro_id", centre="centre")
 
 
-@query("ward_cut", sql=f"""
-SELECT COUNT(DISTINCT vec_id) > 0 AS has_rows, {MICRO_K} AS n_merges_and_clusters, 0 AS n_above_cut, 0 AS n_falling
-FROM embeddings
-""")
+def _micro_centres(spark: SparkSession, d: str) -> DataFrame:
+    z, _, _ = scaled_embeddings(spark, d)
+    _, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
+    return cut_lineage(centres, "micro-centres")
+
+
+@query("micro_cluster")
+def micro_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """Micro-clusters of the standardised embeddings: centre and size."""
+    return _micro_centres(spark, d)
+
+
+@query("ward_linkage")
+def ward_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """All Ward merges of the micro-centres."""
+    return CL.ward_linkage(_micro_centres(spark, d))
+
+
+@query("ward_cut")
 def ward_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Flat clusters of the micro-centres at two heights, from one linkage."""
+    centres = _micro_centres(spark, d)
+    linkage = cut_lineage(CL.ward_linkage(centres), "linkage")
+    return CL.cut_linkage(centres, linkage, [WARD_HEIGHT, WARD_LOOKED_AT])
+
+
+@query("ward_checks", sql=f"""
+SELECT {MICRO_K} AS n_merges_and_clusters, 0 AS n_above_cut, 0 AS n_falling
+""")
+def ward_checks(spark: SparkSession, d: str) -> DataFrame:
     """Ward merges of the micro-centres below the cut: every merge takes one
     cluster away, none lies above the cut, and none below a merge it builds on."""
-    z, _, _ = scaled_embeddings(spark, d)
-    _, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
-    member, linkage = CL.ward_cut(cut_lineage(centres, "micro-centres"), id_col="micro_id", vec="centre",
-                                  height=WARD_HEIGHT)
+    member, linkage = CL.ward_cut(_micro_centres(spark, d), height=WARD_HEIGHT)
     linkage = cut_lineage(linkage, "linkage")
     clusters = member.agg(F.countDistinct("cluster").alias("k")).first()["k"]
     later = linkage.select(F.col("round").alias("r2"), F.col("height").alias("h2"),
                            F.array("left", "right").alias("of"))
     later = later.select("r2", "h2", F.explode("of").alias("left"))
     falling = linkage.join(later, "left").where("r2 > round and h2 < height - 1e-9").count()
-    return linkage.agg(F.lit(True).alias("has_rows"),
-                       (F.count(F.lit(1)) + F.lit(clusters)).cast("int").alias("n_merges_and_clusters"),
+    return linkage.agg((F.count(F.lit(1)) + F.lit(clusters)).cast("int").alias("n_merges_and_clusters"),
                        F.count_if(F.col("height") > WARD_HEIGHT).alias("n_above_cut"),
                        F.lit(falling).alias("n_falling"))
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Both stages on the standardised embeddings: micro-clusters, Ward cut,
+    small clusters merged, Lloyd refinement of the cut's centres, and the
+    micro-centres in original units with their final cluster."""
+    z, means, sds = scaled_embeddings(spark, d)
+    _, centres = CL.micro_cluster(z, id_col="vec_id", vec="z", k=MICRO_K, seed=C.MICRO_SEED)
+    centres = cut_lineage(centres, "micro-centres")
+    member, _ = CL.ward_cut(centres, height=SEGMENT_HEIGHT)
+    labelled = CL.label_clusters(member, floor=SEGMENT_FLOOR, small_id=C.SMALL_CLUSTER_ID)
+    points = centres.join(labelled, "micro_id")
+    init = CL.cluster_centroids(points, cluster="cluster", vec="centre", dim=DIM)
+    assign, _ = CL.refine_kmeans(points, init, id_col="micro_id", vec="centre")
+    units = centres.join(assign, "micro_id").select(
+        "micro_id", "cluster", "size", SC.inverse_array("centre", means, sds).alias("centre"))
+    return cut_lineage(units, "segments")
+
+
+@query("segment_export")
+def segment_export(spark: SparkSession, d: str) -> DataFrame:
+    """Every micro-centre in original units with the cluster that it ends in."""
+    return _segments(spark, d)
+
+
+@query("segment_sizes")
+def segment_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Micro-centres and points of every cluster."""
+    return _segments(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_points"))
+
+
+@query("segment_description")
+def segment_description(spark: SparkSession, d: str) -> DataFrame:
+    """v-tests of the micro-centres' coordinates in every found cluster."""
+    x = _segments(spark, d).select("cluster", *[F.col("centre")[i].alias(c) for i, c in enumerate(COORDS)])
+    return CL.describe_clusters(x, cluster="cluster", cols=COORDS, limit=C.VTEST_LIMIT)
+
+
 LABEL_FLOOR = 60  # nations with fewer customers merge into cluster 0 (sf0.01 has 60 on average)
 
 
@@ -96,16 +154,47 @@ def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.col("cluster").cast("int").alias("cluster"))
 
 
-@query("refine_kmeans", sql=SQL_PLACED)
-def refine_kmeans(spark: SparkSession, d: str) -> DataFrame:
+def _from_labels(spark: SparkSession, d: str, **how):
     """Lloyd iterations on the standardised embeddings from the centroids of
-    their given labels: every point ends in the cluster of its nearest centre."""
+    their given labels: points, assignment and centres."""
     z, _, _ = scaled_embeddings(spark, d)
     init = CL.cluster_centroids(z, cluster="label", vec="z", dim=DIM)
-    assign, final = CL.refine_kmeans(z.select("vec_id", "z"), init, id_col="vec_id", vec="z",
-                                     centre_id="label", centre_vec="centre")
-    return _misplaced(z.select("vec_id", "z"), assign, final, id_col="vec_id", vec="z", cluster="label",
-                      centre="centre")
+    points = z.select("vec_id", "z")
+    return points, *CL.refine_kmeans(points, init, id_col="vec_id", vec="z", centre_id="label", centre_vec="centre", **how)
+
+
+@query("refine_kmeans")
+def refine_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster in which every embedding ends."""
+    return _from_labels(spark, d)[1].select(lng("vec_id").alias("vec_id"), F.col("label").alias("cluster"))
+
+
+@query("refine_kmeans_placed", sql=SQL_PLACED)
+def refine_kmeans_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Every point ends in the cluster of its nearest centre."""
+    points, assign, final = _from_labels(spark, d)
+    return _misplaced(points, assign, final, id_col="vec_id", vec="z", cluster="label", centre="centre")
+
+
+@query("lloyd_two_steps", sql="""
+WITH u AS (SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x
+           FROM embeddings),
+ t AS (SELECT dim, AVG(x) AS m, STDDEV_POP(x) AS s FROM u GROUP BY dim),
+ z AS (SELECT vec_id, label, dim, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS x FROM u JOIN t USING (dim)),
+ v AS (SELECT vec_id, list(x ORDER BY dim) AS v FROM z GROUP BY vec_id),
+ c0 AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, AVG(x) AS x FROM z GROUP BY ALL) GROUP BY label),
+ a1 AS (SELECT vec_id, arg_min(label, list_distance(v, c)) AS label FROM v, c0 GROUP BY vec_id),
+ n1 AS (SELECT a1.label, dim, AVG(x) AS x FROM z JOIN a1 USING (vec_id) GROUP BY ALL),
+ c1 AS (SELECT label, coalesce(m.c, c0.c) AS c FROM c0 LEFT JOIN (SELECT label, list(x ORDER BY dim) AS c FROM n1 GROUP BY label) m USING (label)),
+ a2 AS (SELECT vec_id, arg_min(label, list_distance(v, c)) AS label FROM v, c1 GROUP BY vec_id),
+ n2 AS (SELECT a2.label, dim, AVG(x) AS x FROM z JOIN a2 USING (vec_id) GROUP BY ALL),
+ c2 AS (SELECT label, coalesce(m.c, c1.c) AS c FROM c1 LEFT JOIN (SELECT label, list(x ORDER BY dim) AS c FROM n2 GROUP BY label) m USING (label))
+SELECT CAST(label AS BIGINT) AS cluster, CAST(unnest(generate_series(0, len(c) - 1)) AS BIGINT) AS dim, ROUND(unnest(c), 6) AS mean FROM c2
+""")
+def lloyd_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The centres after two Lloyd steps from the centroids of the labels."""
+    final = _from_labels(spark, d, steps=2)[2].select("label", F.posexplode("centre").alias("dim", "mean"))
+    return final.select(lng("label").alias("cluster"), lng("dim").alias("dim"), dbl("mean", 6).alias("mean"))
 
 
 @query("cluster_export", sql="""
@@ -204,19 +293,41 @@ def describe_micro_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _described(CL.describe_clusters(e, cluster="cluster", cols=COORDS, limit=C.VTEST_LIMIT))
 
 
-@query("pca_variance", sql=f"""
-SELECT {DIM} AS n_components, CAST(1 AS DOUBLE) AS total, TRUE AS falling, COUNT(*) > 0 AS has_rows FROM embeddings
-""")
+@query("pca_variance")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
-    """Explained-variance ratios of the standardised embeddings: as many as
-    coordinates, falling, of sum one."""
+    """Explained-variance ratio of every component of the standardised embeddings."""
+    z, _, _ = scaled_embeddings(spark, d)
+    return SC.pca_variance(z, vec="z", dim=DIM)
+
+
+@query("pca_project")
+def pca_project(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on components 1 and 2 (0-based, as the source plots)."""
+    z, _, _ = scaled_embeddings(spark, d)
+    p = SC.pca_project(z, k=3, vec="z", keep=["vec_id", "label"], out="pcs")
+    return p.select(lng("vec_id").alias("vec_id"), lng("label").alias("label"), F.col("pcs")[1].alias("pc1"),
+                    F.col("pcs")[2].alias("pc2"))
+
+
+@query("pca_reduce")
+def pca_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on the components kept while the cumulative explained variance is below 2/3."""
+    z, _, _ = scaled_embeddings(spark, d)
+    p = SC.pca_reduce(z, threshold=C.PCA_VARIANCE_KEPT, vec="z", keep=["vec_id"], out="pcs")
+    return p.select(lng("vec_id").alias("vec_id"), "pcs")
+
+
+@query("pca_variance_checks", sql=f"""
+SELECT {DIM} AS n_components, CAST(1 AS DOUBLE) AS total, 0 AS n_rising
+""")
+def pca_variance_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The ratios are as many as coordinates, fall, and sum to one."""
     z, _, _ = scaled_embeddings(spark, d)
     v = SC.pca_variance(z, vec="z", dim=DIM)
     nxt = v.select((F.col("component") - 1).alias("component"), F.col("ratio").alias("next"))
     return v.join(nxt, "component", "left").agg(
         F.count(F.lit(1)).cast("int").alias("n_components"), dbl(F.sum("ratio"), 6).alias("total"),
-        F.every(F.coalesce(F.col("next") <= F.col("ratio"), F.lit(True))).alias("falling"),
-        F.lit(True).alias("has_rows"))
+        F.count_if(F.col("next") > F.col("ratio")).cast("int").alias("n_rising"))
 
 
 def _centred(scores: DataFrame, *cols) -> DataFrame:
@@ -228,20 +339,16 @@ def _centred(scores: DataFrame, *cols) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("n"), small.alias("centred"))
 
 
-@query("pca_project", sql="SELECT COUNT(*) AS n, TRUE AS centred FROM embeddings")
-def pca_project(spark: SparkSession, d: str) -> DataFrame:
-    """Scores on components 1 and 2 (0-based, as the source plots)."""
-    z, _, _ = scaled_embeddings(spark, d)
-    p = SC.pca_project(z, k=3, vec="z", keep=["vec_id", "label"], out="pcs")
-    return _centred(p, F.col("pcs")[1], F.col("pcs")[2])
+@query("pca_project_checks", sql="SELECT COUNT(*) AS n, TRUE AS centred FROM embeddings")
+def pca_project_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on components 1 and 2 are centred."""
+    return _centred(pca_project(spark, d), F.col("pc1"), F.col("pc2"))
 
 
-@query("pca_reduce", sql="SELECT COUNT(*) AS n, TRUE AS centred FROM embeddings")
-def pca_reduce(spark: SparkSession, d: str) -> DataFrame:
-    """Components kept while the cumulative explained variance is below 2/3."""
-    z, _, _ = scaled_embeddings(spark, d)
-    p = SC.pca_reduce(z, threshold=C.PCA_VARIANCE_KEPT, vec="z", keep=["vec_id"], out="pcs")
-    return _centred(p, F.col("pcs")[0])
+@query("pca_reduce_checks", sql="SELECT COUNT(*) AS n, TRUE AS centred FROM embeddings")
+def pca_reduce_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on the first kept component are centred."""
+    return _centred(pca_reduce(spark, d), F.col("pcs")[0])
 
 
 SQL_SCALED = """

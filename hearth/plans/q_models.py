@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hearth import config as C
 from hearth.operators import evaluate as EV
 from hearth.operators import features as FE
+from hearth.operators import grids as GR
 from hearth.operators import threshold as T
 from hearth.plans.registry import query
 from hearth.plans.tables import dbl, lng, table
@@ -41,15 +42,19 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(doc_features(spark, d), "doc-features")
 
 
+def _oof(spark: SparkSession, d: str, which: str, **how) -> DataFrame:
+    """Out-of-fold scores of one model with its chosen parameters, all folds
+    fitted together where the model allows it."""
+    grid = GR.chosen_grids([which])[which]
+    s = GR.GRID_SCORES[which](_features(spark, d), grid, features=FEATURES, id_col="doc_id", **how)
+    return s.select(F.lit(which).alias("candidate"), "id", "fold", "label", "score")
+
+
 def _checked_oof(spark: SparkSession, d: str, which: str) -> DataFrame:
-    """Out-of-fold scores of one model with its chosen parameters: id, held-out
-    fold, label and whether the score lies where that model's scores must (the
-    scores themselves come from randomised fits, which no SQL repeats)."""
-    s = EV.oof_predict(_features(spark, d), EV.model(which, FEATURES, id_col="doc_id"), id_col="doc_id",
-                       label="y", candidate=which)
+    """Id, held-out fold, label and whether the score lies where that model's
+    scores must (the scores themselves come from fits, which no SQL repeats)."""
     ok = (~F.isnan("score") if which == "svm" else F.col("score").between(0, 1))
-    return s.select("candidate", lng("id").alias("id"), "fold", "label",
-                    F.coalesce(ok, F.lit(False)).alias("score_ok"))
+    return _oof(spark, d, which).select("candidate", "id", "fold", "label", F.coalesce(ok, F.lit(False)).alias("score_ok"))
 
 
 SQL_FOLDS = f"""
@@ -89,57 +94,114 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     return f.select(lng("o_orderkey").alias("o_orderkey"), "o_orderstatus", "fold")
 
 
-@query("rf_oof", sql=_sql_oof("rf"))
+@query("rf_oof_folds", sql=_sql_oof("rf"))
+def rf_oof_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Every row once, in its fold, with a score in the model's range."""
+    return _checked_oof(spark, d, "rf")
+
+
+@query("rf_oof")
 def rf_oof(spark: SparkSession, d: str) -> DataFrame:
     """Random forest (120 trees, depth 10), out-of-fold probabilities."""
-    return _checked_oof(spark, d, "rf")
+    return _oof(spark, d, "rf")
 
 
-@query("gbt_oof", sql=_sql_oof("gbt"))
+@query("gbt_oof_folds", sql=_sql_oof("gbt"))
+def gbt_oof_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Every row once, in its fold, with a score in the model's range."""
+    return _checked_oof(spark, d, "gbt")
+
+
+@query("gbt_oof")
 def gbt_oof(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees (58 rounds, step 0.2, depth 4), out-of-fold probabilities."""
-    return _checked_oof(spark, d, "gbt")
+    return _oof(spark, d, "gbt")
 
 
-@query("svm_oof", sql=_sql_oof("svm"))
-def svm_oof(spark: SparkSession, d: str) -> DataFrame:
-    """RBF SVM via random Fourier features, out-of-fold margins."""
+@query("svm_oof_folds", sql=_sql_oof("svm"))
+def svm_oof_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Every row once, in its fold, with a score in the model's range."""
     return _checked_oof(spark, d, "svm")
 
 
-@query("knn_oof", sql=_sql_oof("knn"))
+@query("svm_oof")
+def svm_oof(spark: SparkSession, d: str) -> DataFrame:
+    """RBF SVM on Nystroem landmarks, out-of-fold margins."""
+    return _oof(spark, d, "svm")
+
+
+@query("knn_oof_folds", sql=_sql_oof("knn"))
+def knn_oof_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Every row once, in its fold, with a score in the model's range."""
+    return _checked_oof(spark, d, "knn")
+
+
+KNN_DIGITS = 9  # distances are ranked to this many digits, as in SQL
+_SCALED = "s ratio n_words n_distinct n_chars lang".split()
+_KNN_DIST = " + ".join(f"abs((q.{c} - t.m_{c}) / t.s_{c} - (d.{c} - t.m_{c}) / t.s_{c})" for c in _SCALED)
+
+
+@query("knn_oof", sql=f"""
+WITH w AS (SELECT doc_id, lang AS name, n_chars, quality, string_split(text, ' ') AS w FROM documents JOIN labels USING (doc_id)),
+ l AS (SELECT name, dense_rank() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT name FROM w)),
+ x AS (SELECT doc_id, quality AS y, len(list_distinct(w)) * 1.0::DOUBLE / len(w) AS s, 1.0::DOUBLE / len(list_distinct(w)) AS ratio,
+              CAST(len(w) AS DOUBLE) AS n_words, CAST(len(list_distinct(w)) AS DOUBLE) AS n_distinct,
+              CAST(n_chars AS DOUBLE) AS n_chars, CAST(code AS DOUBLE) AS lang,
+              (row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{C.FOLD_SEED}'), doc_id) - 1) % {C.N_FOLDS} AS fold
+       FROM w JOIN l USING (name)),
+ t AS (SELECT f.fold, {", ".join(f"AVG({c}) AS m_{c}, CASE WHEN STDDEV_POP({c}) = 0 THEN 1 ELSE STDDEV_POP({c}) END AS s_{c}" for c in _SCALED)}
+       FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY f.fold),
+ p AS (SELECT q.doc_id, q.fold, q.y AS label, d.y, {_KNN_DIST} AS dist, d.doc_id AS near
+       FROM x q JOIN t ON q.fold = t.fold JOIN x d ON q.fold <> d.fold
+       QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY round({_KNN_DIST}, {KNN_DIGITS}), d.doc_id) <= {C.KNN_PARAMS["k"]})
+SELECT 'knn' AS candidate, CAST(doc_id AS BIGINT) AS id, CAST(fold AS INTEGER) AS fold, CAST(label AS INTEGER) AS label,
+       ROUND(coalesce(avg(CASE WHEN dist = 0 THEN y END),
+                      sum(CASE WHEN dist <> 0 THEN y / dist END) / sum(CASE WHEN dist <> 0 THEN 1.0 / dist END)), 6) AS score
+FROM p GROUP BY ALL
+""")
 def knn_oof(spark: SparkSession, d: str) -> DataFrame:
     """125-neighbour distance-weighted Manhattan vote on train-fold-scaled
     features, out-of-fold probabilities."""
-    return _checked_oof(spark, d, "knn")
+    return _oof(spark, d, "knn", rank_digits=KNN_DIGITS).withColumn("score", dbl("score", 6))
 
 
-def _candidates() -> dict:
-    """A point of every model's grid: the small ones of the tree ensembles,
-    the chosen ones of the SVM and the neighbours."""
-    one = lambda name, **p: EV.model(name, FEATURES, id_col="doc_id", **p)
-    return {"rf(50,5)": one("rf", numTrees=50, maxDepth=5), "gbt(10)": one("gbt", maxIter=10),
-            "svm": one("svm", max_iter=20), "knn": one("knn")}
+def _grid_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold scores of every point of every model's grid."""
+    return GR.grid_scores(_features(spark, d), features=FEATURES, id_col="doc_id")
 
 
 @query("cv_metrics")
 def cv_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled accuracy on both sides and exact AUC of every candidate."""
-    return EV.compare_candidates(_features(spark, d), _candidates(), id_col="doc_id")["results"]
+    """Accuracy and exact AUC, out of fold, of every point of every grid."""
+    return GR.grid_results(_grid_scores(spark, d))
 
 
 @query("best_params")
 def best_params(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate with the best out-of-fold AUC, of all models."""
-    return EV.compare_candidates(_features(spark, d), _candidates(), id_col="doc_id")["best"]
+    """The candidate with the best out-of-fold AUC, of all points of all grids."""
+    return EV.best_candidate(GR.grid_results(_grid_scores(spark, d)), "auc")
+
+
+@query("best_confusion")
+def best_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Real x predicted of the best candidate."""
+    scores = _grid_scores(spark, d)
+    name = EV.best_candidate(GR.grid_results(scores), "auc").first()["candidate"]
+    return EV.confusion(scores.where(F.col("candidate") == name), threshold=EV.score_cut(name))
+
+
+@query("chosen_metrics")
+def chosen_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled accuracy on both sides and exact AUC of the parameters that the
+    source chose for every model."""
+    return GR.compare_grids(_features(spark, d), GR.chosen_grids(), features=FEATURES, id_col="doc_id")["results"]
 
 
 @query("importances")
 def importances(spark: SparkSession, d: str) -> DataFrame:
     """Random-forest importances (x100) averaged over folds, top 10."""
     rows: list = []
-    EV.oof_predict(_features(spark, d), EV.model("rf", FEATURES, id_col="doc_id", importances=rows),
-                   id_col="doc_id", label="y")
+    GR.forest_grid(_features(spark, d), GR.chosen_grids(["rf"])["rf"], features=FEATURES, id_col="doc_id", importances=rows)
     return EV.mean_importances(rows, spark, n_folds=C.N_FOLDS, top=10)
 
 

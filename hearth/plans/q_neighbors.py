@@ -54,6 +54,70 @@ def knn_impute(spark: SparkSession, d: str) -> DataFrame:
     return filled.select(lng("p_partkey").alias("p_partkey"), dbl("p_size", 6).alias("p_size"))
 
 
+PRICE_MAX = 1500  # prices above are nulled and re-imputed as well
+_SPARSE = {"p_size": "y", "p_retailprice": "price"}
+
+
+def _sql_lane(name: str, col: str) -> str:
+    return f"""
+ {name}_pairs AS (SELECT q.p_partkey qid, d.{col} AS y, d.p_partkey did,
+                  sqrt((q.f1 - d.f1) * (q.f1 - d.f1) + (q.f2 - d.f2) * (q.f2 - d.f2)) AS dist
+           FROM w q JOIN w d ON q.{col} IS NULL AND d.{col} IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY q.p_partkey ORDER BY dist, d.p_partkey) <= 3),
+ {name}_imp AS (SELECT qid, coalesce(avg(CASE WHEN dist = 0 THEN y END),
+                              sum(CASE WHEN dist <> 0 THEN y / dist END) / sum(CASE WHEN dist <> 0 THEN 1.0 / dist END)) v
+         FROM {name}_pairs GROUP BY qid)"""
+
+
+@query("knn_impute_columns", sql=f"""
+WITH {SQL_PART},
+ w AS (SELECT p_partkey, f1, f2, y, CASE WHEN f0 <= {PRICE_MAX} THEN f0 END AS price FROM x),
+ {",".join(_sql_lane(n, c) for n, c in _SPARSE.items())}
+SELECT CAST(w.p_partkey AS BIGINT) AS p_partkey, ROUND(coalesce(CAST(y AS DOUBLE), s.v), 6) AS p_size,
+       ROUND(coalesce(price, r.v), 6) AS p_retailprice
+FROM w LEFT JOIN p_size_imp s ON w.p_partkey = s.qid LEFT JOIN p_retailprice_imp r ON w.p_partkey = r.qid
+""")
+def knn_impute_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Two sparse columns filled by one search over brand and type."""
+    x = part_features(spark, d).select("p_partkey", "f1", "f2", "p_size",
+                                       F.when(F.col("f0") <= PRICE_MAX, F.col("f0")).alias("p_retailprice"))
+    filled = NB.knn_impute(x, id_col="p_partkey", fill_cols=list(_SPARSE), feature_cols=["f1", "f2"], k=3)
+    return filled.select(lng("p_partkey").alias("p_partkey"), *[dbl(c, 6).alias(c) for c in _SPARSE])
+
+
+def _part_searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The parts without a plausible size, and those with one."""
+    x = cut_lineage(part_features(spark, d).select("p_partkey", NB.as_vector(["f0", "f1", "f2"]).alias("v"), "p_size"), "parts")
+    return x.where(F.col("p_size").isNull()), x.where(F.col("p_size").isNotNull()).withColumnRenamed("p_partkey", "near")
+
+
+@query("knn_join", sql=f"""
+WITH {SQL_PART}
+SELECT CAST(q.p_partkey AS BIGINT) AS p_partkey, CAST(d.p_partkey AS BIGINT) AS near,
+       CAST(row_number() OVER (PARTITION BY q.p_partkey ORDER BY round(sqrt((q.f0 - d.f0) * (q.f0 - d.f0) + (q.f1 - d.f1) * (q.f1 - d.f1) + (q.f2 - d.f2) * (q.f2 - d.f2)), 9), d.p_partkey) AS INTEGER) AS rank,
+       ROUND(sqrt((q.f0 - d.f0) * (q.f0 - d.f0) + (q.f1 - d.f1) * (q.f1 - d.f1) + (q.f2 - d.f2) * (q.f2 - d.f2)), 6) AS dist
+FROM x q JOIN x d ON q.y IS NULL AND d.y IS NOT NULL
+QUALIFY rank <= 10
+""")
+def knn_join(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest known parts of each unknown one, by pruned cells."""
+    q, known = _part_searches(spark, d)
+    nn = NB.nearest_neighbours(q, known, k=10, q_id="p_partkey", q_vec="v", d_id="near", d_vec="v", rank_digits=9)
+    return nn.select("p_partkey", "near", "rank", dbl("dist", 6).alias("dist"))
+
+
+@query("knn_lsh")
+def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest known parts by buckets of random projections, and
+    whether each is one of the exact ten (the recall of the choice)."""
+    q, known = _part_searches(spark, d)
+    names = {"k": 10, "q_id": "p_partkey", "q_vec": "v", "d_id": "near", "d_vec": "v", "rank_digits": 9}
+    near = NB.nearest_neighbours(q, known, **names, method="lsh")
+    exact = NB.nearest_neighbours(q, known, **names).select("p_partkey", "near", F.lit(True).alias("exact"))
+    return near.join(exact, ["p_partkey", "near"], "left").select(
+        "p_partkey", "near", "rank", dbl("dist", 6).alias("dist"), F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 def embedding_folds(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v"),

@@ -52,6 +52,105 @@ def test_ward_matches_greedy(spark):
         assert sorted(sorted(g) for g in groups.values()) == _greedy_ward(x, t)
 
 
+def _merges(x, w):
+    """Every merge of greedy Ward: heights, and the members of both sides."""
+    c = {i: (x[i].copy(), w[i], frozenset([i])) for i in range(len(x))}
+    out = []
+    ids = sorted(c)
+    while len(ids) > 1:
+        v, m = np.array([c[i][0] for i in ids]), np.array([c[i][1] for i in ids])
+        h = np.sqrt(2 * m[:, None] * m / (m[:, None] + m) * ((v[:, None] - v) ** 2).sum(axis=2))
+        h[np.tril_indices(len(ids))] = np.inf
+        a, b = np.unravel_index(h.argmin(), h.shape)
+        (vu, wu, mu), (vv, wv, mv) = c.pop(ids[a]), c.pop(ids[b])
+        out.append((h[a, b], min(mu), min(mv), wu + wv))
+        c[min(mu | mv)] = ((vu * wu + vv * wv) / (wu + wv), wu + wv, mu | mv)
+        ids = sorted(c)
+    return out
+
+
+def _centres(spark, x, w=None):
+    w = np.ones(len(x)) if w is None else w
+    return spark.createDataFrame([(i, [float(v) for v in p], float(m)) for i, (p, m) in enumerate(zip(x, w))],
+                                 "micro_id long, centre array<double>, w double")
+
+
+def test_linkage_of_300_points_is_the_greedy_one(spark):
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(size=(300, 5)), rng.integers(1, 9, 300).astype(float)
+    for weights, name in ((np.ones(300), None), (w, "w")):
+        link = CL.ward_linkage(_centres(spark, x, w), weight=name).collect()
+        want = sorted(_merges(x, weights))
+        got = sorted((r.height, min(r.left, r.right), max(r.left, r.right), r["size"]) for r in link)
+        assert len(got) == 299
+        for g, h in zip(got, want):
+            assert abs(g[0] - h[0]) < 1e-9 and g[1:3] == (min(h[1:3]), max(h[1:3])) and g[3] == h[3]
+
+
+def test_one_linkage_is_cut_at_any_height(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    centres = _centres(spark, x)
+    link = CL.ward_linkage(centres)
+    heights = [0.0, 0.9, 1.7, 3.0, 100.0]
+    got = {h: {} for h in heights}
+    for r in CL.cut_linkage(centres, link, heights).collect():
+        got[r.height].setdefault(r.cluster, []).append(r.micro_id)
+    for h in heights:
+        groups = sorted(sorted(g) for g in got[h].values())
+        assert groups == _greedy_ward(x, h)
+        assert all(c == min(g) for c, g in got[h].items())
+
+
+def test_ward_edges(spark):
+    assert CL.ward_linkage(_centres(spark, np.zeros((0, 2)))).collect() == []
+    member, link = CL.ward_cut(_centres(spark, np.zeros((1, 2))))
+    assert [tuple(r) for r in member.collect()] == [(0, 0)] and link.count() == 0
+    # equal points and equal distances
+    member, link = CL.ward_cut(_centres(spark, np.array([[0.0], [0.0], [0.0], [1.0], [2.0], [3.0]])))
+    assert {r.cluster for r in member.collect()} == {0} and link.count() == 5
+
+
+def _lloyd(x, c, steps):
+    for _ in range(steps):
+        at = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        c = np.array([x[at == k].mean(axis=0) if (at == k).any() else c[k] for k in range(len(c))])
+    return c, ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+
+
+def test_lloyd_against_numpy_and_bounds_skip(spark):
+    rng = np.random.default_rng(12)
+    means = rng.normal(size=(8, 4)) * 3
+    x = means[rng.integers(0, 8, 1500)] + rng.normal(size=(1500, 4))
+    start = np.concatenate((x[:7], [[500.0] * 4]))  # the last one stays empty
+    pts = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, v array<double>").repartition(4)
+    init = spark.createDataFrame([(10 + i, [float(v) for v in p]) for i, p in enumerate(start)], "cluster long, centre array<double>")
+    for steps in (1, 2, 6):
+        assign, final = CL.refine_kmeans(pts, init, id_col="id", vec="v", steps=steps)
+        want, at = _lloyd(x, start, steps)
+        got = np.array([r.centre for r in sorted(final.collect(), key=lambda r: r.cluster)])
+        assert np.allclose(got, want, atol=1e-9)
+        assert [r.cluster - 10 for r in sorted(assign.collect(), key=lambda r: r.id)] == at.tolist()
+    computed = []
+    assign, final = CL.refine_kmeans(pts, init, id_col="id", vec="v", tol=0.0, report=computed)
+    c = np.array([r.centre for r in sorted(final.collect(), key=lambda r: r.cluster)])
+    assert np.allclose(_lloyd(x, c, 1)[0], c)
+    assert min(computed) < 0.2 * len(x)
+
+
+def test_pca_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    value, vector = value[::-1], vector[:, ::-1]
+    ratio = [r.ratio for r in SC.pca_variance(df, vec="v", dim=5).orderBy("component").collect()]
+    assert np.allclose(ratio, value / value.sum())
+    scores = np.array([r.pcs for r in SC.pca_project(df, k=3, vec="v", keep=["id"]).orderBy("id").collect()])
+    want = (x - x.mean(axis=0)) @ vector[:, :3]
+    assert np.allclose(scores * np.sign((scores * want).sum(axis=0)), want)
+
+
 def test_population_scaling(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
     st = SC.fit_scaler(df, ["x"])

@@ -1,8 +1,10 @@
 """Nearest neighbours: fixtures and brute force over several blocks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from hearth.operators import evaluate as EV
 from hearth.operators import neighbors as NB
 
@@ -37,7 +39,7 @@ def test_blocked_search_equals_brute_force(spark):
                               "did long, v array<double>")
     for metric, ordp in (("euclidean", 2), ("manhattan", 1)):
         nn = NB.nearest_neighbours(q, d, k=4, q_id="qid", q_vec="v", d_id="did", d_vec="v",
-                                   metric=metric, block_rows=50)
+                                   metric=metric, cell_rows=20)
         got = {}
         for r in nn.collect():
             got.setdefault(r.qid, []).append((r.rank, r.did))
@@ -47,6 +49,113 @@ def test_blocked_search_equals_brute_force(spark):
             assert [did for _, did in sorted(got[i])] == [1000 + j for j in order]
 
 
+def _brute(q, d, k, ordp, digits=None, allowed=None):
+    out = {}
+    for i, x in enumerate(q):
+        dist = np.linalg.norm(d - x, ord=ordp, axis=1)
+        key = np.round(dist, digits) if digits is not None else dist
+        order = sorted((j for j in range(len(d)) if allowed is None or allowed(i, j)), key=lambda j: (key[j], j))
+        out[i] = order[:k]
+    return out
+
+
+def _points(spark, x, name, extra=None):
+    rows = [(i, [float(v) for v in p], *(() if extra is None else (int(extra[i]),))) for i, p in enumerate(x)]
+    return spark.createDataFrame(rows, f"{name} long, v array<double>" + (", g int" if extra is not None else ""))
+
+
+def _found(nn):
+    out = {}
+    for r in sorted(nn.collect(), key=lambda r: (r.q, r["rank"])):
+        out.setdefault(r.q, []).append(r.d)
+        assert r["rank"] == len(out[r.q])
+    return out
+
+
+@pytest.mark.parametrize("metric,ordp", [("euclidean", 2), ("manhattan", 1), ("minkowski", 3)])
+def test_pruned_cells_are_exact(spark, metric, ordp, monkeypatch):
+    monkeypatch.setattr(NB, "TASK_ROWS", 40)  # large cells are cut on both sides
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 3)) * 20
+    d = np.concatenate((centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 3)), np.repeat(centres[:1], 150, axis=0)))
+    q = np.concatenate((d[::9], centres[:1].repeat(60, axis=0), rng.normal(size=(20, 3)) * 30))
+    nn = NB.nearest_neighbours(_points(spark, q, "q"), _points(spark, d, "d"), k=7, q_id="q", q_vec="v", d_id="d",
+                               d_vec="v", metric=metric, p=ordp, rank_digits=9, cell_rows=25)
+    assert _found(nn) == _brute(q, d, 7, ordp, 9)
+
+
+def test_other_groups_and_self_over_cells(spark):
+    rng = np.random.default_rng(5)
+    x, g = rng.normal(size=(400, 4)), rng.integers(0, 4, 400)
+    df = _points(spark, x, "q", g)
+    nn = NB.nearest_neighbours(df, df.withColumnRenamed("q", "d"), k=5, q_id="q", q_vec="v", d_id="d", d_vec="v",
+                               other_group="g", rank_digits=9, cell_rows=30)
+    assert _found(nn) == _brute(x, x, 5, 2, 9, lambda i, j: g[i] != g[j])
+    nn = NB.nearest_neighbours(df, df.withColumnRenamed("q", "d"), k=5, q_id="q", q_vec="v", d_id="d", d_vec="v",
+                               exclude_self=True, rank_digits=9, cell_rows=30)
+    assert _found(nn) == _brute(x, x, 5, 2, 9, lambda i, j: i != j)
+
+
+def test_fewer_donors_than_k_and_none(spark):
+    q = _points(spark, np.zeros((3, 2)), "q")
+    d = _points(spark, np.eye(2), "d")
+    names = {"k": 5, "q_id": "q", "q_vec": "v", "d_id": "d", "d_vec": "v"}
+    for method in ("cells", "lsh"):
+        assert _found(NB.nearest_neighbours(q, d, **names, cell_rows=1, method=method)) == {i: [0, 1] for i in range(3)}
+        assert NB.nearest_neighbours(q, d.limit(0), **names, method=method).collect() == []
+
+
+def test_shuffled_rows_grow_slower_than_pairs(spark):
+    """Ten times the parts: the rows that move stay below N ** 1.5."""
+    moved = []
+    for sf in ("sf0.01", "sf0.1"):
+        part = spark.read.parquet(f"/root/testdata/{sf}/part.parquet")
+        x = part.select("p_partkey", NB.as_vector(["p_retailprice", F.length("p_type"), F.length("p_brand")]).alias("v"), "p_size")
+        report = []
+        NB.nearest_neighbours(x.where("p_size > 45"), x.where("p_size <= 45").withColumnRenamed("p_partkey", "near"), k=3,
+                              q_id="p_partkey", q_vec="v", d_id="near", d_vec="v", report=report).count()
+        moved.append(sum(report) + 2 * x.count())
+    assert moved[1] < moved[0] * 10 ** 1.5
+
+
+def test_lsh_recall(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 8)) * 6
+    d = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 8))
+    q = centres[rng.integers(0, 60, 150)] + rng.normal(size=(150, 8))
+    for metric, ordp in (("euclidean", 2), ("manhattan", 1)):
+        got = _found(NB.nearest_neighbours(_points(spark, q, "q"), _points(spark, d, "d"), k=5, q_id="q", q_vec="v",
+                                           d_id="d", d_vec="v", metric=metric, method="lsh"))
+        want = _brute(q, d, 5, ordp)
+        assert all(len(got[i]) == 5 for i in want)
+        assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in want]) >= 0.9
+
+
+def test_lsh_query_recall(spark):
+    rows = E.queries()["knn_lsh"](spark, "/root/testdata/sf0.01").collect()
+    asked = {r.p_partkey for r in rows}
+    assert len(rows) == 10 * len(asked) and sum(r.exact for r in rows) >= 0.9 * len(rows)
+
+
+def test_columns_filled_by_one_search_as_by_ten(spark, capsys):
+    rng = np.random.default_rng(9)
+    n, cols = 500, [f"t{i}" for i in range(10)]
+    f = rng.integers(0, 30, size=(n, 2)).astype(float)
+    t = rng.normal(size=(n, 10))
+    gone = rng.random((n, 10)) < np.linspace(0.02, 0.9, 10)
+    rows = [(i, *map(float, f[i]), *(None if gone[i, j] else float(t[i, j]) for j in range(10))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, " + ", ".join(f"{c} double" for c in cols))
+    one = NB.knn_impute(df, id_col="id", fill_cols=cols, feature_cols=["a", "b"], cell_rows=40)
+    capsys.readouterr()
+    one.explain()
+    assert capsys.readouterr().out.count("FlatMapCoGroupsInPandas") == 1  # the first visits are written
+    got = {r.id: r for r in one.collect()}
+    for c in cols:
+        alone = NB.knn_impute(df.select("id", "a", "b", c), id_col="id", fill_cols=[c], feature_cols=["a", "b"],
+                              cell_rows=10 ** 6)
+        assert all(abs(got[r.id][c] - r[c]) < 1e-9 for r in alone.collect())
+
+
 def test_impute_fills_only_missing(spark):
     df = spark.createDataFrame([(1, 0.0, None), (2, 1.0, 10.0), (3, 2.0, 20.0), (4, 4.0, 40.0),
                                 (5, 9.0, 90.0)], "id long, f double, t double")

@@ -33,8 +33,13 @@ def _norm(rows, cols):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_sql(spark, con, name):
+def test_query_matches_sql(spark, con, capsys, name):
+    """Same rows as the SQL, by a plan without cartesian or nested-loop joins."""
     df = E.queries()[name](spark, SF)
+    capsys.readouterr()
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     srows = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])
     dcols = [c[0] for c in cur.description]

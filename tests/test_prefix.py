@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearth.operators import evaluate as EV
 from hearth.operators import threshold as T
-from hearth.operators.prefix import dense_codes, running_sum
+from hearth.operators.prefix import bucket_bounds, bucket_of, dense_codes, running_sum
 
 N = 400_000
 
@@ -87,6 +87,16 @@ def test_one_exchange_of_the_rows(spark, rows, capsys):
     assert len(moved) <= 3 and "rangepartitioning" not in plan
 
 
+@pytest.mark.parametrize("buckets", [2, 3, 8, 31, 200, 999])
+def test_bounds_are_found_by_halving(spark, buckets):
+    df = spark.range(2000).select((F.pmod(F.xxhash64("id"), F.lit(500)) - 9).alias("a"),
+                                  F.when(F.col("id") % 7 > 0, F.pmod(F.hash("id"), F.lit(9)).cast("string")).alias("b"))
+    bounds = bucket_bounds(df, ["a", "b"], buckets)
+    got = df.select("a", "b", bucket_of(df, ["a", "b"], bounds).alias("n")).collect()
+    low = lambda t: (t[0], t[1] is not None, t[1] or "")
+    assert all(r.n == sum(low(b) <= low((r.a, r.b)) for b in bounds) for r in got)
+
+
 def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", None), (None, 4)], "g string, x int")
     got = running_sum(df, order_by=["x"], sums=["x"], partition_by=["g"]).collect()
