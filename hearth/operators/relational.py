@@ -101,10 +101,29 @@ def min_ids_in(df: DataFrame, *, key: str, id_col: str, use_max: bool = False) -
 
 # --- A5 J5 P4 P5 ---------------------------------------------------------------
 
-def exclude_like(df: DataFrame, col: str, pattern: str, *, ignore_case: bool = False) -> DataFrame:
+def exclude_like(df: DataFrame, col: str, pattern: str, *, ignore_case: bool = False,
+                 collation: str | None = None) -> DataFrame:
     """``col NOT LIKE pattern``; NULL values are dropped like in SQL.
-    ``ignore_case`` compares as a case-insensitive collation does."""
-    like = F.col(col).ilike(pattern) if ignore_case else F.col(col).like(pattern)
+    ``ignore_case`` compares as a case-insensitive collation does;
+    ``collation`` names a collation to compare by (``UNICODE_CI_AI``: neither
+    case nor accents count), for patterns whose only wildcards are a ``%`` at
+    either end."""
+    if collation is None:
+        return df.where(~(F.col(col).ilike(pattern) if ignore_case else F.col(col).like(pattern)))
+    word = pattern.strip("%")
+    if "%" in word or "_" in word or "\\" in word:
+        raise ValueError(f"a collated pattern may hold % at its ends only: {pattern}")
+    text, head, tail = F.collate(F.col(col), collation), pattern.startswith("%"), pattern.endswith("%")
+    if not word and pattern:
+        like = text == text
+    elif head and tail:
+        like = F.contains(text, F.lit(word))
+    elif head:
+        like = F.endswith(text, F.lit(word))
+    elif tail:
+        like = F.startswith(text, F.lit(word))
+    else:
+        like = text == F.lit(word)
     return df.where(~like)
 
 

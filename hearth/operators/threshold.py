@@ -149,6 +149,46 @@ def apply_thresholds(df: DataFrame, fitted: DataFrame, *, score: str, group_by:
         "__t", *[f"__g_{c}" for c in group_by])
 
 
+def fit_threshold_held_out(df: DataFrame, *, score: str, label: str, fold: str, n_folds: int, above=C.CLASS_ABOVE,
+                           below=C.CLASS_BELOW, group_by: Sequence[str] = ()) -> DataFrame:
+    """For each group and each fold the threshold fitted on the group's other
+    folds: group columns, ``fold``, ``threshold``, ``n_err`` (on those other
+    folds), by the rules of :func:`fit_threshold`.
+
+    One sweep serves all folds: the running errors are kept by fold, and those
+    of all folds but one are the sum of all less that one's."""
+    groups, lab, held = list(group_by), F.col(label), range(n_folds)
+    keys = groups or ["__all"]
+    wrong = lambda c, f: F.count_if((F.col(fold) == f) & ~F.coalesce(lab == c, F.lit(False)))
+    counts = (df if groups else df.withColumn("__all", F.lit(0))).where(F.col(fold).isNotNull()).groupBy(
+        *keys, F.col(score).alias("__s")).agg(
+        *[F.count_if(F.col(fold) == f).alias(f"__n{f}") for f in held],
+        *[wrong(above, f).alias(f"__a{f}") for f in held], *[wrong(below, f).alias(f"__b{f}") for f in held])
+    counts = cut_lineage(counts, "score-counts")
+    scored = running_sum(counts.where(F.col("__s").isNotNull()), order_by=["__s"], partition_by=keys, inclusive=False,
+                         sums=[f"__{c}{f}" for c in "ab" for f in held], prefix="__lt")
+    known = F.col("__s").isNotNull()
+    at_or = lambda c, f, here: F.coalesce(F.sum(F.when(here, F.col(f"__{c}{f}"))), F.lit(0))
+    totals = counts.groupBy(*keys).agg(
+        *[at_or("a", f, known).alias(f"__ta{f}") for f in held], *[at_or("b", f, known).alias(f"__tb{f}") for f in held],
+        *[at_or("b", f, ~known).alias(f"__null{f}") for f in held])
+    own = totals.select(*[F.col(k).alias(f"__t_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
+    joined = scored.join(own, [F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in keys])
+
+    def but(column, f):
+        """The sum over all folds but ``f``."""
+        return sum(column(j) for j in held) - column(f)
+    error = lambda j: F.col(f"__ta{j}") - F.col(f"__lt__a{j}") + F.col(f"__lt__b{j}") + F.col(f"__null{j}")
+    none = lambda j: F.col(f"__tb{j}") + F.col(f"__null{j}")
+    choice = lambda f, e, last, t: F.struct(F.lit(f).alias("f"), e.cast("long").alias("e"), F.lit(last).alias("last"),
+                                            t.cast(counts.schema["__s"].dataType).alias("t"))
+    of = [F.when(but(lambda j: F.col(f"__n{j}"), f) > 0, choice(f, but(error, f), 0, F.col("__s"))) for f in held]
+    every = joined.select(*keys, F.explode(F.array(*of)).alias("c")).where(F.col("c").isNotNull()).unionByName(
+        totals.select(*keys, F.explode(F.array(*[choice(f, but(none, f), 1, F.lit(None)) for f in held])).alias("c")))
+    best = every.groupBy(*keys, F.col("c.f").alias(fold)).agg(F.min(F.struct("c.e", "c.last", "c.t")).alias("b"))
+    return best.select(*groups, fold, F.col("b.t").alias("threshold"), F.col("b.e").alias("n_err"))
+
+
 # --- V9 V10 ---------------------------------------------------------------------------------
 
 def _score_counts(df: DataFrame, score: str, label: str, positive, group_by: Sequence[str] = ()) -> DataFrame:

@@ -122,10 +122,12 @@ def clean_dataset(extract: DataFrame, cfg: CleanConfig | None = None
 
 # --- B -----------------------------------------------------------------------------------------
 
-def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR
+def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR, out_of_fold: bool = False
                      ) -> dict[str, DataFrame]:
     """Two-class rule on ``rav``: global fit, its accuracy and cross table;
-    per-adviser fits after merging small advisers, and their accuracy."""
+    per-adviser fits after merging small advisers, and their accuracy (on the
+    rows they were fitted on, as in the source; ``out_of_fold`` adds the
+    accuracy under thresholds fitted on the other folds)."""
     x = clean.withColumn("orientation", F.when(F.col("orientation") == C.CLASS_MIDDLE,
                                                F.lit(C.CLASS_ABOVE))
                          .otherwise(F.col("orientation")))
@@ -134,7 +136,14 @@ def threshold_report(clean: DataFrame, *, adviser_floor: int = C.ADVISER_FLOOR
     merged = R.merge_rare(x, "id_user", floor=adviser_floor, merged_value=C.MERGED_ADVISER)
     fits = T.fit_threshold(merged, score="rav", label="orientation", group_by=["id_user"])
     per = T.apply_thresholds(merged, fits, score="rav", group_by=["id_user"])
-    return {"fit": fit, "accuracy": T.accuracy(pred, "pred", "orientation"),
+    more = {}
+    if out_of_fold:
+        folds = cut_lineage(EV.stratified_folds(merged, id_col="id", label="orientation"), "adviser-folds")
+        held = T.fit_threshold_held_out(folds, score="rav", label="orientation", fold="fold", n_folds=C.N_FOLDS,
+                                        group_by=["id_user"])
+        scored = T.apply_thresholds(folds, held, score="rav", group_by=["id_user", "fold"])
+        more = {"accuracy_by_adviser_out_of_fold": T.accuracy(scored, "pred", "orientation")}
+    return {**more, "fit": fit, "accuracy": T.accuracy(pred, "pred", "orientation"),
             "crosstab": T.crosstab_long(pred, "pred", "orientation"),
             "fits_by_adviser": fits, "accuracy_by_adviser": T.accuracy(per, "pred", "orientation")}
 

@@ -19,7 +19,7 @@ from hearth.session import cut_lineage
 DIM = 64
 MICRO_K = 50          # micro-clusters on the driver tables (1000 in the source's setting)
 WARD_HEIGHT, WARD_LOOKED_AT = 9.0, 12.0  # cut heights for standardised 64-d embeddings
-SEGMENT_HEIGHT, SEGMENT_FLOOR = 12.0, 3  # cut and least micro-centres of a segment
+SEGMENT_HEIGHT, SEGMENT_FLOOR = 9.0, 3  # cut and least micro-centres of a segment
 
 
 def scaled_embeddings(spark: SparkSession, d: str):

@@ -182,14 +182,6 @@ def best_params(spark: SparkSession, d: str) -> DataFrame:
     return EV.best_candidate(GR.grid_results(_grid_scores(spark, d)), "auc")
 
 
-@query("best_confusion")
-def best_confusion(spark: SparkSession, d: str) -> DataFrame:
-    """Real x predicted of the best candidate."""
-    scores = _grid_scores(spark, d)
-    name = EV.best_candidate(GR.grid_results(scores), "auc").first()["candidate"]
-    return EV.confusion(scores.where(F.col("candidate") == name), threshold=EV.score_cut(name))
-
-
 @query("chosen_metrics")
 def chosen_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Pooled accuracy on both sides and exact AUC of the parameters that the

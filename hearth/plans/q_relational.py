@@ -323,3 +323,14 @@ def merge_rare(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("event_id", "user_id")
     x = R.merge_rare(ev, "user_id", floor=60, merged_value=-1)
     return x.select(lng("event_id").alias("event_id"), lng("user_id").alias("user_id"))
+
+
+@query("exclude_collated", sql="""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus FROM orders
+WHERE NOT lower(strip_accents(o_orderstatus)) = 'p' AND NOT lower(strip_accents(o_orderpriority)) LIKE '1-urg%'
+""")
+def exclude_collated(spark: SparkSession, d: str) -> DataFrame:
+    """NOT LIKE under a collation in which neither case nor accents count."""
+    o = R.exclude_like(table(spark, d, "orders"), "o_orderstatus", "\u1e57", collation="UNICODE_CI_AI")
+    o = R.exclude_like(o, "o_orderpriority", "1-\u00dcrg%", collation="UNICODE_CI_AI")
+    return o.select(lng("o_orderkey").alias("o_orderkey"), "o_orderstatus")

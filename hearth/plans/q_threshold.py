@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearth.operators import evaluate as EV
 from hearth.operators import relational as R
 from hearth.operators import threshold as T
 from hearth.plans.registry import query
 from hearth.plans.tables import lng, table
+from hearth.session import cut_lineage
 
 BAND = (1 / 23, 1 / 17)
 SOURCE_FLOOR = 20
@@ -194,3 +196,44 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+
+
+HELD_OUT_FOLDS = 5
+
+
+@query("threshold_held_out", sql=f"""
+WITH {SQL_D},
+ f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(CAST(doc_id AS VARCHAR) || ':1'), doc_id) - 1) % {HELD_OUT_FOLDS} AS fold FROM d),
+ k AS (SELECT DISTINCT a.lang, b.fold FROM f a, (SELECT DISTINCT fold FROM f) b),
+ t AS (SELECT DISTINCT k.lang, k.fold, f.s AS t FROM k JOIN f ON f.lang = k.lang AND f.fold <> k.fold),
+ c AS (SELECT t.lang, t.fold, t.t, 0 AS last, COUNT(*) FILTER (WHERE (CASE WHEN f.s >= t.t THEN 2 ELSE 4 END) <> f.y) AS e
+       FROM t JOIN f ON f.lang = t.lang AND f.fold <> t.fold GROUP BY ALL
+       UNION ALL SELECT k.lang, k.fold, NULL, 1, COUNT(*) FILTER (WHERE f.y <> 4 AND f.fold <> k.fold)
+       FROM k JOIN f ON f.lang = k.lang GROUP BY ALL)
+SELECT lang, CAST(fold AS INTEGER) AS fold, t AS threshold, e AS n_err FROM c
+QUALIFY row_number() OVER (PARTITION BY lang, fold ORDER BY e, last, t) = 1
+""")
+def threshold_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Per language and fold, the threshold fitted on the other folds."""
+    x = EV.stratified_folds(doc_scores(spark, d), id_col="doc_id", label="y", n_folds=HELD_OUT_FOLDS, seed=1)
+    return T.fit_threshold_held_out(x, score="s", label="y", fold="fold", n_folds=HELD_OUT_FOLDS, group_by=["lang"])
+
+
+@query("threshold_held_out_accuracy", sql=f"""
+WITH {SQL_D},
+ f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(CAST(doc_id AS VARCHAR) || ':1'), doc_id) - 1) % {HELD_OUT_FOLDS} AS fold FROM d),
+ k AS (SELECT DISTINCT a.lang, b.fold FROM f a, (SELECT DISTINCT fold FROM f) b),
+ t AS (SELECT DISTINCT k.lang, k.fold, f.s AS t FROM k JOIN f ON f.lang = k.lang AND f.fold <> k.fold),
+ c AS (SELECT t.lang, t.fold, t.t, 0 AS last, COUNT(*) FILTER (WHERE (CASE WHEN f.s >= t.t THEN 2 ELSE 4 END) <> f.y) AS e
+       FROM t JOIN f ON f.lang = t.lang AND f.fold <> t.fold GROUP BY ALL
+       UNION ALL SELECT k.lang, k.fold, NULL, 1, COUNT(*) FILTER (WHERE f.y <> 4 AND f.fold <> k.fold)
+       FROM k JOIN f ON f.lang = k.lang GROUP BY ALL),
+ fit AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, fold ORDER BY e, last, t) = 1)
+SELECT AVG(CAST((CASE WHEN f.s >= fit.t THEN 2 ELSE 4 END) = f.y AS INTEGER)) AS accuracy, COUNT(*) AS n
+FROM f JOIN fit ON f.lang = fit.lang AND f.fold = fit.fold
+""")
+def threshold_held_out_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of every row under the threshold that its fold did not help to fit."""
+    x = cut_lineage(EV.stratified_folds(doc_scores(spark, d), id_col="doc_id", label="y", n_folds=HELD_OUT_FOLDS, seed=1), "folds")
+    fits = T.fit_threshold_held_out(x, score="s", label="y", fold="fold", n_folds=HELD_OUT_FOLDS, group_by=["lang"])
+    return T.accuracy(T.apply_thresholds(x, fits, score="s", group_by=["lang", "fold"]), "pred", "y")

@@ -59,6 +59,10 @@ def write_dump_tsv(df: DataFrame, path: str) -> None:
     format). Empty strings, padding and control characters stay as they are."""
     out = df.withColumns({f.name: _escape_text(F.col(f.name)) for f in df.schema.fields
                           if isinstance(f.dataType, StringType)})
+    if len(out.columns) == 1:
+        # the writer leaves out empty lines; an escape of nothing is the empty string
+        name = out.columns[0]
+        out = out.withColumn(name, F.when(F.col(name) == "", F.lit("\\")).otherwise(F.col(name)))
     out.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NULL", emptyValue="",
                                     quote="", escapeQuotes=False, lineSep="\n",
                                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
@@ -69,12 +73,16 @@ def read_dump_tsv(spark: SparkSession, path: str, schema: StructType | str) -> D
     stray ``"`` must not swallow the rest of the line), escapes undone in one
     pass. The format has no quoting, so a line is split at its tabs: an empty
     field is an empty string. A line with another number of fields, or a
-    number that does not parse, raises. Lines equal to the header are the
-    files' headers."""
+    number that does not parse, raises. Of the lines of a file that equal the
+    header one is its header; others are rows."""
     if isinstance(schema, str):
         schema = spark.createDataFrame([], schema).schema
     names, fields = [f.name for f in schema.fields], F.split("value", "\t", -1)
-    lines = spark.read.text(path, lineSep="\n").where(F.col("value") != "\t".join(names))
+    header, lines = F.lit("\t".join(names)), spark.read.text(path, lineSep="\n")
+    again = (lines.where(F.col("value") == header).groupBy(F.col("_metadata.file_path").alias("file"))
+             .agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+             .select("value", F.explode(F.sequence(F.lit(2), "n"))).select("value"))
+    lines = lines.where(F.col("value") != header).select("value").unionByName(again)
     checked = F.when(F.size(fields) == len(names), fields).otherwise(
         F.raise_error(F.concat(F.lit(f"not {len(names)} fields: "), F.col("value"))))
 
@@ -118,8 +126,12 @@ def read_flat_csv(spark: SparkSession, path: str, schema: StructType | str,
 
 
 def write_flat_csv(df: DataFrame, path: str, encoding: str = "windows-1252") -> None:
+    """Raises on characters that the encoding lacks (the writer alone would
+    put question marks)."""
     _java_charsets(df.sparkSession)
-    df.write.mode("overwrite").csv(path, sep=",", header=True, escape="\\", encoding=encoding,
+    whole = df.withColumns({f.name: F.decode(F.encode(F.col(f.name), encoding), encoding) for f in df.schema.fields
+                            if isinstance(f.dataType, StringType)})
+    whole.write.mode("overwrite").csv(path, sep=",", header=True, escape="\\", encoding=encoding,
                                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 

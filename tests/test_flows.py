@@ -72,7 +72,8 @@ def test_flows_end_to_end(spark):
     assert rows and all(r.charges > 400 and r.revenus_tot > 400 for r in rows)
     assert {"u_c", "rav", "imc"} <= set(clean.columns)
     assert mapping.where("column = 'situation'").count() >= 2
-    rep = P.threshold_report(clean, adviser_floor=5)
+    rep = P.threshold_report(clean, adviser_floor=5, out_of_fold=True)
+    assert rep["accuracy_by_adviser_out_of_fold"].first().n == len(rows)
     assert rep["fit"].count() == 1 and rep["accuracy"].first().n == len(rows)
     seg = P.segment_cases(clean, k=8, height=1e9, small_floor=1)
     assert seg["sizes"].count() >= 1 and seg["export"].count() >= 1

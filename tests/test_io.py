@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from hearth.session import shared_path
 from hearth.sources import io as IO
 
@@ -71,3 +73,20 @@ def test_extract_report(spark):
     rows, report = IO.read_extract(spark, path, df.schema)
     assert rows.count() == 4
     assert {(r.platform, r.n_rows, r.n_columns) for r in report.collect()} == {("a", 2, 2), ("b", 1, 2), (None, 4, 2)}
+
+
+def test_rows_equal_to_the_header_stay(spark, tmp_path):
+    path = str(tmp_path / "one")
+    df = spark.createDataFrame([("text",), ("other",), (None,), ("text",), ("",)], "text string")
+    IO.write_dump_tsv(df.repartition(2), path)
+    back = IO.read_dump_tsv(spark, path, "text string")
+    assert sorted(str(r.text) for r in back.collect()) == ["", "None", "other", "text", "text"]
+
+
+def test_characters_that_the_encoding_lacks_raise(spark, tmp_path):
+    good = spark.createDataFrame([(1, "café œuvre")], "id long, t string")
+    IO.write_flat_csv(good, str(tmp_path / "good"))
+    assert IO.read_flat_csv(spark, str(tmp_path / "good"), "id long, t string").first().t == "café œuvre"
+    bad = spark.createDataFrame([(1, "日本 ł")], "id long, t string")
+    with pytest.raises(Exception, match="windows-1252"):
+        IO.write_flat_csv(bad, str(tmp_path / "bad"))

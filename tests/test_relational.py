@@ -119,3 +119,14 @@ def test_value_counts_skip_null(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "g string")
     assert {r.g: r.n for r in R.value_counts(df, "g").collect()} == {"a": 2}
     _ = F
+
+
+def test_exclude_like_by_collation(spark):
+    df = spark.createDataFrame([("Impaye",), ("IMPAYÉ",), ("impayés",), ("Réel",), (None,)], "typ string")
+    left = lambda p, **kw: sorted(r.typ for r in R.exclude_like(df, "typ", p, **kw).collect())
+    ci_ai = {"collation": "UNICODE_CI_AI"}
+    assert left("Impaye", **ci_ai) == ["Réel", "impayés"] and left("impaye%", **ci_ai) == ["Réel"]
+    assert left("%PAYÉ%", **ci_ai) == ["Réel"] and left("%el", **ci_ai) == ["IMPAYÉ", "Impaye", "impayés"]
+    assert left("%", **ci_ai) == [] and left("Impaye") == ["IMPAYÉ", "Réel", "impayés"]
+    with pytest.raises(ValueError):
+        R.exclude_like(df, "typ", "Imp_ye", **ci_ai)

@@ -82,3 +82,19 @@ def test_roc_single_class_gives_null_rates(spark):
     r = T.roc_curve(df, score="s", label="y").collect()
     assert all(x.fpr is None for x in r) and max(x.tpr for x in r) == 1.0
     assert T.roc_auc(df, score="s", label="y").first().auc is None
+
+
+def test_thresholds_of_the_other_folds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if rng.random() < 0.1 else float(rng.integers(0, 12)), int(rng.choice([2, 4, 3])), ["a", "b", None][i % 3],
+             int(rng.integers(0, 4))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, s double, y int, g string, fold int")
+    for by in (["g"], []):
+        fits = {(r.g if by else 0, r.fold): r for r in T.fit_threshold_held_out(
+            df, score="s", label="y", fold="fold", n_folds=4, group_by=by).collect()}
+        assert len(fits) == 4 * (3 if by else 1)
+        for (g, f), r in fits.items():
+            train = [x for x in rows if x[4] != f and (not by or x[3] == g)]
+            errors = lambda t: sum((2 if x[1] is not None and t is not None and x[1] >= t else 4) != x[2] for x in train)
+            best = min([(errors(t), 0, t) for t in {x[1] for x in train if x[1] is not None}] + [(errors(None), 1, 0)])
+            assert (r.n_err, r.threshold) == (best[0], None if best[1] else best[2])
