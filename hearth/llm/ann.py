@@ -20,6 +20,7 @@ from hearth.plans.tables import table
 
 K, FACTOR = 20, 1.0
 ROWS_PER_SHARD, QUERIES_PER_BLOCK, LEAF = 8192, 32_768, 256
+CELLS_AT_ONCE = 1 << 21  # queries x vectors kept for each
 
 
 class VantageTree:
@@ -120,27 +121,40 @@ def _search_shard(k: int, factor: float):
             first = np.searchsorted(place, np.arange(len(x)))
             held = np.minimum(np.diff(np.append(first, len(ids))), k + 1)
             q, qid = np.stack(of_q["query"]).astype(np.float64), of_q["query_id"].to_numpy()
-            some = min(len(x), k + 9)  # its own vector, and room for sums that differ in the last digit
-            at, seen = VantageTree(x).search(q, some, factor)
-            for a in range(0, len(q), 1024):
-                part = at[a:a + 1024]
-                n, found = part.shape[0], part.ravel()
-                row = np.repeat(np.arange(n), some)[found >= 0]
-                found = found[found >= 0]
-                score = (q[a:a + 1024][row] * x[found]).sum(axis=1)
-                copies = held[found]
-                row, score = np.repeat(row, copies), np.repeat(score, copies)
-                start = np.repeat(first[found], copies)
-                step = np.arange(len(start)) - np.repeat(np.cumsum(copies) - copies, copies)
-                vec = ids[start + step]
-                other = vec != qid[a:a + 1024][row]
-                row, score, vec = row[other], score[other], vec[other]
-                order = np.lexsort((vec, -score, row))
-                row, score, vec = row[order], score[order], vec[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                top = rank < k
-                out.append(pd.DataFrame({"query_id": qid[a:a + 1024][row[top]], "vec_id": vec[top],
-                                         "score": score[top], "seen": seen[a:a + 1024][row[top]]}))
+            tree, some = VantageTree(x), min(len(x), k + 9)  # its own vector, and room for ties
+            todo = np.arange(len(q))
+            while len(todo):
+                again, step = [], max(1, min(4096, CELLS_AT_ONCE // some))
+                for a in range(0, len(todo), step):
+                    mine = todo[a:a + step]
+                    part, seen = tree.search(q[mine], some, factor)
+                    found = part.ravel()
+                    row = np.repeat(np.arange(len(mine)), some)[found >= 0]
+                    found = found[found >= 0]
+                    score = (q[mine][row] * x[found]).sum(axis=1)
+                    lowest = np.full(len(mine), np.inf)
+                    np.minimum.at(lowest, row, score)
+                    copies = held[found]
+                    row, score = np.repeat(row, copies), np.repeat(score, copies)
+                    start = np.repeat(first[found], copies)
+                    place_in = np.arange(len(start)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    vec = ids[start + place_in]
+                    other = vec != qid[mine][row]
+                    row, score, vec = row[other], score[other], vec[other]
+                    order = np.lexsort((vec, -score, row))
+                    row, score, vec = row[order], score[order], vec[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    top = rank < k
+                    # where the last vector kept is as near as the k-th row, others cut off may be as well
+                    kth = np.full(len(mine), -np.inf)
+                    kth[row[rank == k - 1]] = score[rank == k - 1]
+                    wide = kth - 1e-9 * (1 + np.abs(kth))
+                    more = (some < len(x)) & np.isfinite(kth) & (lowest >= wide)
+                    again.append(mine[more])
+                    top &= ~more[row]
+                    out.append(pd.DataFrame({"query_id": qid[mine][row[top]], "vec_id": vec[top],
+                                             "score": score[top], "seen": seen[row[top]]}))
+                todo, some = np.concatenate(again), min(len(x), 2 * some)
         return pd.concat(out) if out else empty
     return run
 
@@ -154,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = F
     Vectors that are null, zero or hold null or non-finite components, and
     rows with a null vec_id, take no part on either side; a query meets only
     vectors of its own length. Rows of the query's own id are no candidates.
-    Ties go to the smaller id. Repeated rows count once. Fewer candidates than
+    Ties go to the smaller id: a query whose list might end among equally near
+    vectors is searched again for twice as many. Repeated rows count once. Fewer candidates than
     ``k`` give fewer rows; an empty table gives an empty result.
 
     A task holds one shard and one block of queries; every block visits every

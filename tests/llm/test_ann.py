@@ -67,6 +67,14 @@ def test_edges(spark):
     assert found(spark, rows[60:61], 20) == {}
 
 
+@pytest.mark.parametrize("values,dim", [((0, 1), 16), ((-1, 0, 1), 5), ((0, 0, 0, 1), 12)])
+def test_ties_of_many_unlike_vectors(spark, values, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.choice(values, (1200, dim))
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    same(found(spark, rows, 20, rows_per_shard=500), brute(rows, 20))
+
+
 def test_query_over_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
