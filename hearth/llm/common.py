@@ -34,9 +34,12 @@ def row_key(df: DataFrame) -> Column:
         if isinstance(t, T.ArrayType):
             return plain(t.elementType)
         return not isinstance(t, T.StructType) or all(plain(f.dataType) for f in t.fields)
+    def content(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        # maps and variants have no hash of their own; their JSON has
+        return c if plain(f.dataType) else F.to_json(F.struct(c), {"ignoreNullFields": "false"})
     # a null leaves xxhash64 as it is, so its place is hashed as well
-    cols = [c for f in df.schema.fields if plain(f.dataType)
-            for c in (F.col(f"`{f.name}`"), F.col(f"`{f.name}`").isNull())]
+    cols = [c for f in df.schema.fields for c in (content(f), F.col(f"`{f.name}`").isNull())]
     return F.xxhash64(*cols)
 
 
