@@ -22,7 +22,8 @@ from hearth.session import local_session  # noqa: E402
 FAST = ["extract_star", "credits_pivot", "budget_latest", "budget_latest_literal",
         "consistency_check", "fit_threshold", "fit_threshold_by_group", "roc_auc",
         "knn_impute", "knn_classify", "encode_categories", "describe_clusters"]
-SLOW = ["micro_cluster", "ward_cut", "refine_kmeans", "rf_oof", "gbt_oof", "knn_oof"]
+SLOW = ["knn_impute_columns", "knn_join", "knn_lsh", "threshold_held_out", "micro_cluster", "ward_cut", "refine_kmeans",
+        "rf_oof", "gbt_oof", "svm_oof", "knn_oof"]
 
 
 def run(spark, name, sf_dir):

@@ -126,3 +126,21 @@ def test_margins_against_the_exact_svm(spark, data, landmarks):
         assert np.abs(mine - exact).max() < (0.05 if landmarks == 180 else 0.5)
         auc = lambda s: np.mean((s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0]))
         assert abs(auc(mine) - auc(exact)) < 0.005
+
+
+def test_importances_name_the_planted_features(spark, data):
+    frame, _ = data
+    rng = np.random.default_rng(9)
+    noisy = frame.assign(c=rng.normal(size=len(frame)), d=rng.normal(size=len(frame)))
+    df = spark.createDataFrame(noisy, "id long, a double, b double, y int, fold int, c double, d double")
+    rows = []
+    G.forest_grid(df, {"numTrees": [20], "maxDepth": [5]}, features=["c", "a", "d", "b"], id_col="id", n_folds=3, importances=rows)
+    top = EV.mean_importances(rows, spark, n_folds=3, top=3).collect()
+    assert {top[0].feature, top[1].feature} == {"a", "b"} and len(top) == 3
+    assert abs(sum(v for _, _, v in rows) / 3 - 100.0) < 1e-6
+
+
+def test_best_candidate_breaks_ties_by_name(spark):
+    df = spark.createDataFrame([("b", 0.5, 0.8), ("a", 0.4, 0.8), ("c", 0.9, 0.7)], "candidate string, accuracy double, auc double")
+    assert EV.best_candidate(df, "auc").first()["candidate"] == "a"
+    assert EV.best_candidate(df, "accuracy").first()["candidate"] == "c"
