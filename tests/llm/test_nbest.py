@@ -82,11 +82,28 @@ def test_decode_gives_the_text_back(spark):
     assert all(s == sorted(s, reverse=True) for s in scores.values())
 
 
+def test_cuts_and_batches(lattice):
+    text = "naïve,日本語テキスト。word…word 😀 the-end 日本語"
+    units = lattice.text_units(text)
+    assert "".join(units) == lattice.model.normalize(text) and len(units) > 10
+    for a, b in zip(units, units[1:]):
+        assert not any(a[-1] + b[0] in p for p in lattice.pieces)
+    texts = [text, None, "", text, "the cat", "日" * 200]
+    lattice.clear()
+    together = lattice.encode_batch(texts, 4)
+    lattice.clear()
+    for t, got in zip(texts, together):
+        alone = lattice.encode(t, 4)
+        assert [(s, i.tolist()) for s, i in got] == [(s, i.tolist()) for s, i in alone]
+        assert all(lattice.decode(i) == lattice.restored(t) for _, i in got)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "  \n"), (None, "a b"), (4, "x" * 20_000), (5, "a b"), (5, "a b")]
     df = spark.createDataFrame([(i, t, 0, 1) for i, t in rows], "doc_id long, text string, rank int, score int")
     out = N.n_best(df).collect()
     assert sorted({str(r.doc_id) for r in out}) == ["1", "2", "3", "4", "5", "None"]
     assert [(r["rank"], r.score, r.n_pieces) for r in out if r.doc_id in (1, 2)] == [(1, 0.0, 0)] * 2
+    assert all(r.restored for r in out)
     assert len([r for r in out if r.doc_id == 5]) == 2 * len([r for r in out if r.doc_id is None]) > 2
     assert N.n_best(spark.createDataFrame([], DOCS)).collect() == []
