@@ -9,13 +9,15 @@ lost executor or a repeated task leaves no half-written file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,9 +28,11 @@ from hearth.plans.tables import table
 
 END_ID = 2
 #: A block is closed at the first document end beyond this many ids.
-BLOCK_IDS = 1 << 20
-#: Entries, and ids in them, after which a worker's memory of encoded words starts anew.
-MEMO_WORDS, MEMO_IDS = 1 << 20, 1 << 24
+BLOCK_IDS = 1 << 18
+#: Bytes after which a worker's memory of encoded words starts anew, and what an entry takes beside its word and ids.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 150
+#: Characters of texts that are encoded together (one text at least).
+BATCH_CHARS = 1 << 18
 _TAIL = ".,;:!?)*%$#&"
 _HEADER = struct.Struct("<4sIQQII")
 _MAGIC = b"S8B1"
@@ -49,14 +53,30 @@ class WordMemo:
     cuts between a letter and a punctuation mark."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.pieces = {}, {}
+        self.codes: dict[bytes, int] = {}
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.flat, self.used, self.entries, self.held = np.zeros(1 << 14, np.uint32), 0, 0, 0
+
+    def _keep(self, words: list[bytes], sizes, ids) -> None:
+        """Remember words, the ids of all of them in turn."""
+        code, to = self.entries, self.entries + len(words)
+        while to > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.codes.update(zip(words, range(code, to)))
+        self.size[code:to] = sizes
+        self.start[code:to] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.entries = to
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words) + 4 * len(ids)
 
     @staticmethod
     def split(word: str) -> tuple[str, ...]:
@@ -68,35 +88,39 @@ class WordMemo:
             return core.lower(), word[len(core):]
         return (word.lower(),)
 
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def learn(self, words: list[bytes]) -> None:
+        """Encode words that are not remembered; a part has the ids that it has as a word."""
         parts = [self.split(w.decode()) for w in words]
-        new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p not in self.pieces]
+        new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p.encode() not in self.codes]
         for k in range(0, len(new), 4096):
-            some = new[k:k + 4096]
-            self.pieces.update((p, e.ids) for p, e in zip(
-                some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        for w, ps in zip(words, parts):
-            ids = self.pieces[ps[0]] if len(ps) == 1 else [x for p in ps for x in self.pieces[p]]
-            code = len(self.codes)
-            if code == len(self.start):
-                self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.codes[w], self.start[code], self.size[code] = code, self.used, len(ids)
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
+            found = self._ids(new[k:k + 4096])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep([p.encode() for p in new[k:k + 4096]], sizes,
+                       np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        codes = self.codes
+        codes.update((w, codes[ps[0].encode()]) for w, ps in zip(words, parts) if len(ps) == 1)
+        two = [(w, ps) for w, ps in zip(words, parts) if len(ps) == 2]
+        if two:
+            both = np.fromiter((codes[p.encode()] for _, ps in two for p in ps), np.int64, 2 * len(two))
+            self._keep([w for w, _ in two], self.size[both].reshape(-1, 2).sum(axis=1), self._gather(both)[0])
+        self.held += sum(len(w) + ENTRY_BYTES for w, ps in zip(words, parts) if len(ps) == 1)
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries in turn, and where each entry's end."""
+        sizes = self.size[codes]
+        upto = np.cumsum(sizes)
+        shift = self.start[codes] - (upto - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(upto[-1] if len(upto) else 0)], upto
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by ``end``, and their counts."""
-        if len(self.codes) > MEMO_WORDS or self.used > MEMO_IDS:
+        if self.held > MEMO_BYTES:
             self.clear()
         if b"" not in self.codes:  # stands for the end of a text
-            self.codes[b""] = len(self.codes)
-            self.start[self.codes[b""]], self.size[self.codes[b""]] = self.used, 1
-            if self.used == len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used] = end
-            self.used += 1
+            self._keep([b""], np.array([1]), np.array([end]))
         words, ends = [], []
         for t in texts:
             if t:
@@ -108,10 +132,7 @@ class WordMemo:
         if len(missing):
             self.learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
             codes[missing] = [self.codes[words[i]] for i in missing.tolist()]
-        sizes = self.size[codes]
-        upto = np.cumsum(sizes)
-        shift = self.start[codes] - (upto - sizes)
-        ids = self.flat[np.repeat(shift, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        ids, upto = self._gather(codes)
         stops = upto[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
         return ids, np.diff(stops, prepend=0)
 
@@ -144,6 +165,17 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return simple8b.decode(words, offsets, escapes, n_ids), counts.astype(np.int64)
 
 
+def _runs(batch: pa.RecordBatch):
+    """Slices of about ``BATCH_CHARS`` characters."""
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(upto[start - 1]) if start else 0
+        stop = int(np.searchsorted(upto, before + BATCH_CHARS)) + 1
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _encode_partition(path: str, end: int):
     def run(batches):
         memo, part = _memo(path), TaskContext.get().partitionId()
@@ -157,8 +189,7 @@ def _encode_partition(path: str, end: int):
                 ["part", "block", "doc_ids", "payload"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for some in _runs(batch):
                 i, c = memo.encode(some.column(1).to_pylist(), end)
                 doc_ids += some.column(0).to_pylist()
                 ids.append(i)
