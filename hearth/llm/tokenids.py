@@ -10,10 +10,11 @@ lost executor or a repeated task leaves no half-written file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ BLOCK_IDS = 1 << 18
 MEMO_BYTES, ENTRY_BYTES = 96 << 20, 150
 #: Characters of texts that are encoded together (one text at least).
 BATCH_CHARS = 1 << 18
-_TAIL = ".,;:!?)*%$#&"
+#: Words that stay whole: characters beyond Latin-1, or what may be a special token.
+_ODD = re.compile(r"[^\x00-\xff]|<\||\|>")
+#: A lower-case line cut between a letter and closing punctuation, or whole.
+_PARTS = re.compile(r"^(?:([^'\n]*[a-zªµºà-öø-ÿß])([.,;:!?)*%$#&]+)|(.+))$", re.M)
 _HEADER = struct.Struct("<4sIQQII")
 _MAGIC = b"S8B1"
 
@@ -56,57 +60,81 @@ class WordMemo:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.suffix:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(self.suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
+        self.parts: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used, self.entries, self.held = np.zeros(1 << 14, np.uint32), 0, 0, 0
 
-    def _keep(self, words: list[bytes], sizes, ids) -> None:
-        """Remember words, the ids of all of them in turn."""
-        code, to = self.entries, self.entries + len(words)
+    def _keep(self, sizes: np.ndarray, ids: np.ndarray) -> range:
+        """New entries of so many ids each; their codes."""
+        code, to = self.entries, self.entries + len(sizes)
         while to > len(self.start):
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.codes.update(zip(words, range(code, to)))
         self.size[code:to] = sizes
         self.start[code:to] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
         self.entries = to
-        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words) + 4 * len(ids)
-
-    @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        """Pieces with the same ids, in turn, as the word."""
-        if "<|" in word or "|>" in word or max(word) >= "Ā":
-            return (word,)
-        core = word.rstrip(_TAIL)
-        if core and core != word and core[-1].isalpha() and "'" not in word:
-            return core.lower(), word[len(core):]
-        return (word.lower(),)
-
-    def _ids(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.held += ENTRY_BYTES * len(sizes) + 4 * len(ids)
+        return range(code, to)
+
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts in turn, and how many each has.
+
+        Where pieces at the end of a word have a sign of their own, words of
+        letters are encoded as one text, which saves most of the library's
+        work for each call, and are told apart by that sign. Should the signs
+        not be as many as the words, they are encoded one by one."""
+        if self.suffix and all(p.isalpha() for p in parts):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids,
+                           np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(parts) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words that are not remembered; a part has the ids that it has as a word."""
-        parts = [self.split(w.decode()) for w in words]
-        new = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p.encode() not in self.codes]
-        for k in range(0, len(new), 4096):
-            found = self._ids(new[k:k + 4096])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._keep([p.encode() for p in new[k:k + 4096]], sizes,
-                       np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
-        codes = self.codes
-        codes.update((w, codes[ps[0].encode()]) for w, ps in zip(words, parts) if len(ps) == 1)
-        two = [(w, ps) for w, ps in zip(words, parts) if len(ps) == 2]
-        if two:
-            both = np.fromiter((codes[p.encode()] for _, ps in two for p in ps), np.int64, 2 * len(two))
-            self._keep([w for w, _ in two], self.size[both].reshape(-1, 2).sum(axis=1), self._gather(both)[0])
-        self.held += sum(len(w) + ENTRY_BYTES for w, ps in zip(words, parts) if len(ps) == 1)
+        """Encode words that are not remembered: as two parts, where one of
+        plain Latin letters closes with punctuation, as one otherwise."""
+        text = b"\n".join(words).decode()
+        plain = text.split("\n")
+        odd: list[str] = []
+        if _ODD.search(text):
+            unlike = [bool(_ODD.search(w)) for w in plain]
+            odd = list(compress(plain, unlike))
+            like = [not x for x in unlike]
+            words = [*compress(words, like), *compress(words, unlike)]
+            plain = list(compress(plain, like))
+        cut = _PARTS.findall("\n".join(plain).lower()) if plain else []
+        firsts = [core or whole for core, _, whole in cut] + odd
+        tails = [tail for _, tail, _ in cut] + [""] * len(odd)
+        new = [p for p in dict.fromkeys(chain(firsts, filter(None, tails))) if p not in self.parts]
+        letters = [p.isalpha() and not _ODD.search(p) for p in new]
+        for some in (list(compress(new, letters)), [p for p, x in zip(new, letters) if not x]):
+            for k in range(0, len(some), 4096):
+                ids, sizes = self._ids(some[k:k + 4096])
+                self.parts.update(zip(some[k:k + 4096], self._keep(sizes, ids)))
+                self.held += sum(map(len, some[k:k + 4096]))
+        codes = np.fromiter(map(self.parts.__getitem__, firsts), np.int64, len(firsts))
+        second = np.fromiter(map(self.parts.get, tails, repeat(-1)), np.int64, len(tails))
+        two = np.flatnonzero(second >= 0)
+        if len(two):
+            both = np.stack((codes[two], second[two]), axis=1)
+            codes[two] = self._keep(self.size[both].sum(axis=1), self._gather(both.ravel())[0])
+        self.codes.update(zip(words, codes.tolist()))
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries in turn, and where each entry's end."""
@@ -120,7 +148,7 @@ class WordMemo:
         if self.held > MEMO_BYTES:
             self.clear()
         if b"" not in self.codes:  # stands for the end of a text
-            self._keep([b""], np.array([1]), np.array([end]))
+            self.codes[b""] = self._keep(np.array([1]), np.array([end]))[0]
         words, ends = [], []
         for t in texts:
             if t:
