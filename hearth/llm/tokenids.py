@@ -30,8 +30,8 @@ from hearth.plans.tables import table
 END_ID = 2
 #: A block is closed at the first document end beyond this many ids.
 BLOCK_IDS = 1 << 18
-#: Bytes after which a worker's memory of encoded words starts anew, and what an entry takes beside its word and ids.
-MEMO_BYTES, ENTRY_BYTES = 96 << 20, 150
+#: Bytes after which a worker forgets words that it met once, and what an entry takes beside its word and ids.
+MEMO_BYTES, ENTRY_BYTES = 128 << 20, 150
 #: Characters of texts that are encoded together (one text at least).
 BATCH_CHARS = 1 << 18
 #: Words that stay whole: characters beyond Latin-1, or what may be a special token.
@@ -71,13 +71,32 @@ class WordMemo:
         self.codes: dict[bytes, int] = {}
         self.parts: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int64)
         self.flat, self.used, self.entries, self.held = np.zeros(1 << 14, np.uint32), 0, 0, 0
 
+    def forget(self) -> None:
+        """Drop words met once since the last time; all, if that frees less than half."""
+        often = self.uses[:self.entries] > 1
+        words = [(w, c) for w, c in self.codes.items() if often[c] and w]
+        parts = [(p, c) for p, c in self.parts.items() if often[c]]
+        kept = np.flatnonzero(often)
+        sizes, ids = self.size[kept], self._gather(kept)[0]
+        self.clear()
+        if ENTRY_BYTES * (len(words) + len(kept)) + 4 * len(ids) > MEMO_BYTES // 2:
+            return
+        moved = np.cumsum(often) - 1
+        self._keep(sizes, ids)
+        self.uses[:self.entries] = 1
+        self.codes = {w: int(moved[c]) for w, c in words}
+        self.parts = {p: int(moved[c]) for p, c in parts}
+        self.held += sum(map(len, self.codes)) + sum(map(len, self.parts)) + ENTRY_BYTES * len(words)
+
     def _keep(self, sizes: np.ndarray, ids: np.ndarray) -> range:
         """New entries of so many ids each; their codes."""
         code, to = self.entries, self.entries + len(sizes)
         while to > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+            self.start, self.size, self.uses = (
+                np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.uses))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.size[code:to] = sizes
@@ -112,7 +131,7 @@ class WordMemo:
         plain = text.split("\n")
         odd: list[str] = []
         if _ODD.search(text):
-            unlike = [bool(_ODD.search(w)) for w in plain]
+            unlike = [(not w.isascii() or "|" in w) and bool(_ODD.search(w)) for w in plain]
             odd = list(compress(plain, unlike))
             like = [not x for x in unlike]
             words = [*compress(words, like), *compress(words, unlike)]
@@ -121,7 +140,7 @@ class WordMemo:
         firsts = [core or whole for core, _, whole in cut] + odd
         tails = [tail for _, tail, _ in cut] + [""] * len(odd)
         new = [p for p in dict.fromkeys(chain(firsts, filter(None, tails))) if p not in self.parts]
-        letters = [p.isalpha() and not _ODD.search(p) for p in new]
+        letters = [p.isalpha() and (p.isascii() or not _ODD.search(p)) for p in new]
         for some in (list(compress(new, letters)), [p for p, x in zip(new, letters) if not x]):
             for k in range(0, len(some), 4096):
                 ids, sizes = self._ids(some[k:k + 4096])
@@ -132,6 +151,7 @@ class WordMemo:
         two = np.flatnonzero(second >= 0)
         if len(two):
             both = np.stack((codes[two], second[two]), axis=1)
+            self.uses[:self.entries] += np.bincount(both.ravel(), minlength=self.entries)
             codes[two] = self._keep(self.size[both].sum(axis=1), self._gather(both.ravel())[0])
         self.codes.update(zip(words, codes.tolist()))
         self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
@@ -146,7 +166,7 @@ class WordMemo:
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by ``end``, and their counts."""
         if self.held > MEMO_BYTES:
-            self.clear()
+            self.forget()
         if b"" not in self.codes:  # stands for the end of a text
             self.codes[b""] = self._keep(np.array([1]), np.array([end]))[0]
         words, ends = [], []
@@ -160,6 +180,7 @@ class WordMemo:
         if len(missing):
             self.learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
             codes[missing] = [self.codes[words[i]] for i in missing.tolist()]
+        self.uses[:self.entries] += np.bincount(codes, minlength=self.entries)
         ids, upto = self._gather(codes)
         stops = upto[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
         return ids, np.diff(stops, prepend=0)

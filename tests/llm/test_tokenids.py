@@ -83,3 +83,16 @@ def test_edges(spark):
     assert got == expected([(None, "null id"), (0, "b"), (1, None), (2, ""), (3, "a a"), (3, "a a"), (4, "x " * 30_000)])
     empty, _ = K.write_token_ids(spark.createDataFrame([], DOCS))
     assert K.read_token_ids(empty).collect() == []
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(K, "MEMO_BYTES", 200_000)
+    memo, model = K.WordMemo(K.default_tokenizer()), Tokenizer.from_file(K.default_tokenizer())
+    texts = read("sf0.001", "documents").text.tolist()
+    most = 0
+    for t in texts * 2:
+        ids, counts = memo.encode([t], 2)
+        assert ids.tolist() == model.encode(t, add_special_tokens=False).ids + [2] and counts.tolist() == [len(ids)]
+        most = max(most, memo.held)
+    new = max(len(t.encode()) for t in texts) * 2 * K.ENTRY_BYTES
+    assert most < 200_000 + new and memo.entries
