@@ -60,6 +60,8 @@ class WordMemo:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(1)  # a word reaches the library once
         self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if self.suffix:
             vocab = self.tokenizer.get_vocab(with_added_tokens=False)
