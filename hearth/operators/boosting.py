@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.operators.partials import array_sums
+from hearth.operators.partials import array_sums, dealt
 from hearth.session import cut_lineage
 
 MAX_BINS, ROUNDS_HELD = 256, 10
@@ -237,7 +237,7 @@ def boost(df: DataFrame, params: Sequence[BoostParams], *, features: Sequence[st
                 yield m, level_sums(bins[mine], g, h, tree.leaf_of(bins[mine]), level, n_bins).ravel()
         return part
 
-    state = cut_lineage(rows.mapInPandas(start, held), "boost-rows")
+    state = cut_lineage(dealt(rows, "__id").mapInPandas(start, held), "boost-rows")
     since = 0
     for round_ in range(max(p.rounds for p in params)):
         growing = {m: Tree.empty(p.depth) for m, p in enumerate(params) if round_ < p.rounds}

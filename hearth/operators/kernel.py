@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.operators.partials import array_sums
+from hearth.operators.partials import array_sums, dealt
 from hearth.session import cut_lineage
 
 LANDMARKS = 128
@@ -98,10 +98,10 @@ def fit_svm(df: DataFrame, params: Sequence[SvmParams], *, features: Sequence[st
     """Fit all models of ``params`` on the rows of ``df`` (0/1 label; features
     that are not null). What reaches the driver is models x landmarks^2."""
     params, features = list(params), list(features)
-    rows = cut_lineage(df.where(F.col(label).isNotNull()).select(
+    rows = cut_lineage(dealt(df.where(F.col(label).isNotNull()).select(
         F.col(id_col).alias("__id"), (2.0 * F.col(label) - 1.0).alias("__y"),
         (F.col(fold_col) if fold_col else F.lit(-1)).cast("int").alias("__fold"),
-        *[F.col(c).cast("double").alias(c) for c in features]), "svm-rows")
+        *[F.col(c).cast("double").alias(c) for c in features]), "__id"), "svm-rows")
     lifts = {}
     for fold in dict.fromkeys(p.fold for p in params):
         some = rows if fold is None else rows.where(F.col("__fold") != fold)
@@ -123,7 +123,8 @@ def fit_svm(df: DataFrame, params: Sequence[SvmParams], *, features: Sequence[st
                     lifted[key] = lifts[key](x[mine]), y[mine]
                 z, t = lifted[key]
                 loss, slope, curve = hinge(t * (z @ at[m]), width)
-                yield m, np.concatenate(([loss.sum()], (slope * t) @ z, ((z * curve[:, None]).T @ z).ravel()))
+                bent = z[curve > 0]  # rows outside the corner add nothing to the Hessian
+                yield m, np.concatenate(([loss.sum()], (slope * t) @ z, ((bent * curve[curve > 0, None]).T @ bent).ravel()))
         return part
 
     for width in WIDTHS:

@@ -8,16 +8,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Partitions up to which the tasks' arrays are added on the driver; beyond, one shuffle adds them by key.
-DIRECT_PARTITIONS = 16
+#: Least tasks over which the rows of a fit are dealt, and tasks that add up what those send.
+FIT_TASKS, ADD_TASKS = 16, 4
 _SCHEMA = "key int, sums binary"
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """``df`` in at least ``FIT_TASKS`` partitions: a small table, however many
+    models are fitted on it, would otherwise be the work of one task."""
+    return df.repartition(max(FIT_TASKS, df.rdd.getNumPartitions()), by)
+
+
 def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], Iterable[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
     """The sums by key of the arrays of doubles that ``part`` gives for each
     batch of rows. A task adds its batches up and sends one array a key; their
-    number and size must be bounded by parameters, they come to the driver.
-    Arrays are added in a fixed order, so equal partitions give equal sums."""
+    number and size must be bounded by parameters. Other tasks add those of a key,
+    so what comes to the driver does not grow with the partitions. Arrays are
+    added in a fixed order, so equal partitions give equal sums."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for frame in frames:
@@ -27,15 +34,14 @@ def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], Iterable[tuple[int,
         if total:
             yield pd.DataFrame({"key": list(total), "sums": [np.ascontiguousarray(a, np.float64).tobytes() for a in total.values()]})
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(b) for b in sorted(frame["sums"])]
-        return pd.DataFrame({"key": frame["key"].iloc[:1], "sums": [np.sum(arrays, axis=0).tobytes()]})
-
-    found = df.mapInPandas(run, _SCHEMA)
-    if df.rdd.getNumPartitions() > DIRECT_PARTITIONS:
-        found = found.groupBy("key").applyInPandas(add, _SCHEMA)
-    out: dict[int, np.ndarray] = {}
-    for r in found.collect():
-        array = np.frombuffer(r["sums"])
-        out[r["key"]] = out[r["key"]] + array if r["key"] in out else array
-    return out
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[bytes]] = {}
+        for frame in frames:
+            for key, sums in zip(frame["key"], frame["sums"]):
+                held.setdefault(key, []).append(sums)
+        for key in sorted(held):
+            yield pd.DataFrame({"key": [key], "sums": [np.sum([np.frombuffer(b) for b in sorted(held[key])], axis=0).tobytes()]})
+
+    # the tasks' arrays are added by key in a few others, so the driver gets one a key
+    found = df.mapInPandas(run, _SCHEMA).repartition(ADD_TASKS, "key").mapInPandas(add, _SCHEMA)
+    return {r["key"]: np.frombuffer(r["sums"]) for r in found.collect()}
