@@ -16,11 +16,13 @@ being the one held out.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,14 @@ from hearth.session import cut_lineage, delete_path, shared_path
 BOOST_BINS = 64
 
 
+def together(spark, jobs: Sequence[Callable]) -> list:
+    """The results of ``jobs`` in their order, submitted from a thread each:
+    the stages of one small fit leave most of a cluster idle."""
+    with ThreadPoolExecutor(max(len(jobs), 1)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [r.result() for r in running]
+
+
 def name_of(model: str, params: Mapping) -> str:
     return f"{model}({','.join(f'{k}={v}' for k, v in params.items())})"
 
@@ -116,28 +126,33 @@ def forest_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Sequen
                 importances: list | None = None) -> DataFrame:
     sizes, depths, features = list(grid["numTrees"]), list(grid["maxDepth"]), list(features)
     names = [[name_of("rf", {"numTrees": n, "maxDepth": d}) for n in sizes] for d in depths]
-    schema, parts = "candidate string, id long, own int, label int, score double", []
+    schema = "candidate string, id long, own int, label int, score double"
     df = cut_lineage(df.select(id_col, fold_col, label, *features), "folds")
-    for f in range(n_folds):
+
+    def fit(f):
         train = EV._assemble(df.where(F.col(fold_col) != f), features).persist()
         model = RandomForestClassifier(featuresCol="__x", labelCol=label, seed=seed, featureSubsetStrategy="sqrt",
                                        impurity="gini", numTrees=max(sizes), maxDepth=max(depths)).fit(train)
         train.unpersist()
         forest = Forest(df.sparkSession, model)
 
-        def score(frames, forest=forest):
+        def score(frames):
             for frame in frames:
                 share = forest.shares(frame[features].to_numpy(dtype=np.float64), sizes, depths)
                 for d in range(len(depths)):
                     for n in range(len(sizes)):
                         yield pd.DataFrame({"candidate": names[d][n], "id": frame[id_col], "own": frame[fold_col],
                                             "label": frame[label], "score": share[d, n]})
-        if importances is not None:
-            importances.extend((str(f), c, float(v) * 100.0) for c, v in zip(features, model.featureImportances.toArray()))
+        shares = [(str(f), c, float(v) * 100.0) for c, v in zip(features, model.featureImportances.toArray())]
         rows = df if train_side else df.where(F.col(fold_col) == f)
-        parts.append(_sided(rows.mapInPandas(score, schema), F.col("candidate"), F.lit(f), train_side, id_col="id",
-                            label="label", fold_col="own"))
-    return reduce(DataFrame.unionByName, parts)
+        return shares, _sided(rows.mapInPandas(score, schema), F.col("candidate"), F.lit(f), train_side, id_col="id",
+                              label="label", fold_col="own")
+
+    fits = together(df.sparkSession, [partial(fit, f) for f in range(n_folds)])
+    if importances is not None:
+        for shares, _ in fits:
+            importances.extend(shares)
+    return reduce(DataFrame.unionByName, [scores for _, scores in fits])
 
 
 def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Sequence[str], id_col: str, label: str = "y",
@@ -159,8 +174,9 @@ def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seq
     # a donor stands once in each other space, under an id of its own
     known = placed.where(F.col("space") != F.col(fold_col)).select(
         (F.col(id_col) * n_folds + F.col("space")).alias("d"), "v", "__y")
-    ks, weights, parts = list(grid["k"]), list(grid["weights"]), []
-    for p in grid["p"]:
+    ks, weights = list(grid["k"]), list(grid["weights"])
+
+    def scored(p):
         near = cut_lineage(NB.nearest_neighbours(ask, known, k=max(ks), q_id="q", q_vec="v", d_id="d", d_vec="v", carry=["__y"],
                                                  metric="minkowski", p=p, rank_digits=rank_digits), "neighbours")
         y, dist, aggs, names = F.col("__y"), F.col("dist"), [], []
@@ -177,8 +193,10 @@ def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seq
                 aggs.append(value)
         wide = near.groupBy("q").agg(F.array(*aggs).alias("scores"))
         at = F.array(*map(F.lit, names))
-        parts.append(wide.select("q", F.posexplode("scores").alias("i", "score")).select(
-            at[F.col("i")].alias("candidate"), F.col("q").alias("id"), "score"))
+        return wide.select("q", F.posexplode("scores").alias("i", "score")).select(
+            at[F.col("i")].alias("candidate"), F.col("q").alias("id"), "score")
+
+    parts = together(df.sparkSession, [partial(scored, p) for p in grid["p"]])
     scores = reduce(DataFrame.unionByName, parts)
     asked = placed.select((F.col(id_col) * n_folds + F.col("space")).alias("id"), F.col(id_col).alias("row"), fold_col, "space",
                           F.col("__y").alias("label"))
@@ -193,11 +211,12 @@ def grid_scores(df: DataFrame, grids: Mapping[str, Mapping] | None = None, *, fe
                 label: str = "y", fold_col: str = "fold", n_folds: int = C.N_FOLDS, train_side: bool = False,
                 importances: list | None = None) -> DataFrame:
     """Scores of every combination of every model's grid, written once."""
-    parts = []
-    for m, g in (EV.GRIDS if grids is None else grids).items():
+    def scored(m, g):
         more = {"importances": importances} if m == "rf" else {}
-        parts.append(GRID_SCORES[m](df, g, features=features, id_col=id_col, label=label, fold_col=fold_col,
-                                    n_folds=n_folds, train_side=train_side, **more))
+        return GRID_SCORES[m](df, g, features=features, id_col=id_col, label=label, fold_col=fold_col,
+                              n_folds=n_folds, train_side=train_side, **more)
+
+    parts = together(df.sparkSession, [partial(scored, m, g) for m, g in (EV.GRIDS if grids is None else grids).items()])
     return cut_lineage(reduce(DataFrame.unionByName, parts), "grid-scores")
 
 

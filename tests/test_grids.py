@@ -144,3 +144,30 @@ def test_best_candidate_breaks_ties_by_name(spark):
     df = spark.createDataFrame([("b", 0.5, 0.8), ("a", 0.4, 0.8), ("c", 0.9, 0.7)], "candidate string, accuracy double, auc double")
     assert EV.best_candidate(df, "auc").first()["candidate"] == "a"
     assert EV.best_candidate(df, "accuracy").first()["candidate"] == "c"
+
+
+def test_models_and_folds_of_a_grid_are_fitted_together(spark, monkeypatch):
+    import threading
+    meet = threading.Barrier(2, timeout=60)
+    rows = spark.createDataFrame([("a", 1, 0, 1, 0.5, False)], "candidate string, id long, fold int, label int, score double, is_train boolean")
+
+    def waits(df, grid, **how):
+        meet.wait()
+        return rows
+    monkeypatch.setattr(G, "GRID_SCORES", {"x": waits, "y": waits})
+    assert G.grid_scores(rows, {"x": {}, "y": {}}, features=[], id_col="id").count() == 2
+    assert G.together(spark, [lambda: (meet.wait(), 1)[1], lambda: (meet.wait(), 2)[1]]) == [1, 2]
+
+
+def test_sums_reach_the_driver_once_a_key_and_small_tables_are_dealt(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from hearth.operators import partials as P
+    sent, collect = [], Classic.collect
+    monkeypatch.setattr(Classic, "collect", lambda df: sent.append(collect(df)) or sent[-1])
+    df = spark.range(1000).withColumnRenamed("id", "x").repartition(12)
+    found = P.array_sums(df, lambda frame: [(k, np.array([len(frame), frame["x"].sum() * k])) for k in (0, 1, 2)])
+    assert {k: list(v) for k, v in found.items()} == {k: [1000, 499500 * k] for k in (0, 1, 2)}
+    assert [len(rows) for rows in sent] == [3]
+    assert P.array_sums(df.where("x < 0"), lambda frame: [(0, np.ones(1))]) == {}
+    assert P.dealt(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == P.FIT_TASKS
