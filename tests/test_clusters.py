@@ -182,3 +182,19 @@ def test_pca_ratios(spark):
     var = [r.ratio for r in SC.pca_variance(df, vec="v", dim=4).orderBy("component").collect()]
     assert abs(sum(var) - 1.0) < 1e-9 and var == sorted(var, reverse=True)
     assert SC.pca_components_kept(var, 2 / 3) >= 1
+
+
+def test_micro_cluster_query_places_every_point(spark, tmp_path, monkeypatch):
+    from hearth.plans import q_clusters as Q
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=Q.DIM)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(Q, "MICRO_K", 5)
+    got = Q.micro_cluster(spark, str(tmp_path)).collect()
+    assert sum(r["size"] for r in got) == 60 and [r["n_misplaced"] for r in got] == [0] * len(got)
+    z, _, _ = Q.scaled_embeddings(spark, str(tmp_path))
+    assign, centres = Q.CL.micro_cluster(z, id_col="vec_id", vec="z", k=5, seed=1)
+    swapped = assign.withColumn("micro_id", (assign.micro_id + 1) % 5)
+    row = Q._misplaced(z.select("vec_id", "z"), swapped, centres.select("micro_id", "centre"), id_col="vec_id", vec="z",
+                       cluster="micro_id", centre="centre").first()
+    assert row["n_points"] == 60 and row["n_misplaced"] > 50
