@@ -1,19 +1,24 @@
 """Relational operators: joins, keyed reductions, dedup, audits.
 
 All reductions are hash/sort aggregates with partial (map-side) aggregation,
-so a key holding a large share of the rows is collapsed before the shuffle;
-joins are on keys that are unique on at least one side after those
+so a key holding a large share of the rows is collapsed before the shuffle (the
+credits of a case, a few rows, are moved as they are); joins are on keys that are unique on at least one side after those
 reductions, and AQE's skew-join split covers the rest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows whose keys one task groups, where a group holds few rows.
+TASK_ROWS = 500_000
+
+
 def _cols(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
@@ -33,6 +38,14 @@ def attach_age(cases: DataFrame, births: DataFrame, *, case_id: str = "id",
 
 # --- A1 A2 A3 P6 -------------------------------------------------------------
 
+def dealt_by_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the rows of a key together, in partitions that grow with its
+    rows. For groups of few rows: adding those up before the shuffle would hold
+    nearly every row of a file split in one task's hash map."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS))
+    return df.repartition(parts, key)
+
+
 def credits_by_type(credits: DataFrame, *, key: str = "id_dossier",
                     type_col: str = "type_credit",
                     measures: Mapping[str, Column] | None = None) -> DataFrame:
@@ -40,6 +53,8 @@ def credits_by_type(credits: DataFrame, *, key: str = "id_dossier",
 
     ``measures`` maps an output name to an aggregate expression; the default
     is the instalment sum, the mean number of instalments and the balance sum.
+    A case has few credits, so its rows move once, by case; the aggregates by
+    type and :func:`pivot_measures` need no other shuffle.
     """
     if measures is None:
         measures = {
@@ -47,7 +62,7 @@ def credits_by_type(credits: DataFrame, *, key: str = "id_dossier",
             "moy_nb_mensualite": F.avg("nb_mensualite"),
             "sum_solde": F.sum("solde"),
         }
-    return credits.groupBy(key, type_col).agg(*[e.alias(n) for n, e in measures.items()])
+    return dealt_by_key(credits, key).groupBy(key, type_col).agg(*[e.alias(n) for n, e in measures.items()])
 
 
 def pivot_measures(by_type: DataFrame, *, key: str = "id_dossier",

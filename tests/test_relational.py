@@ -130,3 +130,15 @@ def test_exclude_like_by_collation(spark):
     assert left("%", **ci_ai) == [] and left("Impaye") == ["IMPAYÉ", "Réel", "impayés"]
     with pytest.raises(ValueError):
         R.exclude_like(df, "typ", "Imp_ye", **ci_ai)
+
+
+def test_rows_of_a_case_move_once_and_no_split_is_held_before(spark, monkeypatch):
+    rows = [(i // 3 if i else None, i % 3, 1.5, 2, 4.0) for i in range(300)] + [(7, None, 1.0, 1, 1.0)]
+    credits = spark.createDataFrame(rows, "id_dossier long, type_credit int, mensualite double, nb_mensualite int, solde double")
+    pivot = R.pivot_measures(R.credits_by_type(credits))
+    plan = pivot._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
+    assert {r["id_dossier"]: r["nombre_credits"] for r in pivot.collect()} == {
+        None: 0, 0: 2, 7: 4, **{i: 3 for i in range(1, 100) if i != 7}}
+    monkeypatch.setattr(R, "TASK_ROWS", 10)
+    assert R.dealt_by_key(credits, "id_dossier").rdd.getNumPartitions() == 31
