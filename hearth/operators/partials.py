@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 #: Least tasks over which the rows of a fit are dealt, and tasks that add up what those send.
 FIT_TASKS, ADD_TASKS = 16, 4
+#: Partitions up to which the tasks' arrays go to the driver as they are: one task has added up its own.
+DIRECT_PARTITIONS = 1
 _SCHEMA = "key int, sums binary"
 
 
@@ -42,6 +44,8 @@ def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], Iterable[tuple[int,
         for key in sorted(held):
             yield pd.DataFrame({"key": [key], "sums": [np.sum([np.frombuffer(b) for b in sorted(held[key])], axis=0).tobytes()]})
 
-    # the tasks' arrays are added by key in a few others, so the driver gets one a key
-    found = df.mapInPandas(run, _SCHEMA).repartition(ADD_TASKS, "key").mapInPandas(add, _SCHEMA)
+    found = df.mapInPandas(run, _SCHEMA)
+    if df.rdd.getNumPartitions() > DIRECT_PARTITIONS:
+        # the tasks' arrays are added by key in a few others, so the driver gets one a key
+        found = found.repartition(ADD_TASKS, "key").mapInPandas(add, _SCHEMA)
     return {r["key"]: np.frombuffer(r["sums"]) for r in found.collect()}
