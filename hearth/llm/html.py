@@ -12,7 +12,9 @@ another page quotes or copies it.
 
 from __future__ import annotations
 
+import json
 import re
+from hashlib import blake2b
 from html import unescape
 from typing import NamedTuple
 
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 
 from hearth.llm.common import stored
 from hearth.plans.tables import table
+from hearth.session import delete_path
 
 #: Tokens of a repeated run; a power of two, as the suffix array doubles up to it.
 RUN_TOKENS = 16
 #: Distinct page contents that share a run before it counts as boilerplate.
 RUN_PAGES = 3
-#: Html of one host that is searched together; a larger host is dealt into shards.
+#: Html of one host that is searched in one task; a larger host is dealt into shards that exchange the hashes of their runs.
 SHARD_BYTES = 8 << 20
 #: Up to so many hosts larger than that are broadcast with their shard counts (some MB); more are joined.
 BROADCAST_HOSTS = 100_000
@@ -179,35 +182,87 @@ def suffix_ranks(tokens: np.ndarray, run: int) -> np.ndarray:
     return rank
 
 
+def run_hashes(words: np.ndarray, run: int) -> np.ndarray:
+    """For each position a 64-bit hash of the first ``run`` word hashes from
+    there, by the doubling of :func:`suffix_ranks`: the same in every shard."""
+    found, width = words, 1
+    while width < run:
+        after = np.zeros_like(found)
+        after[:-width] = found[width:]
+        found = (found ^ found >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + after
+        found = (found ^ found >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        width *= 2
+    return found ^ found >> np.uint64(32)
+
+
+def _n_owners(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Distinct owners of each value below ``n``."""
+    owners = int(owner.max()) + 1 if len(owner) else 1
+    return np.bincount(np.unique(value * owners + owner) // owners, minlength=n)
+
+
+class _Streams:
+    """Distinct token streams one after the other, a token of its own behind
+    each, so that no run crosses them."""
+
+    def __init__(self, streams: list[tuple[str, ...]], run: int):
+        vocab: dict[str, int] = {}
+        ids, owner, self.starts, at = [], [], [], 0
+        for k, words in enumerate(streams):
+            self.starts.append(at)
+            ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words)))
+            ids.append(np.array([-1 - k]))
+            owner.append(np.full(len(words) + 1, k))
+            at += len(words) + 1
+        self.streams, self.run, self.vocab = streams, run, vocab
+        self.tokens, self.owner = np.concatenate(ids), np.concatenate(owner)
+
+    def shared(self, least: int) -> np.ndarray:
+        """Whether ``least`` streams hold the run at each position."""
+        rank = suffix_ranks(self.tokens, self.run)
+        return _n_owners(rank, self.owner, int(rank.max()) + 1)[rank] >= least
+
+    def whole(self) -> np.ndarray:
+        """The positions of runs that end inside their stream."""
+        ends = np.zeros(len(self.tokens) + 1, np.int64)
+        np.cumsum(self.tokens < 0, out=ends[1:])
+        at = np.arange(max(len(self.tokens) - self.run + 1, 0))
+        return at[ends[at + self.run] == ends[at]]
+
+    def hashes(self, run: int) -> np.ndarray:
+        of_word = pd.util.hash_array(np.array([*self.vocab, ""], object), categorize=False)
+        return run_hashes(of_word[np.maximum(self.tokens, -1)], run)
+
+    def marks(self, at: np.ndarray) -> np.ndarray:
+        """For the run at each position the least hash of its half runs: equal
+        runs have equal marks, and runs side by side mostly share theirs."""
+        half = self.hashes(self.run // 2)
+        least = half[at]
+        for i in range(1, self.run - self.run // 2 + 1):
+            np.minimum(least, half[at + i], out=least)
+        return least
+
+    def covered(self, shared: np.ndarray) -> list[np.ndarray]:
+        """For each stream which tokens lie in a run that ``shared`` marks at its start."""
+        edge = np.zeros(len(self.tokens) + self.run + 1, np.int64)
+        hits = np.flatnonzero(shared)
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + self.run, -1)
+        covered = np.cumsum(edge)[:len(self.tokens)] > 0
+        return [covered[a:a + len(words)] for a, words in zip(self.starts, self.streams)]
+
+
 def covered_tokens(pages: list[list[str]], run: int = RUN_TOKENS, least: int = RUN_PAGES) -> list[np.ndarray]:
     """For each page's token stream, which tokens lie in a run of ``run``
     tokens or more that ``least`` distinct streams share. Equal streams are
     one: a copied page alone makes nothing boilerplate."""
-    vocab: dict[str, int] = {}
-    same: dict[tuple[int, ...], int] = {}
+    same: dict[tuple[str, ...], int] = {}
     content = [same.setdefault(tuple(p), len(same)) for p in pages]
-    streams = list(same)
-    # a token of its own between streams, so that no run crosses them
-    ids, owner, starts, at = [], [], [], 0
-    for k, words in enumerate(streams):
-        starts.append(at)
-        ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words)))
-        ids.append(np.array([-1 - k]))
-        owner.append(np.full(len(words) + 1, k))
-        at += len(words) + 1
-    tokens, owner = np.concatenate(ids), np.concatenate(owner)
-    if len(streams) < least or len(tokens) < run:
+    if len(same) < least or sum(map(len, same)) + len(same) < run:
         return [np.zeros(len(p), bool) for p in pages]
-    rank = suffix_ranks(tokens, run)
-    # distinct streams of each rank
-    pairs = np.unique(rank * len(streams) + owner)
-    shared = np.bincount(pairs // len(streams), minlength=int(rank.max()) + 1) >= least
-    edge = np.zeros(len(tokens) + run + 1, np.int64)
-    hits = np.flatnonzero(shared[rank])
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + run, -1)
-    covered = np.cumsum(edge)[:len(tokens)] > 0
-    return [covered[starts[c]:starts[c] + len(p)] for c, p in zip(content, pages)]
+    streams = _Streams(list(same), run)
+    covered = streams.covered(streams.shared(least))
+    return [covered[c] for c in content]
 
 
 def main_text(blocks: list[Block], kinds: list[int], covered: np.ndarray) -> str:
@@ -238,15 +293,131 @@ def main_text(blocks: list[Block], kinds: list[int], covered: np.ndarray) -> str
     return " ".join(out)
 
 
-def _extract_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    parsed = [blocks_of(h) if h else ([], []) for h in frame["html"]]
-    covered = covered_tokens([[w for b in blocks for w in b.words] for blocks, _ in parsed])
+_ROW = "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long"
+
+
+def _rows(frame: pd.DataFrame, parsed: list[tuple[list[Block], list[int]]], covered: list[np.ndarray]) -> pd.DataFrame:
     texts = [main_text(blocks, kinds, c) for (blocks, kinds), c in zip(parsed, covered)]
     return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts,
                          "n_chars": [len(t) for t in texts], "n_tokens": [len(c) for c in covered],
                          "n_covered": [int(c.sum()) for c in covered]})
 
 
+def _extract_host(frame: pd.DataFrame) -> pd.DataFrame:
+    parsed = [blocks_of(h) if h else ([], []) for h in frame["html"]]
+    return _rows(frame, parsed, covered_tokens([[w for b in blocks for w in b.words] for blocks, _ in parsed]))
+
+
+# --- hosts of many tasks --------------------------------------------------------------------------
+
+_PARSED = "host string, shards int, shard int, page_id long, url string, blocks string, words string, stream long"
+
+
+def _parse_shard(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pages with their blocks (without the words, which are one string) and the hash of their token stream."""
+    parsed = [blocks_of(h) if h else ([], []) for h in frame["html"]]
+    words = [" ".join(w for b in blocks for w in b.words) for blocks, _ in parsed]
+    return frame[["host", "shards", "shard", "page_id", "url"]].assign(
+        blocks=[json.dumps([[[len(b.words), b.linked, b.junk, b.inside] for b in blocks], kinds]) for blocks, kinds in parsed],
+        words=words, stream=[int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in words])
+
+
+def _streams_of(frame: pd.DataFrame) -> _Streams:
+    return _Streams([tuple(w.split(" ")) if w else () for w in frame["words"]], RUN_TOKENS)
+
+
+def _told(frame: pd.DataFrame, hashes: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
+    """Every hash of a shard once with the number of its streams there, dealt
+    to as many places as the host has shards."""
+    values, code = np.unique(hashes, return_inverse=True)
+    n = np.minimum(_n_owners(code, owner, len(values)), RUN_PAGES).astype(np.uint8)
+    place = (values % np.uint64(frame["shards"].iloc[0])).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    places, cuts = np.unique(place[order], return_index=True)
+    cuts = cuts[1:]
+    return pd.DataFrame({"host": frame["host"].iloc[0], "part": frame["part"].iloc[0], "place": places,
+                         "hashes": [x.tobytes() for x in np.split(values[order], cuts)][:len(places)],
+                         "n": [x.tobytes() for x in np.split(n[order], cuts)][:len(places)]})
+
+
+def _shard_marks(frame: pd.DataFrame) -> pd.DataFrame:
+    streams = _streams_of(frame)
+    at = streams.whole()
+    return _told(frame, streams.marks(at), streams.owner[at])
+
+
+def _shard_runs(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """The runs whose mark ``RUN_PAGES`` streams of the host have: no others can be shared by so many."""
+    if not len(frame):
+        return pd.DataFrame({c: [] for c in ("host", "part", "place", "hashes", "n")})
+    streams = _streams_of(frame)
+    at = streams.whole()
+    at = at[np.isin(streams.marks(at), _heard(marks))]
+    return _told(frame, streams.hashes(streams.run)[at], streams.owner[at])
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """What ``RUN_PAGES`` streams of a host have, for each shard that has it."""
+    hashes = [np.frombuffer(h, np.uint64) for h in frame["hashes"]]
+    values, code = np.unique(np.concatenate(hashes), return_inverse=True)
+    n = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["n"]])
+    common = values[np.bincount(code, n, len(values)) >= RUN_PAGES]
+    return frame[["host", "part"]].assign(hashes=[h[np.isin(h, common)].tobytes() for h in hashes])
+
+
+def _heard(frame: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(h, np.uint64) for h in frame["hashes"]]])
+
+
+def _cover_shard(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    """The covered tokens of a shard's streams (a bit each)."""
+    if not len(frame):
+        return pd.DataFrame({"host": [], "stream": [], "covered": []})
+    streams = _streams_of(frame)
+    shared, at = np.zeros(len(streams.tokens), bool), streams.whole()
+    shared[at[np.isin(streams.hashes(streams.run)[at], _heard(runs))]] = True
+    return frame[["host", "stream"]].assign(covered=[np.packbits(c).tobytes() for c in streams.covered(shared)])
+
+
+def _extract_parsed(frame: pd.DataFrame) -> pd.DataFrame:
+    parsed, covered = [], []
+    for blocks, words, bits in zip(frame["blocks"], frame["words"], frame["covered"]):
+        (blocks, kinds), words, at, out = json.loads(blocks), words.split(" ") if words else [], 0, []
+        for n, linked, junk, inside in blocks:
+            out.append(Block(tuple(words[at:at + n]), linked, junk, tuple(inside)))
+            at += n
+        parsed.append((out, kinds))
+        covered.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool))
+    return _rows(frame, parsed, covered)
+
+
+def _extract_shards(dealt: DataFrame) -> DataFrame:
+    """The rows of ``dealt(host, shards, shard, page_id, url, html)`` as one task
+    would find them that held a whole host. Streams are dealt by their content,
+    so that equal ones are one and the counts of the shards add up. Shards tell
+    each other the hashes of their marks, then those of the runs with a common mark."""
+    spark = dealt.sparkSession
+    pages, pages_path = stored(dealt.groupBy("host", "shard").applyInPandas(_parse_shard, _PARSED), "host-pages")
+    streams, streams_path = stored(pages.select("host", "stream", "shards", "words").dropDuplicates(["host", "stream"]).select(
+        "host", "stream", "shards", F.pmod("stream", "shards").cast("int").alias("part"), "words"), "host-streams")
+    by_shard = streams.groupBy("host", "part")
+    told, heard = "host string, part int, place long, hashes binary, n binary", "host string, part int, hashes binary"
+
+    def common(found: DataFrame, name: str) -> tuple[DataFrame, str]:
+        return stored(found.groupBy("host", "place").applyInPandas(_meet, heard), name)
+    marks, marks_path = common(by_shard.applyInPandas(_shard_marks, told), "host-marks")
+    runs, runs_path = common(by_shard.cogroup(marks.groupBy("host", "part")).applyInPandas(_shard_runs, told), "host-runs")
+    delete_path(spark, marks_path)
+    covered, covered_path = stored(by_shard.cogroup(runs.groupBy("host", "part")).applyInPandas(
+        _cover_shard, "host string, stream long, covered binary"), "host-covered")
+    delete_path(spark, streams_path)
+    delete_path(spark, runs_path)
+    rows, _ = stored(pages.join(covered, ["host", "stream"]).groupBy("host", "shard").applyInPandas(_extract_parsed, _ROW), "host-texts")
+    delete_path(spark, pages_path)
+    delete_path(spark, covered_path)
+    return rows
+
+
 def host(url: Column) -> Column:
     """The host of a url, without port, user and leading www; empty if none."""
     found = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -262,23 +433,22 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     Repeated rows appear as often as they occur. Other columns are not read;
     an empty table gives an empty result; html of any length is read whole.
 
-    A host of more than ``shard_bytes`` is dealt into shards by page, each
-    with its own suffix array: every run on more than two pages for each of
-    the host's shards is found whatever the deal, and rarer ones if enough of
-    their pages meet. An article's own text does not depend on it."""
+    A host of more than ``shard_bytes`` is dealt into shards, which count the
+    runs of the whole host together by 64-bit hashes made by the same doubling,
+    so the rows are the same whatever the size of a shard."""
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
     large = (keyed.groupBy(F.col("host").alias("large")).agg(F.sum(F.octet_length("html")).alias("bytes"))
              .where(F.col("bytes") > shard_bytes)
              .select("large", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards")))
     large, _ = stored(large, "large-hosts")
-    few = large.count() <= BROADCAST_HOSTS
-    dealt = keyed.join(F.broadcast(large) if few else large, keyed.host == large.large, "left").withColumn(
-        "shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int")).select(
-        "page_id", "url", "html", "host", "shard")
-    if not few:  # the join has put a host's pages together; its shards part again
-        dealt = dealt.repartition("host", "shard")
-    return dealt.groupBy("host", "shard").applyInPandas(
-        _extract_shard, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")
+    n = large.count()
+    if not n:
+        return keyed.groupBy("host").applyInPandas(_extract_host, _ROW)
+    large = F.broadcast(large) if n <= BROADCAST_HOSTS else large
+    dealt = keyed.join(large, keyed.host == large.large).select(
+        "host", "shards", F.pmod(F.xxhash64("page_id", "url"), "shards").cast("int").alias("shard"), "page_id", "url", "html")
+    rest = keyed.join(large, keyed.host == large.large, "left_anti")
+    return rest.groupBy("host").applyInPandas(_extract_host, _ROW).unionByName(_extract_shards(dealt))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,21 @@ def test_host(spark):
     urls = ["https://www.A.org:80/x?y", "http://u:p@b.org/#c", "ftp://c.org", None, "", "no url", "http://d.org?x@y"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(H.host(df.url)).collect()] == ["a.org", "b.org", "c.org", "", "", "", "d.org"]
+
+
+def test_shards_find_what_a_whole_host_finds(spark):
+    rng = np.random.default_rng(3)
+    note = [" ".join(f"n{j}_{i}" for i in range(20)) for j in range(12)]
+    rows = []
+    for k in range(60):
+        # notes of two to five pages each, far fewer than shards, and pages copied with another markup
+        body = "".join(f"<p>own{k} {note[j]} x{k}</p>" for j in rng.choice(12, int(rng.integers(0, 4)), replace=False))
+        rows.append((k, "http://a.org/", f"<body>{body}<p>text {k}</p></body>"))
+        if k % 7 == 0:
+            rows += [(100 + k, "http://a.org/", f"<div>{body}<p>text {k}</p></div>"), rows[-1]]
+    rows += [(300, "http://a.org/", None), (None, "http://a.org/x", "<p>t</p>"), (301, "http://b.org/", f"<p>{note[0]}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, H.extract(df).collect()))
+    assert sum(r.n_covered > 0 for r in H.extract(df).collect()) > 20
+    for size in (20_000, 500):
+        assert sorted(map(str, H.extract(df, shard_bytes=size).collect())) == want
