@@ -1,6 +1,7 @@
 """Nearest neighbours: fixtures and brute force over several blocks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,42 @@ def test_grid_search_ranks_candidates(spark):
     assert all(0.5 < r.auc <= 1.0 for r in rows.values())
     best = EV.best_candidate(res, "auc").first()
     assert best.auc == max(r.auc for r in rows.values())
+
+
+def test_product_and_sums_pick_the_same_neighbours(monkeypatch):
+    rng = np.random.default_rng(21)
+    x = np.concatenate((rng.normal(size=(300, 16)) + 50, np.repeat(rng.normal(size=(5, 16)) + 50, 30, axis=0)))
+    queries = pd.DataFrame({"__qid": np.arange(len(x)), "__qv": list(x), "__limit": np.where(np.arange(len(x)) % 2, np.inf, 5.0),
+                            "__lanes": [np.array([0])] * len(x), "__qg": np.arange(len(x)) % 3})
+    donors = pd.DataFrame({"__did": np.arange(len(x)), "__dv": list(x), "__dg": np.arange(len(x)) % 3, "y": np.arange(len(x))})
+    for digits in (None, 9, 1):
+        for self_out, grouped in ((True, False), (False, True), (False, False)):
+            search = NB._search_cell(7, "euclidean", 2.0, self_out, grouped, ["y"], [], digits)
+            called = []
+            monkeypatch.setattr(NB, "_may_be_near", lambda *a, f=NB._may_be_near: called.append(1) or f(*a))
+            got = search(queries, donors)
+            monkeypatch.undo()
+            monkeypatch.setattr(NB, "PRODUCT_DIM", 1000)
+            want = search(queries, donors)
+            monkeypatch.undo()
+            assert called
+            by = ["__qid", "__key", "__did"]
+            pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True), want.sort_values(by, ignore_index=True), check_dtype=False)
+
+
+def test_a_query_moves_once_for_a_bin_of_cells(spark):
+    """Nothing is pruned in 24 dimensions: rows moved follow the bins, not the cells."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(1500, 24))
+    df, report = _points(spark, x, "q"), []
+    nn = NB.nearest_neighbours(df, df.withColumnRenamed("q", "d"), k=3, q_id="q", q_vec="v", d_id="d", d_vec="v",
+                               exclude_self=True, rank_digits=9, cell_rows=8, report=report)
+    assert _found(nn) == _brute(x, x, 3, 2, 9, lambda i, j: i != j)
+    assert sum(report) < 1500 * 100  # by cells of 8: more than 1500 * 187
+
+
+def test_lists_of_bins_keep_no_distance_matrix():
+    rng = np.random.default_rng(23)
+    cells = NB.Cells(rng.normal(size=(200, 3)), "euclidean", 2.0)
+    cells.sizes, cells.bins = np.ones((200, 1), np.int64), np.arange(200, dtype=np.int32) // 4
+    assert all(x.base is None for x in cells.first(rng.normal(size=(50, 3)), [[0]] * 50, 5, False))
