@@ -12,8 +12,8 @@ another page quotes or copies it.
 
 from __future__ import annotations
 
-import json
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 from typing import NamedTuple
@@ -206,16 +206,17 @@ class _Streams:
     each, so that no run crosses them."""
 
     def __init__(self, streams: list[tuple[str, ...]], run: int):
-        vocab: dict[str, int] = {}
-        ids, owner, self.starts, at = [], [], [], 0
-        for k, words in enumerate(streams):
-            self.starts.append(at)
-            ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words)))
-            ids.append(np.array([-1 - k]))
-            owner.append(np.full(len(words) + 1, k))
-            at += len(words) + 1
-        self.streams, self.run, self.vocab = streams, run, vocab
-        self.tokens, self.owner = np.concatenate(ids), np.concatenate(owner)
+        sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+        words = np.empty(int(sizes.sum()), object)
+        words[:] = [w for words in streams for w in words]
+        ids, self.vocab = pd.factorize(words)
+        ends = np.cumsum(sizes + 1) - 1
+        self.owner = np.repeat(np.arange(len(streams)), sizes + 1)
+        self.tokens = -1 - self.owner
+        inside = np.ones(len(self.tokens), bool)
+        inside[ends] = False
+        self.tokens[inside] = ids
+        self.streams, self.run, self.starts = streams, run, ends - sizes
 
     def shared(self, least: int) -> np.ndarray:
         """Whether ``least`` streams hold the run at each position."""
@@ -310,50 +311,76 @@ def _extract_host(frame: pd.DataFrame) -> pd.DataFrame:
 
 # --- hosts of many tasks --------------------------------------------------------------------------
 
-_PARSED = "host string, shards int, shard int, page_id long, url string, blocks string, words string, stream long"
+_MARKS = "host string, shards int, shard int, stream binary, marks binary"
+_TOLD = "host string, shard int, place long, hashes binary, n binary"
+_HEARD = "host string, shard int, hashes binary"
 
 
-def _parse_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pages with their blocks (without the words, which are one string) and the hash of their token stream."""
-    parsed = [blocks_of(h) if h else ([], []) for h in frame["html"]]
-    words = [" ".join(w for b in blocks for w in b.words) for blocks, _ in parsed]
-    return frame[["host", "shards", "shard", "page_id", "url"]].assign(
-        blocks=[json.dumps([[[len(b.words), b.linked, b.junk, b.inside] for b in blocks], kinds]) for blocks, kinds in parsed],
-        words=words, stream=[int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in words])
+def _words(blocks: list[Block]) -> tuple[str, ...]:
+    return tuple(w for b in blocks for w in b.words)
+
 
+def _stream(words: tuple[str, ...]) -> bytes:
+    """The hash of a token stream."""
+    return blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
-def _streams_of(frame: pd.DataFrame) -> _Streams:
-    return _Streams([tuple(w.split(" ")) if w else () for w in frame["words"]], RUN_TOKENS)
 
+def _page_marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The marks of each page, without repeats side by side; some MB of html at a time."""
+    for frame in frames:
+        size = np.cumsum([len(h) if h else 0 for h in frame["html"]], dtype=np.int64)
+        for _, some in frame.groupby(size // SHARD_BYTES, sort=False):
+            words = [_words(blocks_of(h)[0]) if h else () for h in some["html"]]
+            streams = _Streams(words, RUN_TOKENS)
+            at = streams.whole()
+            marks, owner = streams.marks(at), streams.owner[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1])
+            cuts = np.searchsorted(owner[new], np.arange(1, len(words)))
+            yield some[["host", "shards", "shard"]].assign(
+                stream=[_stream(w) for w in words],
+                marks=[m.tobytes() for m in np.split(marks[new], cuts)]).drop_duplicates(["host", "shard", "stream"])
 
-def _told(frame: pd.DataFrame, hashes: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
-    """Every hash of a shard once with the number of its streams there, dealt
-    to as many places as the host has shards."""
+
+def _told(key: tuple, shards: int, hashes: np.ndarray, owner: np.ndarray, counted: np.ndarray) -> pd.DataFrame:
+    """Every hash of a shard once with the number of its streams that count
+    there, dealt to as many places as the host has shards."""
     values, code = np.unique(hashes, return_inverse=True)
-    n = np.minimum(_n_owners(code, owner, len(values)), RUN_PAGES).astype(np.uint8)
-    place = (values % np.uint64(frame["shards"].iloc[0])).astype(np.int64)
+    once = np.unique(code * max(1, len(counted)) + owner)
+    found = np.bincount(once // max(1, len(counted)), counted[once % max(1, len(counted))], len(values))
+    n = np.minimum(found, RUN_PAGES).astype(np.uint8)
+    place = (values % np.uint64(shards)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     places, cuts = np.unique(place[order], return_index=True)
     cuts = cuts[1:]
-    return pd.DataFrame({"host": frame["host"].iloc[0], "part": frame["part"].iloc[0], "place": places,
+    return pd.DataFrame({"host": key[0], "shard": key[1], "place": places,
                          "hashes": [x.tobytes() for x in np.split(values[order], cuts)][:len(places)],
                          "n": [x.tobytes() for x in np.split(n[order], cuts)][:len(places)]})
 
 
-def _shard_marks(frame: pd.DataFrame) -> pd.DataFrame:
-    streams = _streams_of(frame)
-    at = streams.whole()
-    return _told(frame, streams.marks(at), streams.owner[at])
+def _numbers(found: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in found]])
 
 
-def _shard_runs(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    """The runs whose mark ``RUN_PAGES`` streams of the host have: no others can be shared by so many."""
+def _shard_marks(key: tuple, frame: pd.DataFrame, away: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.drop_duplicates("stream")
     if not len(frame):
-        return pd.DataFrame({c: [] for c in ("host", "part", "place", "hashes", "n")})
-    streams = _streams_of(frame)
+        return pd.DataFrame({c: [] for c in ("host", "shard", "place", "hashes", "n")})
+    sizes = frame["marks"].map(len).to_numpy(np.int64) // 8
+    return _told(key, int(frame["shards"].iloc[0]), _numbers(frame["marks"]), np.repeat(np.arange(len(frame)), sizes),
+                 ~frame["stream"].isin(away["hashes"]).to_numpy(bool))
+
+
+def _shard_runs(key: tuple, frame: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
+    """The runs whose mark ``RUN_PAGES`` streams of the host have: no others can be shared by so many."""
+    words = list(dict.fromkeys(_words(blocks_of(h)[0]) if h else () for h in frame["html"]))
+    if not words:
+        return pd.DataFrame({c: [] for c in ("host", "shard", "place", "hashes", "n")})
+    streams, away = _Streams(words, RUN_TOKENS), set(heard["hashes"][heard["away"]])
     at = streams.whole()
-    at = at[np.isin(streams.marks(at), _heard(marks))]
-    return _told(frame, streams.hashes(streams.run)[at], streams.owner[at])
+    at = at[np.isin(streams.marks(at), _numbers(heard["hashes"][~heard["away"]]))]
+    return _told(key, int(frame["shards"].iloc[0]), streams.hashes(streams.run)[at], streams.owner[at],
+                 np.array([_stream(w) not in away for w in words]))
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
@@ -362,60 +389,48 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     values, code = np.unique(np.concatenate(hashes), return_inverse=True)
     n = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["n"]])
     common = values[np.bincount(code, n, len(values)) >= RUN_PAGES]
-    return frame[["host", "part"]].assign(hashes=[h[np.isin(h, common)].tobytes() for h in hashes])
+    return frame[["host", "shard"]].assign(hashes=[h[np.isin(h, common)].tobytes() for h in hashes])
 
 
-def _heard(frame: pd.DataFrame) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(h, np.uint64) for h in frame["hashes"]]])
-
-
-def _cover_shard(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    """The covered tokens of a shard's streams (a bit each)."""
-    if not len(frame):
-        return pd.DataFrame({"host": [], "stream": [], "covered": []})
-    streams = _streams_of(frame)
+def _extract_shard(frame: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    parsed = [blocks_of(h) if h else ([], []) for h in frame["html"]]
+    same: dict[tuple[str, ...], int] = {}
+    content = [same.setdefault(_words(blocks), len(same)) for blocks, _ in parsed]
+    if not same:
+        return _rows(frame, [], [])
+    streams = _Streams(list(same), RUN_TOKENS)
     shared, at = np.zeros(len(streams.tokens), bool), streams.whole()
-    shared[at[np.isin(streams.hashes(streams.run)[at], _heard(runs))]] = True
-    return frame[["host", "stream"]].assign(covered=[np.packbits(c).tobytes() for c in streams.covered(shared)])
-
-
-def _extract_parsed(frame: pd.DataFrame) -> pd.DataFrame:
-    parsed, covered = [], []
-    for blocks, words, bits in zip(frame["blocks"], frame["words"], frame["covered"]):
-        (blocks, kinds), words, at, out = json.loads(blocks), words.split(" ") if words else [], 0, []
-        for n, linked, junk, inside in blocks:
-            out.append(Block(tuple(words[at:at + n]), linked, junk, tuple(inside)))
-            at += n
-        parsed.append((out, kinds))
-        covered.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool))
-    return _rows(frame, parsed, covered)
+    shared[at[np.isin(streams.hashes(streams.run)[at], _numbers(runs["hashes"]))]] = True
+    covered = streams.covered(shared)
+    return _rows(frame, parsed, [covered[c] for c in content])
 
 
 def _extract_shards(dealt: DataFrame) -> DataFrame:
     """The rows of ``dealt(host, shards, shard, page_id, url, html)`` as one task
-    would find them that held a whole host. Streams are dealt by their content,
-    so that equal ones are one and the counts of the shards add up. Shards tell
-    each other the hashes of their marks, then those of the runs with a common mark."""
+    would find them that held a whole host. Shards tell each other the hashes of
+    their marks, then those of the runs with a common mark. Of equal streams the
+    one in the first shard counts, the others are away from home.
+
+    Pages are parsed in each of three passes and not kept in between: the text
+    of a page is nearly as large as its html, so one exchange of the html is
+    what there is on disk at a time, and beside it the hashes."""
     spark = dealt.sparkSession
-    pages, pages_path = stored(dealt.groupBy("host", "shard").applyInPandas(_parse_shard, _PARSED), "host-pages")
-    streams, streams_path = stored(pages.select("host", "stream", "shards", "words").dropDuplicates(["host", "stream"]).select(
-        "host", "stream", "shards", F.pmod("stream", "shards").cast("int").alias("part"), "words"), "host-streams")
-    by_shard = streams.groupBy("host", "part")
-    told, heard = "host string, part int, place long, hashes binary, n binary", "host string, part int, hashes binary"
+    marked, marked_path = stored(dealt.select("host", "shards", "shard", "html").mapInPandas(_page_marks, _MARKS), "host-marked")
+    places = marked.groupBy("host", "stream").agg(F.collect_set("shard").alias("shards")).where(F.size("shards") > 1)
+    away, away_path = stored(places.select("host", F.explode(F.filter("shards", lambda s: s != F.array_min("shards"))).alias("shard"),
+                                           F.col("stream").alias("hashes")), "host-away")
+    by_shard = dealt.groupBy("host", "shard")
 
     def common(found: DataFrame, name: str) -> tuple[DataFrame, str]:
-        return stored(found.groupBy("host", "place").applyInPandas(_meet, heard), name)
-    marks, marks_path = common(by_shard.applyInPandas(_shard_marks, told), "host-marks")
-    runs, runs_path = common(by_shard.cogroup(marks.groupBy("host", "part")).applyInPandas(_shard_runs, told), "host-runs")
+        return stored(found.groupBy("host", "place").applyInPandas(_meet, _HEARD), name)
+    marks, marks_path = common(marked.groupBy("host", "shard").cogroup(away.groupBy("host", "shard")).applyInPandas(
+        _shard_marks, _TOLD), "host-marks")
+    delete_path(spark, marked_path)
+    heard = marks.withColumn("away", F.lit(False)).unionByName(away.withColumn("away", F.lit(True)))
+    runs, _ = common(by_shard.cogroup(heard.groupBy("host", "shard")).applyInPandas(_shard_runs, _TOLD), "host-runs")
     delete_path(spark, marks_path)
-    covered, covered_path = stored(by_shard.cogroup(runs.groupBy("host", "part")).applyInPandas(
-        _cover_shard, "host string, stream long, covered binary"), "host-covered")
-    delete_path(spark, streams_path)
-    delete_path(spark, runs_path)
-    rows, _ = stored(pages.join(covered, ["host", "stream"]).groupBy("host", "shard").applyInPandas(_extract_parsed, _ROW), "host-texts")
-    delete_path(spark, pages_path)
-    delete_path(spark, covered_path)
-    return rows
+    delete_path(spark, away_path)
+    return by_shard.cogroup(runs.groupBy("host", "shard")).applyInPandas(_extract_shard, _ROW)
 
 
 def host(url: Column) -> Column:

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -116,3 +118,23 @@ def test_shards_find_what_a_whole_host_finds(spark):
     assert sum(r.n_covered > 0 for r in H.extract(df).collect()) > 20
     for size in (20_000, 500):
         assert sorted(map(str, H.extract(df, shard_bytes=size).collect())) == want
+
+
+def test_shards_keep_hashes_and_no_texts(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    note = " ".join(f"note{i}" for i in range(20))
+    rows = [(k, "http://a.org/", f"<body><p>{note}</p><p>{' '.join(rng.bytes(4).hex() for _ in range(300))}</p></body>")
+            for k in range(200)]
+    rows += [(k, "http://a.org/", None) for k in (300, 301)] + [(400 + k, f"http://a.org/{k}", rows[0][2]) for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want, written, whole = sorted(map(str, H.extract(df).collect())), [], H.stored
+
+    def stored(table, name):
+        out, path = whole(table, name)
+        written.append(sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet")))
+        return out, path
+    monkeypatch.setattr(H, "stored", stored)
+    assert sorted(map(str, H.extract(df, shard_bytes=20_000).collect())) == want
+    df.write.parquet(str(tmp_path / "pages"))
+    # texts would be as large as the pages
+    assert len(written) > 1 and sum(written) < 0.6 * sum(f.stat().st_size for f in (tmp_path / "pages").rglob("*.parquet"))
