@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 FIT_TASKS, ADD_TASKS = 16, 4
 #: Partitions up to which the tasks' arrays go to the driver as they are: one task has added up its own.
 DIRECT_PARTITIONS = 1
+#: Bytes of all tasks' arrays up to which they go to the driver as they are, where a caller knows their size.
+DIRECT_BYTES = 1 << 20
 _SCHEMA = "key int, sums binary"
 
 
@@ -21,12 +23,16 @@ def dealt(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(max(FIT_TASKS, df.rdd.getNumPartitions()), by)
 
 
-def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], Iterable[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], Iterable[tuple[int, np.ndarray]]],
+               partitions: int | None = None, sums_bytes: int | None = None) -> dict[int, np.ndarray]:
     """The sums by key of the arrays of doubles that ``part`` gives for each
     batch of rows. A task adds its batches up and sends one array a key; their
     number and size must be bounded by parameters. Other tasks add those of a key,
     so what comes to the driver does not grow with the partitions. Arrays are
-    added in a fixed order, so equal partitions give equal sums."""
+    added in a fixed order, so equal partitions give equal sums.
+
+    A loop may name the partitions, which saves planning, and the bytes of a
+    task's arrays: if those of all tasks are few, the driver adds them itself."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for frame in frames:
@@ -45,7 +51,10 @@ def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], Iterable[tuple[int,
             yield pd.DataFrame({"key": [key], "sums": [np.sum([np.frombuffer(b) for b in sorted(held[key])], axis=0).tobytes()]})
 
     found = df.mapInPandas(run, _SCHEMA)
-    if df.rdd.getNumPartitions() > DIRECT_PARTITIONS:
+    partitions = partitions or df.rdd.getNumPartitions()
+    if sums_bytes is not None and partitions * sums_bytes <= DIRECT_BYTES:
+        return {r["key"]: np.frombuffer(r["sums"]) for frame in add([found.toPandas()]) for r in frame.to_dict("records")}
+    if partitions > DIRECT_PARTITIONS:
         # the tasks' arrays are added by key in a few others, so the driver gets one a key
         found = found.repartition(ADD_TASKS, "key").mapInPandas(add, _SCHEMA)
     return {r["key"]: np.frombuffer(r["sums"]) for r in found.collect()}
