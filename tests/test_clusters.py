@@ -218,3 +218,25 @@ def test_micro_cluster_query_places_every_point(spark, tmp_path, monkeypatch):
     row = Q._misplaced(z.select("vec_id", "z"), swapped, centres.select("micro_id", "centre"), id_col="vec_id", vec="z",
                        cluster="micro_id", centre="centre").first()
     assert row["n_points"] == 60 and row["n_misplaced"] > 50
+
+
+def test_micro_cluster_query_counts_every_placed_point(spark, tmp_path, monkeypatch):
+    from hearth.plans import q_clusters as Q
+    rng = np.random.default_rng(4)
+    # far groups, of which one has rows without an id and one rows of one id
+    rows = [([None, 7, i][i % 3], [float(v) for v in rng.normal(size=Q.DIM) + 50 * (i % 3)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(Q, "MICRO_K", 3)
+    got = Q.micro_cluster(spark, str(tmp_path)).collect()
+    assert [(r["size"], r["n_points"], r["n_misplaced"]) for r in got] == [(20, 20, 0)] * 3
+    # against centres of which one is wrong, its points are misplaced
+    real = Q.CL.micro_cluster
+
+    def off(df, **how):
+        assign, centres = real(df, **how)
+        least = centres.agg(Q.F.min("micro_id")).first()[0]
+        return assign, centres.withColumn("centre", Q.F.when(centres.micro_id == least, Q.F.transform("centre", lambda x: x + 1000.0)).otherwise(
+            Q.F.col("centre")))
+    monkeypatch.setattr(Q.CL, "micro_cluster", off)
+    got = Q.micro_cluster(spark, str(tmp_path)).collect()
+    assert sum(r["n_points"] for r in got) == 60 and sorted(r["n_misplaced"] for r in got) == [0, 0, 20]
