@@ -8,15 +8,18 @@ any parameters) share the passes, and the scores after any number of rounds
 come from one fit.
 
 A row's margins are part of the row's table as of an earlier round; a task adds
-the trees grown since, and the table is written anew every ``ROUNDS_HELD``
-rounds. Row samples are a hash of (id, round), column samples a function of the
-round, so a retried task sees the same ones.
+the trees grown since, and the table is written anew after some rounds, fewer the
+more margins it holds. Models that differ in ``gamma`` alone grow the same trees
+until one of them prunes a split that another keeps: until then they are fitted
+as one, with one margin a row. Row samples are a hash of (id, round), column
+samples a function of the round, so a retried task sees the same ones.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.operators.partials import array_sums, dealt
-from hearth.session import cut_lineage
+from hearth.session import delete_path, shared_path
 
-MAX_BINS, ROUNDS_HELD = 256, 10
+#: Most rounds for which a table of rows stands; with h rounds held and m margins in it, h * h * m stays below the last.
+MAX_BINS, ROUNDS_HELD, MARGINS_HELD = 256, 10, 4_000_000
 LEAST_GAIN = 1e-6
 
 
@@ -60,12 +64,15 @@ class Tree:
         n = (1 << (depth + 1)) - 1
         return cls(np.full(n, -1), np.zeros(n, int), np.zeros(n), np.zeros(n))
 
-    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        node, rows = np.zeros(len(bins), int), np.arange(len(bins))
-        for _ in range(len(self.feature).bit_length() - 1):
-            f = self.feature[node]
-            below = 2 * node + 1 + (bins[rows, f] > self.cut[node])
-            node = np.where(f >= 0, below, node)
+    def leaf_of(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node that each row has reached after ``levels`` splits (default: its leaf)."""
+        split, every = self.feature >= 0, np.arange(len(self.feature))
+        feature, flat, first = np.maximum(self.feature, 0), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        # a leaf is its own child on both sides
+        cut, left = np.where(split, self.cut, np.iinfo(np.int64).max), np.where(split, 2 * every + 1, every)
+        node = np.zeros(len(bins), np.int64)
+        for _ in range(len(self.feature).bit_length() - 1 if levels is None else levels):
+            node = left[node] + (flat[first + feature[node]] > cut[node])
         return node
 
 
@@ -94,12 +101,20 @@ def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def level_sums(bins, g, h, node, level: int, n_bins: int) -> np.ndarray:
-    """Gradient and hessian sums by (node of the level, feature, bin)."""
-    first, width, d = (1 << level) - 1, 1 << level, bins.shape[1]
-    here = (node >= first) & (node < first + width)
-    at = (((node[here] - first)[:, None] * d + np.arange(d)) * n_bins + bins[here]).ravel()
-    size = width * d * n_bins
-    return np.stack([np.bincount(at, np.repeat(v[here], d), size) for v in (g, h)]).reshape(2, width, d, n_bins)
+    """Gradient and hessian sums by (node of the level, feature, bin); ``bins``
+    has a row for each feature, and the nodes are none below the level."""
+    first, width, d = (1 << level) - 1, 1 << level, len(bins)
+    if level:
+        here = node >= first
+        if not here.all():
+            bins, g, h, node = bins[:, here], g[here], h[here], node[here]
+        place = (node - first) * n_bins
+    out = np.empty((2, width, d, n_bins))
+    for f in range(d):
+        at = bins[f] + place if level else bins[f]
+        for i, v in enumerate((g, h)):
+            out[i, :, f] = np.bincount(at, v, width * n_bins).reshape(width, n_bins)
+    return out
 
 
 def split_level(tree: Tree, sums: np.ndarray, level: int, p: BoostParams, columns: np.ndarray) -> None:
@@ -168,6 +183,26 @@ class Boosted:
     bounds: list[np.ndarray]
     trees: list[list[Tree]] = field(default_factory=list)  # by round, then model (None when the model is done)
 
+    def stage_scores(self, x: np.ndarray, models: Sequence[int], stages: Sequence[int]) -> np.ndarray:
+        """Probabilities of class 1 by some of the models after each of
+        ``stages`` rounds: rows x models x stages. Models of equal trees so far
+        are one."""
+        bins, stages = binned(x, self.bounds), list(stages)
+        out, alike = np.zeros((len(x), len(models), len(stages))), [([*range(len(models))], np.zeros(len(x)))]
+        for r in range(max(stages) + 1):
+            if r in stages:
+                for some, margin in alike:
+                    out[:, some, stages.index(r)] = (1.0 / (1.0 + np.exp(-margin)))[:, None]
+            if r < len(self.trees):
+                by_tree: dict = {}
+                for k, (some, margin) in enumerate(alike):
+                    for i in some:
+                        tree = self.trees[r][models[i]]
+                        by_tree.setdefault((k, id(tree)), (tree, margin, []))[2].append(i)
+                alike = [(some, margin if tree is None else margin + tree.value[tree.leaf_of(bins)])
+                         for tree, margin, some in by_tree.values()]
+        return out
+
     def score(self, df: DataFrame, *, stages: Sequence[Sequence[int]] | None = None) -> DataFrame:
         """``df`` with one row for each model and stage (a number of rounds;
         default the model's own): ``model``, ``stage`` and the probability
@@ -208,57 +243,93 @@ def boost(df: DataFrame, params: Sequence[BoostParams], *, features: Sequence[st
     rows = df.where(F.col(label).isNotNull()).select(
         F.col(id_col).cast("long").alias("__id"), F.col(label).cast("double").alias("__y"),
         (F.col(fold_col) if fold_col else F.lit(-1)).cast("int").alias("__fold"), *features)
-    held = "__id long, __y double, __fold int, __bins array<int>, __margins array<double>"
+    held, spark = "__id long, __y double, __fold int, __bins binary, __margins binary", df.sparkSession
+    width = np.uint8 if n_bins <= 256 else np.int32
+    paths: list[str] = []
+
+    def written(some: DataFrame) -> tuple[DataFrame, int]:
+        paths.append(shared_path(spark, "boost-rows"))
+        some.write.parquet(paths[-1])
+        if len(paths) > 1:
+            delete_path(spark, paths.pop(0))
+        now = spark.read.schema(held).parquet(paths[0])
+        return now, now.rdd.getNumPartitions()
 
     def start(frames):
         for frame in frames:
-            yield frame[["__id", "__y", "__fold"]].assign(__bins=list(binned(_numbers(frame, features), bounds)),
-                                                          __margins=list(np.zeros((len(frame), n_models))))
+            bins = binned(_numbers(frame, features), bounds).astype(width)
+            yield frame[["__id", "__y", "__fold"]].assign(__bins=[b.tobytes() for b in bins], __margins=b"")
 
-    def margins_after(frame, trees):
-        bins = np.stack(frame["__bins"]).astype(np.int64) if len(frame) else np.zeros((0, d), np.int64)
-        margins = np.stack(frame["__margins"]).astype(np.float64) if len(frame) else np.zeros((0, n_models))
+    def state_of(frame):
+        bins = np.frombuffer(b"".join(frame["__bins"]), width).reshape(len(frame), d)
+        return bins, np.frombuffer(b"".join(frame["__margins"])).reshape(len(frame), -1)
+
+    def margin_of(m, rows, bins, margins, column, trees):
+        """Margins of some rows by model ``m`` after all of ``trees``."""
+        margin = margins[rows, column[m]] if m in column else np.zeros(len(rows))
         for by_model in trees:
-            for m, tree in enumerate(by_model):
-                if tree is not None:
-                    margins[:, m] += tree.value[tree.leaf_of(bins)]
-        return bins, margins
+            if by_model[m] is not None:
+                margin = margin + by_model[m].value[by_model[m].leaf_of(bins)]
+        return margin
 
-    def sums(trees, growing, level, round_):
+    def sums(column, trees, growing, level, round_):
         def part(frame):
-            bins, margins = margins_after(frame, trees)
+            bins, margins = state_of(frame)
             ids, fold, y = frame["__id"].to_numpy(), frame["__fold"].to_numpy(), frame["__y"].to_numpy()
+            drawn = {}
             for m, tree in growing.items():
                 p = params[m]
-                mine = np.ones(len(frame), bool) if p.fold is None else fold != p.fold
-                if p.subsample < 1:
-                    mine &= uniform(ids, round_, p.seed) < p.subsample
-                g, h = gradients(margins[mine, m], y[mine])
-                yield m, level_sums(bins[mine], g, h, tree.leaf_of(bins[mine]), level, n_bins).ravel()
+                if (p.fold, p.subsample, p.seed) not in drawn:
+                    mine = np.ones(len(frame), bool) if p.fold is None else fold != p.fold
+                    if p.subsample < 1:
+                        mine &= uniform(ids, round_, p.seed) < p.subsample
+                    rows = np.flatnonzero(mine)
+                    drawn[p.fold, p.subsample, p.seed] = rows, bins[rows], np.ascontiguousarray(bins[rows].T, np.int64), y[rows]
+                rows, mine, turned, wanted = drawn[p.fold, p.subsample, p.seed]
+                g, h = gradients(margin_of(m, rows, mine, margins, column, trees), wanted)
+                yield m, level_sums(turned, g, h, tree.leaf_of(mine, level) if level else None, level, n_bins).ravel()
         return part
 
-    state = cut_lineage(dealt(rows, "__id").mapInPandas(start, held), "boost-rows")
-    since = 0
+    state, parts = written(dealt(rows, "__id").mapInPandas(start, held))
+    n_rows, since, column = state.count(), 0, {}
+    by_kin: dict = {}
+    for m, p in enumerate(params):
+        by_kin.setdefault(replace(p, gamma=0.0, rounds=0), []).append(m)
+    kin = list(by_kin.values())
     for round_ in range(max(p.rounds for p in params)):
-        growing = {m: Tree.empty(p.depth) for m, p in enumerate(params) if round_ < p.rounds}
+        # the first of each kin grows the tree of all
+        kin = [some for some in ([m for m in every if round_ < params[m].rounds] for every in kin) if some]
+        growing = {some[0]: Tree.empty(params[some[0]].depth) for some in kin}
         for level in range(max(params[m].depth for m in growing)):
             todo = {m: t for m, t in growing.items() if level < params[m].depth and (
                 not level or (t.feature[(1 << (level - 1)) - 1:(1 << level) - 1] >= 0).any())}
             if not todo:
                 break
-            found = array_sums(state, sums(out.trees[since:], todo, level, round_))
+            found = array_sums(state, sums(column, out.trees[since:], todo, level, round_), partitions=parts)
             for m in todo:
                 if m in found:
                     split_level(todo[m], found[m].reshape(2, 1 << level, d, n_bins), level, params[m],
                                 columns_of(params[m], d, round_))
-        for m, tree in growing.items():
-            prune(tree, params[m].gamma)
-        out.trees.append([growing.get(m) for m in range(n_models)])
-        if len(out.trees) - since >= ROUNDS_HELD and round_ + 1 < max(p.rounds for p in params):
-            grown = out.trees[since:]
-
-            def settle(frames, grown=grown):
+        grown: list[Tree | None] = [None] * n_models
+        split_kin: dict = {}
+        for k, some in enumerate(kin):
+            for m in some:
+                tree = replace(growing[some[0]], feature=growing[some[0]].feature.copy())
+                prune(tree, params[m].gamma)
+                alike = split_kin.setdefault((k, tree.feature.tobytes()), (tree, []))
+                grown[m] = alike[0]
+                alike[1].append(m)
+        kin = [some for _, some in split_kin.values()]
+        out.trees.append(grown)
+        hold = max(1, min(ROUNDS_HELD, math.isqrt(MARGINS_HELD // max(1, n_rows * len(kin)))))
+        if len(out.trees) - since >= hold and round_ + 1 < max(p.rounds for p in params):
+            def settle(frames, first=[some[0] for some in kin], column=column, trees=out.trees[since:]):
                 for frame in frames:
-                    yield frame.assign(__margins=list(margins_after(frame, grown)[1]))
-            state, since = cut_lineage(state.mapInPandas(settle, held), "boost-rows"), len(out.trees)
+                    bins, margins = state_of(frame)
+                    every = np.arange(len(frame))
+                    now = np.stack([margin_of(m, every, bins, margins, column, trees) for m in first], axis=1)
+                    yield frame.assign(__margins=[v.tobytes() for v in now])
+            state, parts = written(state.mapInPandas(settle, held))
+            since, column = len(out.trees), {m: i for i, some in enumerate(kin) for m in some}
+    delete_path(spark, paths[0])
     return out

@@ -9,6 +9,8 @@
   once; every smaller k and both weightings follow from the ranks;
 * SVM: one run of Newton passes fits every (fold, C, gamma).
 
+A task writes the scores of all a model's candidates as one array a row, and
+none of folds that are not asked for; the long form below is read from those.
 Scores are out of fold, ``candidate, id, fold, label, score, is_train``; with
 ``train_side`` the rows that a fold's model was trained on come as well, ``fold``
 being the one held out.
@@ -21,7 +23,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame
@@ -59,8 +61,37 @@ def _sided(scores: DataFrame, candidate: Column, held: Column, train_side: bool,
     return out if train_side else out.where(~F.col("is_train"))
 
 
-def _literal(values: Sequence, at: str = "model") -> Column:
-    return F.array(*[F.lit(v) for v in values])[F.col(at)]
+def _scored(df: DataFrame, scores: Callable[[np.ndarray, int], np.ndarray], folds: Sequence[int], *, features: Sequence[str],
+            id_col: str, label: str, fold_col: str, train_side: bool) -> DataFrame:
+    """``id, own, label, held, scores``: each row with what ``scores(features,
+    fold)`` gives it (rows x candidates) for its own fold if that is one of
+    ``folds``, or for all of them with ``train_side``. Written once."""
+    names = ["id", "own", "label", "held", "scores"]
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(1).to_numpy(zero_copy_only=False)
+            x = np.stack([batch.column(3 + i).to_numpy(zero_copy_only=False) for i in range(len(features))], axis=1)
+            for f in folds:
+                at = np.arange(len(own)) if train_side else np.flatnonzero(own == f)
+                if not len(at):
+                    continue
+                found = scores(x[at], f)
+                some = batch.select([0, 1, 2]).take(pa.array(at))
+                ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * found.shape[1])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(at), f, np.int32)), pa.ListArray.from_arrays(
+                    ends, pa.array(np.ascontiguousarray(found).ravel(), from_pandas=True))], names=names)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(fold_col).cast("int").alias("own"),
+                     F.col(label).cast("int").alias("label"), *[F.col(c).cast("double") for c in features])
+    if not train_side:
+        rows = rows.where(F.col("own").isin(*folds))
+    return cut_lineage(rows.mapInArrow(run, "id long, own int, label int, held int, scores array<double>"), "fold-scores")
+
+
+def _long(wide: DataFrame, names: Sequence[str], train_side: bool) -> DataFrame:
+    """A row for each of the ``names`` that the arrays of ``wide`` hold scores of."""
+    each = wide.select("id", "own", "label", "held", F.posexplode("scores").alias("i", "score"))
+    return _sided(each, F.array(*map(F.lit, names))[F.col("i")], F.col("held"), train_side, id_col="id", label="label", fold_col="own")
 
 
 def boosted_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Sequence[str], id_col: str, label: str = "y",
@@ -71,21 +102,22 @@ def boosted_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seque
     models = [(p, f) for p in points for f in range(n_folds)]
     fit = boost(df, [BoostParams(rounds=max(rounds), fold=f, **p) for p, f in models], features=features, id_col=id_col,
                 label=label, fold_col=fold_col, max_bins=max_bins)
-    scores = fit.score(df.select(id_col, fold_col, label, *features), stages=[rounds] * len(models))
-    stage = {r: i for i, r in enumerate(rounds)}
-    names = [[name_of("gbt", {"rounds": r, **p}) for r in rounds] for p, _ in models]
-    at = F.array(*[F.array(*map(F.lit, n)) for n in names])[F.col("model")]
-    place = F.array(*[F.lit(stage.get(r, -1)) for r in range(max(rounds) + 1)])[F.col("stage")]
-    return _sided(scores, at[place], _literal([f for _, f in models]), train_side, id_col=id_col, label=label, fold_col=fold_col)
+    names = [name_of("gbt", {"rounds": r, **p}) for p in points for r in rounds]
+
+    def scores(x, f):
+        return fit.stage_scores(x, range(f, len(models), n_folds), rounds).reshape(len(x), -1)
+    wide = _scored(df, scores, range(n_folds), features=features, id_col=id_col, label=label, fold_col=fold_col, train_side=train_side)
+    return _long(wide, names, train_side)
 
 
 def svm_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Sequence[str], id_col: str, label: str = "y",
              fold_col: str = "fold", n_folds: int = C.N_FOLDS, train_side: bool = False) -> DataFrame:
-    models = [(p, f) for p in EV.param_grid(grid) for f in range(n_folds)]
-    fit = fit_svm(df, [SvmParams(fold=f, **p) for p, f in models], features=features, id_col=id_col, label=label,
-                  fold_col=fold_col)
-    return _sided(fit.score(df.select(id_col, fold_col, label, *features)), _literal([name_of("svm", p) for p, _ in models]),
-                  _literal([f for _, f in models]), train_side, id_col=id_col, label=label, fold_col=fold_col)
+    points = EV.param_grid(grid)
+    fit = fit_svm(df, [SvmParams(fold=f, **p) for p in points for f in range(n_folds)], features=features, id_col=id_col,
+                  label=label, fold_col=fold_col)
+    wide = _scored(df, fit.margins, range(n_folds), features=features, id_col=id_col, label=label, fold_col=fold_col,
+                   train_side=train_side)
+    return _long(wide, [name_of("svm", p) for p in points], train_side)
 
 
 class Forest:
@@ -94,16 +126,19 @@ class Forest:
     def __init__(self, spark, model):
         path = shared_path(spark, "forest")
         model.write().save(path)
-        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+        node = F.col("nodeData")
+        nodes = spark.read.parquet(f"{path}/data").select(
+            "treeID", node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
+            F.coalesce(F.get(node["split"]["leftCategoriesOrThreshold"], 0), F.lit(0.0)).alias("cut"),
+            node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["impurityStats"].alias("share")).toArrow()
         delete_path(spark, path)
-        self.trees = []
-        for tree in range(max(r["treeID"] for r in rows) + 1):
-            nodes = [r for r in rows if r["treeID"] == tree]
-            share = np.array([r["impurityStats"] for r in nodes], np.float64)
-            self.trees.append((np.array([r["split"]["featureIndex"] for r in nodes]),
-                               np.array([(r["split"]["leftCategoriesOrThreshold"] or [0.0])[0] for r in nodes]),
-                               np.array([[r["leftChild"], r["rightChild"]] for r in nodes]),
-                               share[:, 1] / share.sum(axis=1)))
+        at = {c: nodes.column(c).to_numpy() for c in ("treeID", "id", "feature", "cut", "left", "right")}
+        order = np.lexsort((at["id"], at["treeID"]))
+        share = nodes.column("share").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        feature, cut, left, right = (at[c][order] for c in ("feature", "cut", "left", "right"))
+        first = np.flatnonzero(np.diff(at["treeID"][order], prepend=-1))[1:]
+        self.trees = [*zip(*(np.split(v, first) for v in (
+            feature, cut, np.stack([left, right], axis=1), share[:, 1] / share.sum(axis=1))))]
 
     def shares(self, x: np.ndarray, sizes: Sequence[int], depths: Sequence[int]) -> np.ndarray:
         """Probability of class 1: depths x sizes x rows."""
@@ -125,8 +160,7 @@ def forest_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Sequen
                 fold_col: str = "fold", n_folds: int = C.N_FOLDS, train_side: bool = False, seed: int = 1,
                 importances: list | None = None) -> DataFrame:
     sizes, depths, features = list(grid["numTrees"]), list(grid["maxDepth"]), list(features)
-    names = [[name_of("rf", {"numTrees": n, "maxDepth": d}) for n in sizes] for d in depths]
-    schema = "candidate string, id long, own int, label int, score double"
+    names = [name_of("rf", {"numTrees": n, "maxDepth": d}) for d in depths for n in sizes]
     df = cut_lineage(df.select(id_col, fold_col, label, *features), "folds")
 
     def fit(f):
@@ -136,17 +170,10 @@ def forest_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Sequen
         train.unpersist()
         forest = Forest(df.sparkSession, model)
 
-        def score(frames):
-            for frame in frames:
-                share = forest.shares(frame[features].to_numpy(dtype=np.float64), sizes, depths)
-                for d in range(len(depths)):
-                    for n in range(len(sizes)):
-                        yield pd.DataFrame({"candidate": names[d][n], "id": frame[id_col], "own": frame[fold_col],
-                                            "label": frame[label], "score": share[d, n]})
         shares = [(str(f), c, float(v) * 100.0) for c, v in zip(features, model.featureImportances.toArray())]
-        rows = df if train_side else df.where(F.col(fold_col) == f)
-        return shares, _sided(rows.mapInPandas(score, schema), F.col("candidate"), F.lit(f), train_side, id_col="id",
-                              label="label", fold_col="own")
+        wide = _scored(df, lambda x, _: forest.shares(x, sizes, depths).reshape(len(names), -1).T, [f], features=features,
+                       id_col=id_col, label=label, fold_col=fold_col, train_side=train_side)
+        return shares, _long(wide, names, train_side)
 
     fits = together(df.sparkSession, [partial(fit, f) for f in range(n_folds)])
     if importances is not None:
@@ -168,18 +195,19 @@ def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seq
         spaces.append(F.struct(F.lit(f).alias("space"), NB.as_vector(
             [*[(F.col(c).cast("double") - m) / s for c, (m, s) in stats.items()], F.lit(1e9 * f)]).alias("v")))
     placed = cut_lineage(df.select(id_col, fold_col, label, F.explode(F.array(*spaces)).alias("at")).select(
-        id_col, fold_col, F.col(label).cast("double").alias("__y"), "at.*"), "fold-spaces")
-    ask = placed if train_side else placed.where(F.col("space") == F.col(fold_col))
-    ask = ask.select((F.col(id_col) * n_folds + F.col("space")).alias("q"), "v")
+        (F.col(id_col) * n_folds + F.col("at.space")).alias("q"), F.col(id_col).cast("long").alias("id"), F.col(fold_col).alias("own"),
+        F.col(label).alias("label"), F.col(label).cast("double").alias("__y"), "at.*"), "fold-spaces")
+    out_of_fold, in_fold = F.col("space") == F.col("own"), F.col("space") != F.col("own")
     # a donor stands once in each other space, under an id of its own
-    known = placed.where(F.col("space") != F.col(fold_col)).select(
-        (F.col(id_col) * n_folds + F.col("space")).alias("d"), "v", "__y")
+    known = placed.where(in_fold).select(F.col("q").alias("d"), "v", "__y")
     ks, weights = list(grid["k"]), list(grid["weights"])
 
     def scored(p):
-        near = cut_lineage(NB.nearest_neighbours(ask, known, k=max(ks), q_id="q", q_vec="v", d_id="d", d_vec="v", carry=["__y"],
-                                                 metric="minkowski", p=p, rank_digits=rank_digits), "neighbours")
-        y, dist, aggs, names = F.col("__y"), F.col("dist"), [], []
+        names = [name_of("knn", {"k": k, "weights": w, "p": p}) for k in ks for w in weights]
+        ask = placed if train_side else placed.where(out_of_fold)
+        near = cut_lineage(NB.nearest_neighbours(ask.select("q", "v"), known, k=max(ks), q_id="q", q_vec="v", d_id="d", d_vec="v",
+                                                 carry=["__y"], metric="minkowski", p=p, rank_digits=rank_digits), "neighbours")
+        y, dist, aggs = F.col("__y"), F.col("dist"), []
         for k in ks:
             for w in weights:
                 here = F.col("rank") <= k
@@ -189,19 +217,12 @@ def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seq
                     zero = F.avg(F.when(here & (dist == 0), y))
                     value = F.coalesce(zero, F.try_divide(F.sum(F.when(here & (dist > 0), y / dist)),
                                                           F.sum(F.when(here & (dist > 0), 1.0 / dist))))
-                names.append(name_of("knn", {"k": k, "weights": w, "p": p}))
                 aggs.append(value)
-        wide = near.groupBy("q").agg(F.array(*aggs).alias("scores"))
-        at = F.array(*map(F.lit, names))
-        return wide.select("q", F.posexplode("scores").alias("i", "score")).select(
-            at[F.col("i")].alias("candidate"), F.col("q").alias("id"), "score")
+        scores = near.groupBy("q").agg(F.array(*aggs).alias("scores")).join(
+            placed.select("q", "id", "own", "label", F.col("space").alias("held")), "q").drop("q")
+        return _long(cut_lineage(scores, "fold-scores"), names, train_side)
 
-    parts = together(df.sparkSession, [partial(scored, p) for p in grid["p"]])
-    scores = reduce(DataFrame.unionByName, parts)
-    asked = placed.select((F.col(id_col) * n_folds + F.col("space")).alias("id"), F.col(id_col).alias("row"), fold_col, "space",
-                          F.col("__y").alias("label"))
-    return _sided(scores.join(asked, "id"), F.col("candidate"), F.col("space"), train_side, id_col="row", label="label",
-                  fold_col=fold_col)
+    return reduce(DataFrame.unionByName, together(df.sparkSession, [partial(scored, p) for p in grid["p"]]))
 
 
 GRID_SCORES = {"rf": forest_grid, "gbt": boosted_grid, "svm": svm_grid, "knn": neighbour_grid}
@@ -210,14 +231,14 @@ GRID_SCORES = {"rf": forest_grid, "gbt": boosted_grid, "svm": svm_grid, "knn": n
 def grid_scores(df: DataFrame, grids: Mapping[str, Mapping] | None = None, *, features: Sequence[str], id_col: str,
                 label: str = "y", fold_col: str = "fold", n_folds: int = C.N_FOLDS, train_side: bool = False,
                 importances: list | None = None) -> DataFrame:
-    """Scores of every combination of every model's grid, written once."""
+    """Scores of every combination of every model's grid; the arrays that they are read from are written."""
     def scored(m, g):
         more = {"importances": importances} if m == "rf" else {}
         return GRID_SCORES[m](df, g, features=features, id_col=id_col, label=label, fold_col=fold_col,
                               n_folds=n_folds, train_side=train_side, **more)
 
     parts = together(df.sparkSession, [partial(scored, m, g) for m, g in (EV.GRIDS if grids is None else grids).items()])
-    return cut_lineage(reduce(DataFrame.unionByName, parts), "grid-scores")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def chosen_grids(models: Sequence[str] = tuple(EV.MODELS)) -> dict[str, dict]:
@@ -236,8 +257,11 @@ def grid_results(scores: DataFrame) -> DataFrame:
     all at once (train accuracy NULL without that side)."""
     side = lambda train: F.avg(F.when(F.col("is_train") == train, _right()))
     right = scores.groupBy("candidate").agg(side(False).alias("accuracy"), side(True).alias("train_accuracy"))
-    auc = roc_auc(scores.where(~F.col("is_train")), score="score", label="label", positive=1, group_by=["candidate"])
-    return right.join(auc, "candidate").select("candidate", "accuracy", "train_accuracy", "auc")
+    # scores move under a number, not under a name many times as long
+    code = F.xxhash64("candidate").alias("code")
+    auc = roc_auc(scores.where(~F.col("is_train")).select(code, "score", "label"), score="score", label="label", positive=1,
+                  group_by=["code"])
+    return right.select("*", code).join(auc, "code").select("candidate", "accuracy", "train_accuracy", "auc")
 
 
 def compare_grids(df: DataFrame, grids: Mapping[str, Mapping] | None = None, *, features: Sequence[str], id_col: str,

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from hearth.operators.partials import array_sums, dealt
 from hearth.session import cut_lineage
 
 LANDMARKS = 128
+#: Rows whose distances to the landmarks stay in a core's cache.
+KERNEL_ROWS = 512
 #: Half widths of the smoothed corner of the hinge, one after another; in the first all rows start inside it.
 WIDTHS = (2.0, 0.5, 0.1, 0.02)
 STEPS, CLOSE = 25, 1e-6
@@ -49,17 +52,44 @@ class Lift:
         keep = value > 1e-10 * max(value.max(initial=0.0), 1e-300)
         return cls(landmarks, gamma, vector[:, keep] / np.sqrt(value[keep]))
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        """The mapped rows, and a one for the intercept."""
-        z = rbf(x, self.landmarks, self.gamma) @ self.weights
-        return np.hstack((z, np.ones((len(x), 1))))
+    def __call__(self, kernel: np.ndarray) -> np.ndarray:
+        """The mapped rows, whose kernel with the landmarks is given, and a one for the intercept."""
+        out = kernel @ np.hstack((self.weights, np.zeros((len(self.weights), 1))))
+        out[:, -1] = 1.0
+        return out
 
 
 def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
-    apart = np.zeros((len(x), len(y)))
-    for j in range(x.shape[1]):
-        apart += (x[:, j:j + 1] - y[:, j]) ** 2
-    return np.exp(-gamma * apart)
+    return kernels(x, y, [gamma])[0]
+
+
+def kernels(x: np.ndarray, y: np.ndarray, gammas: Sequence[float]) -> list[np.ndarray]:
+    """The kernel of each of ``gammas``, from distances that are made once."""
+    out = [np.empty((len(x), len(y))) for _ in gammas]
+    for a in range(0, len(x), KERNEL_ROWS):
+        some = x[a:a + KERNEL_ROWS]
+        apart = np.zeros((len(some), len(y)))
+        for j in range(x.shape[1]):
+            diff = some[:, j:j + 1] - y[:, j]
+            diff *= diff
+            apart += diff
+        for gamma, k in zip(gammas, out):
+            np.exp(np.multiply(apart, -gamma, out=k[a:a + KERNEL_ROWS]), out=k[a:a + KERNEL_ROWS])
+    return out
+
+
+def lifted(lifts: dict[tuple, Lift], fold: int | None, gammas: Sequence[float], x: np.ndarray) -> dict[float, np.ndarray]:
+    """The rows mapped for a fold by each of ``gammas``, which share the fold's landmarks."""
+    gammas = list(dict.fromkeys(gammas))
+    if not gammas:
+        return {}
+    return {g: lifts[g, fold](k) for g, k in zip(gammas, kernels(x, lifts[gammas[0], fold].landmarks, gammas))}
+
+
+@cache
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a symmetric matrix that tell the others."""
+    return np.triu_indices(n)
 
 
 def hinge(margin: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,18 +108,25 @@ class FittedSvm:
     lifts: dict[tuple, Lift]
     weights: list[np.ndarray]
 
+    def margins(self, x: np.ndarray, fold: int | None) -> np.ndarray:
+        """Margins by the models that leave ``fold`` out: rows x models, in their order."""
+        mine = [m for m, p in enumerate(self.params) if p.fold == fold]
+        z = lifted(self.lifts, fold, [self.params[m].gamma for m in mine], x)
+        return np.stack([z[self.params[m].gamma] @ self.weights[m] for m in mine], axis=1)
+
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with one row for each model: ``model`` and the margin ``score``."""
-        params, features, lifts, weights = self.params, self.features, self.lifts, self.weights
+        params, features, margins = self.params, self.features, self.margins
+        folds = {f: [m for m, p in enumerate(params) if p.fold == f] for f in dict.fromkeys(p.fold for p in params)}
         keep, schema = df.columns, T.StructType([*df.schema.fields, T.StructField("model", T.IntegerType()),
                                                  T.StructField("score", T.DoubleType())])
 
         def run(frames):
             for frame in frames:
                 x = frame[features].to_numpy(dtype=np.float64)
-                lifted = {k: lift(x) for k, lift in lifts.items()}
-                for m, p in enumerate(params):
-                    yield frame[keep].assign(model=m, score=lifted[p.gamma, p.fold] @ weights[m])
+                for fold, mine in folds.items():
+                    for m, score in zip(mine, margins(x, fold).T):
+                        yield frame[keep].assign(model=m, score=score)
         return df.mapInPandas(run, schema)
 
 
@@ -114,26 +151,30 @@ def fit_svm(df: DataFrame, params: Sequence[SvmParams], *, features: Sequence[st
     def sums(at, width, todo):
         def part(frame):
             x, y, fold = frame[features].to_numpy(dtype=np.float64), frame["__y"].to_numpy(), frame["__fold"].to_numpy()
-            lifted = {}
-            for m in todo:
-                p = params[m]
-                key = (p.gamma, p.fold)
-                if key not in lifted:
-                    mine = np.ones(len(x), bool) if p.fold is None else fold != p.fold
-                    lifted[key] = lifts[key](x[mine]), y[mine]
-                z, t = lifted[key]
-                loss, slope, curve = hinge(t * (z @ at[m]), width)
-                bent = z[curve > 0]  # rows outside the corner add nothing to the Hessian
-                yield m, np.concatenate(([loss.sum()], (slope * t) @ z, ((bent * curve[curve > 0, None]).T @ bent).ravel()))
+            for held_out in dict.fromkeys(params[m].fold for m in todo):
+                models = [m for m in todo if params[m].fold == held_out]
+                mine = np.ones(len(x), bool) if held_out is None else fold != held_out
+                z_of, t, made = lifted(lifts, held_out, [params[m].gamma for m in models], x[mine]), y[mine], {}
+                for m in models:
+                    z = z_of[params[m].gamma]
+                    loss, slope, curve = hinge(t * (z @ at[m]), width)
+                    corner = curve > 0
+                    key = params[m].gamma, corner.tobytes()
+                    if key not in made:
+                        # rows outside the corner add nothing to the Hessian, those inside alike
+                        bent = z if corner.all() else z[corner]
+                        made[key] = (bent.T @ bent)[_upper(z.shape[1])] / (2 * width)
+                    yield m, np.concatenate(([loss.sum()], (slope * t) @ z, made[key]))
         return part
 
+    parts = rows.rdd.getNumPartitions()
     for width in WIDTHS:
         todo, best, step = list(range(len(params))), {}, {}
         for _ in range(STEPS):
             if not todo:
                 break
             going = []
-            for m, s in array_sums(rows, sums(weights, width, todo)).items():
+            for m, s in array_sums(rows, sums(weights, width, todo), partitions=parts).items():
                 w, c = weights[m], params[m].C
                 ridge = np.append(np.ones(len(w) - 1), 0.0)
                 value = 0.5 * (ridge * w * w).sum() + c * s[0]
@@ -148,7 +189,9 @@ def fit_svm(df: DataFrame, params: Sequence[SvmParams], *, features: Sequence[st
                     continue
                 best[m] = (value, w)
                 grad = ridge * w + c * s[1:len(w) + 1]
-                curve = np.diag(ridge + 1e-9) + c * s[len(w) + 1:].reshape(len(w), len(w))
+                curve = np.zeros((len(w), len(w)))
+                curve[_upper(len(w))] = s[len(w) + 1:]
+                curve = np.diag(ridge + 1e-9) + c * (curve + np.triu(curve, 1).T)
                 step[m] = -np.linalg.solve(curve, grad)
                 if np.abs(step[m]).max() <= CLOSE * (1 + np.abs(w).max()):
                     continue

@@ -110,3 +110,37 @@ def test_constant_unknown_and_empty(spark):
     assert len(fit.score(df).collect()) == 3 and not any(t[0].feature[0] == 0 for t in fit.trees)
     none = B.boost(df.limit(0), [B.BoostParams(rounds=2)], features=["a", "b"], id_col="id")
     assert {r.score for r in none.score(df).collect()} == {0.5}
+
+
+def test_models_of_equal_trees_are_fitted_as_one(spark, data, monkeypatch):
+    _, _, frame, df = data
+    asked, real = [], B.array_sums
+    monkeypatch.setattr(B, "array_sums", lambda *a, **how: asked.append(real(*a, **how)) or asked[-1])
+    p = {"rounds": 8, "depth": 3, "min_child_weight": 2.0, "fold": 1, "subsample": 0.9}
+    params = [B.BoostParams(**{**p, "gamma": g, "rounds": r}) for g, r in ((0.0, 8), (1e-6, 5), (3.0, 8))]
+    how = {"features": ["a", "b", "c"], "id_col": "id", "fold_col": "fold", "max_bins": 16}
+    for held in (10, 1):
+        monkeypatch.setattr(B, "ROUNDS_HELD", held)
+        asked.clear()
+        fit = B.boost(df, params, **how)
+        assert all(fit.trees[r][0] is fit.trees[r][1] for r in range(5)) and fit.trees[5][1] is None
+        # one sum serves all three until the third prunes what the others keep
+        assert [*asked[0]] == [0] and any(set(found) == {0, 2} for found in asked) and all(1 not in found for found in asked)
+        both = {(r.model, r["id"]): r.score for r in fit.score(df).collect()}
+        x = frame[["a", "b", "c"]].to_numpy()
+        staged = fit.stage_scores(x, [0, 1, 2], [0, 5, 8])
+        for m, one in enumerate(params):
+            alone = {r["id"]: r.score for r in B.boost(df, [one], **how).score(df).collect()}
+            assert all(abs(alone[i] - both[m, i]) < 1e-9 for i in frame["id"])
+            assert np.allclose(staged[:, m, 1 if m == 1 else 2], [both[m, i] for i in frame["id"]], atol=1e-12)
+        assert (staged[:, :, 0] == 0.5).all()
+
+
+def test_rows_of_earlier_rounds_are_deleted(spark, data, monkeypatch):
+    import glob
+
+    from hearth.session import ensure_checkpoint_dir
+    _, _, _, df = data
+    monkeypatch.setattr(B, "ROUNDS_HELD", 1)
+    B.boost(df, [B.BoostParams(rounds=4, depth=2)], features=["a", "b"], id_col="id")
+    assert not glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/hearth-boost-rows-*")

@@ -171,3 +171,49 @@ def test_sums_reach_the_driver_once_a_key_and_small_tables_are_dealt(spark, monk
     assert [len(rows) for rows in sent] == [3]
     assert P.array_sums(df.where("x < 0"), lambda frame: [(0, np.ones(1))]) == {}
     assert P.dealt(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == P.FIT_TASKS
+
+
+def test_rows_are_scored_for_the_folds_that_are_asked_for(spark, data, monkeypatch):
+    _, df = data
+    made, real = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda x, name="stage": made.append((name, real(x, name))) or made[-1][1])
+    grids = {"gbt": {"rounds": [2, 5], "depth": [2], "gamma": [0.0, 0.1]}, "svm": {"C": [1.0, 2.0], "gamma": [0.5]},
+             "rf": {"numTrees": [4], "maxDepth": [2, 3]}}
+    for train_side in (False, True):
+        for m, grid in grids.items():
+            made.clear()
+            long = G.GRID_SCORES[m](df, grid, train_side=train_side, **HOW)
+            wide = [x for name, x in made if name == "fold-scores"]
+            # one row a row and fold, with an array of all candidates
+            assert sum(x.count() for x in wide) == 180 * (3 if train_side else 1)
+            n = len(EV.param_grid(grid))
+            assert {r.n for x in wide for r in x.selectExpr("size(scores) n").distinct().collect()} == {n}
+            assert long.count() == n * 180 * (3 if train_side else 1)
+
+
+def test_forest_is_read_by_trees(spark, data):
+    _, df = data
+    model = RandomForestClassifier(featuresCol="__x", labelCol="y", seed=2, numTrees=7, maxDepth=4).fit(EV._assemble(df, ["a", "b"]))
+    forest = G.Forest(spark, model)
+    assert [len(t[0]) for t in forest.trees] == [t.numNodes for t in model.trees]
+
+
+def test_cubes_are_powers():
+    x, y = np.random.default_rng(8).normal(size=(2, 20, 4))
+    want = (np.abs(x[:, None] - y[None]) ** 3).sum(axis=2) ** (1 / 3)
+    assert np.allclose(G.NB._pairwise(x, y, "minkowski", 3), want, rtol=1e-12)
+
+
+def test_hessians_travel_as_triangles_and_kernels_share_their_distances(spark, data, monkeypatch):
+    frame, df = data
+    asked, real = [], K.array_sums
+    monkeypatch.setattr(K, "array_sums", lambda *a, **how: asked.append(real(*a, **how)) or asked[-1])
+    params = [K.SvmParams(C=c, gamma=g, fold=1) for c in (0.5, 2.0) for g in (0.05, 0.5)]
+    fit = K.fit_svm(df, params, features=["a", "b"], id_col="id", fold_col="fold", landmarks=40)
+    for m, w in enumerate(fit.weights):
+        assert len(asked[0][m]) == 1 + len(w) + len(w) * (len(w) + 1) // 2
+    x = frame[["a", "b"]].to_numpy()
+    for gamma, k in zip((0.05, 0.5), K.kernels(x, x[:40], [0.05, 0.5])):
+        assert np.allclose(k, np.exp(-gamma * ((x[:, None] - x[:40]) ** 2).sum(axis=2)))
+    got = {(r.model, r["id"]): r.score for r in fit.score(df).collect()}
+    assert np.allclose(fit.margins(x, 1), [[got[m, i] for m in range(4)] for i in frame.id])
