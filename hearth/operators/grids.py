@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth import config as C
@@ -204,7 +204,13 @@ def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seq
 
     def scored(p):
         names = [name_of("knn", {"k": k, "weights": w, "p": p}) for k in ks for w in weights]
-        ask = placed if train_side else placed.where(out_of_fold)
+        ask, at_place = placed.where(out_of_fold), None
+        if train_side and p == 1 and weights == ["distance"] and rank_digits is None:
+            at_place = cut_lineage(_of_place(placed.where(in_fold), ks), "at-place")
+            ask = ask.unionByName(placed.join(at_place.where(F.exists("scores", lambda s: s.isNull())).select("q"), "q", "left_semi"))
+            at_place = at_place.where(F.forall("scores", lambda s: s.isNotNull()))
+        elif train_side:
+            ask = placed
         near = cut_lineage(NB.nearest_neighbours(ask.select("q", "v"), known, k=max(ks), q_id="q", q_vec="v", d_id="d", d_vec="v",
                                                  carry=["__y"], metric="minkowski", p=p, rank_digits=rank_digits), "neighbours")
         y, dist, aggs = F.col("__y"), F.col("dist"), []
@@ -220,11 +226,25 @@ def neighbour_grid(df: DataFrame, grid: Mapping[str, Sequence], *, features: Seq
                 aggs.append(value)
         scores = near.groupBy("q").agg(F.array(*aggs).alias("scores")).join(
             placed.select("q", "id", "own", "label", F.col("space").alias("held")), "q").drop("q")
+        if at_place is not None:
+            scores = scores.unionByName(at_place.drop("q"))
         return _long(cut_lineage(scores, "fold-scores"), names, train_side)
 
     return reduce(DataFrame.unionByName, together(df.sparkSession, [partial(scored, p) for p in grid["p"]]))
 
 
+def _of_place(rows: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """The distance-weighted votes of rows that are donors themselves: the mean
+    label of the ``k`` first donors at their place, as these are at distance zero
+    and so the only ones that count. NULL where none of them has a label, or the
+    place is unknown: there the nearest others decide."""
+    place = Window.partitionBy("space", "v")
+    nth = rows.withColumn("nth", F.dense_rank().over(place.orderBy("q")))
+    real = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    votes = [F.when(real, F.avg(F.when(F.col("nth") <= k, F.col("__y"))).over(place)) for k in ks]
+    return nth.select("q", "id", "own", "label", F.col("space").alias("held"), F.array(*votes).alias("scores"))
+
+
 GRID_SCORES = {"rf": forest_grid, "gbt": boosted_grid, "svm": svm_grid, "knn": neighbour_grid}
 
 

@@ -191,6 +191,29 @@ def test_rows_are_scored_for_the_folds_that_are_asked_for(spark, data, monkeypat
             assert long.count() == n * 180 * (3 if train_side else 1)
 
 
+def test_training_rows_vote_with_the_donors_at_their_place(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, size=(90, 2)).astype(float)  # many rows at one place
+    y = [None if i % 11 == 0 else int(v) for i, v in enumerate(rng.integers(0, 2, 90))]
+    x[0] = (90.0, 90.0)  # alone, and without a label
+    rows = [(i * 2 + 1, float(a), float(b) if i != 5 else None, y[i], i % 3) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int, fold int")
+    asked, real = [], G.NB.nearest_neighbours
+    monkeypatch.setattr(G.NB, "nearest_neighbours", lambda q, d, **how: asked.append(q.count()) or real(q, d, **how))
+
+    def scores(*weights):
+        grid = {"k": [1, 4], "weights": weights, "p": [1]}
+        return {(r.candidate, r.id, r.fold): (r.is_train, r.label, r.score)
+                for r in G.neighbour_grid(df, grid, train_side=True, **HOW).collect() if "distance" in r.candidate}
+    got = scores("distance")
+    # beside uniform weights, all rows are searched
+    want = scores("uniform", "distance")
+    assert asked[1] == 270 and asked[0] < 150 and got.keys() == want.keys() and len(got) >= 2 * 89 * 3
+    for at, (train, label, score) in want.items():
+        assert got[at][:2] == (train, label)
+        assert score == got[at][2] if score is None or got[at][2] is None else abs(score - got[at][2]) < 1e-9
+
+
 def test_forest_is_read_by_trees(spark, data):
     _, df = data
     model = RandomForestClassifier(featuresCol="__x", labelCol="y", seed=2, numTrees=7, maxDepth=4).fit(EV._assemble(df, ["a", "b"]))
