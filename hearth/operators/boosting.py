@@ -8,8 +8,8 @@ any parameters) share the passes, and the scores after any number of rounds
 come from one fit.
 
 A row's margins are part of the row's table as of an earlier round; a task adds
-the trees grown since, and the table is written anew after some rounds, fewer the
-more margins it holds. Models that differ in ``gamma`` alone grow the same trees
+the trees grown since, and the table is written anew every ``ROUNDS_HELD``
+rounds. Models that differ in ``gamma`` alone grow the same trees
 until one of them prunes a split that another keeps: until then they are fitted
 as one, with one margin a row. Row samples are a hash of (id, round), column
 samples a function of the round, so a retried task sees the same ones.
@@ -17,7 +17,6 @@ samples a function of the round, so a retried task sees the same ones.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -30,8 +29,7 @@ from pyspark.sql import types as T
 from hearth.operators.partials import array_sums, dealt
 from hearth.session import delete_path, shared_path
 
-#: Most rounds for which a table of rows stands; with h rounds held and m margins in it, h * h * m stays below the last.
-MAX_BINS, ROUNDS_HELD, MARGINS_HELD = 256, 10, 4_000_000
+MAX_BINS, ROUNDS_HELD = 256, 10
 LEAST_GAIN = 1e-6
 
 
@@ -243,8 +241,11 @@ def boost(df: DataFrame, params: Sequence[BoostParams], *, features: Sequence[st
     rows = df.where(F.col(label).isNotNull()).select(
         F.col(id_col).cast("long").alias("__id"), F.col(label).cast("double").alias("__y"),
         (F.col(fold_col) if fold_col else F.lit(-1)).cast("int").alias("__fold"), *features)
-    held, spark = "__id long, __y double, __fold int, __bins binary, __margins binary", df.sparkSession
-    width = np.uint8 if n_bins <= 256 else np.int32
+    held, spark = "__id long, __y double, __fold int, __bins array<int>, __margins array<double>", df.sparkSession
+    by_kin: dict = {}
+    for m, p in enumerate(params):
+        by_kin.setdefault(replace(p, gamma=0.0, rounds=0), []).append(m)
+    kin = list(by_kin.values())
     paths: list[str] = []
 
     def written(some: DataFrame) -> tuple[DataFrame, int]:
@@ -257,16 +258,15 @@ def boost(df: DataFrame, params: Sequence[BoostParams], *, features: Sequence[st
 
     def start(frames):
         for frame in frames:
-            bins = binned(_numbers(frame, features), bounds).astype(width)
-            yield frame[["__id", "__y", "__fold"]].assign(__bins=[b.tobytes() for b in bins], __margins=b"")
+            yield frame[["__id", "__y", "__fold"]].assign(__bins=list(binned(_numbers(frame, features), bounds)),
+                                                          __margins=list(np.zeros((len(frame), len(by_kin)))))
 
     def state_of(frame):
-        bins = np.frombuffer(b"".join(frame["__bins"]), width).reshape(len(frame), d)
-        return bins, np.frombuffer(b"".join(frame["__margins"])).reshape(len(frame), -1)
+        return [np.concatenate(list(frame[c])).reshape(len(frame), -1) if len(frame) else np.zeros((0, d), int) for c in ("__bins", "__margins")]
 
     def margin_of(m, rows, bins, margins, column, trees):
         """Margins of some rows by model ``m`` after all of ``trees``."""
-        margin = margins[rows, column[m]] if m in column else np.zeros(len(rows))
+        margin = margins[rows, column[m]]
         for by_model in trees:
             if by_model[m] is not None:
                 margin = margin + by_model[m].value[by_model[m].leaf_of(bins)]
@@ -291,11 +291,7 @@ def boost(df: DataFrame, params: Sequence[BoostParams], *, features: Sequence[st
         return part
 
     state, parts = written(dealt(rows, "__id").mapInPandas(start, held))
-    n_rows, since, column = state.count(), 0, {}
-    by_kin: dict = {}
-    for m, p in enumerate(params):
-        by_kin.setdefault(replace(p, gamma=0.0, rounds=0), []).append(m)
-    kin = list(by_kin.values())
+    since, column = 0, {m: i for i, some in enumerate(kin) for m in some}
     for round_ in range(max(p.rounds for p in params)):
         # the first of each kin grows the tree of all
         kin = [some for some in ([m for m in every if round_ < params[m].rounds] for every in kin) if some]
@@ -321,14 +317,12 @@ def boost(df: DataFrame, params: Sequence[BoostParams], *, features: Sequence[st
                 alike[1].append(m)
         kin = [some for _, some in split_kin.values()]
         out.trees.append(grown)
-        hold = max(1, min(ROUNDS_HELD, math.isqrt(MARGINS_HELD // max(1, n_rows * len(kin)))))
-        if len(out.trees) - since >= hold and round_ + 1 < max(p.rounds for p in params):
+        if len(out.trees) - since >= ROUNDS_HELD and round_ + 1 < max(p.rounds for p in params):
             def settle(frames, first=[some[0] for some in kin], column=column, trees=out.trees[since:]):
                 for frame in frames:
                     bins, margins = state_of(frame)
                     every = np.arange(len(frame))
-                    now = np.stack([margin_of(m, every, bins, margins, column, trees) for m in first], axis=1)
-                    yield frame.assign(__margins=[v.tobytes() for v in now])
+                    yield frame.assign(__margins=list(np.stack([margin_of(m, every, bins, margins, column, trees) for m in first], axis=1)))
             state, parts = written(state.mapInPandas(settle, held))
             since, column = len(out.trees), {m: i for i, some in enumerate(kin) for m in some}
     delete_path(spark, paths[0])
